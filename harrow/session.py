@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +31,20 @@ def get_session(master: str = "local[8]", app: str = "harrow", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below ``sf_dir``; Spark resolves the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors, unless their PYTHONPATH or working folder already has it."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="harrow-ship-")) / "harrow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "harrow").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
