@@ -30,12 +30,13 @@ def seeds(n: int, stream: int) -> np.ndarray:
     return mix64(start + np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-_BYTE = seeds(256, 1)
-_BASE = int(seeds(1, 2)[0]) | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+# two independent families: byte values, base and its inverse modulo 2**64
+_BYTES = (seeds(256, 1), seeds(256, 7))
+_BASES = tuple(int(seeds(1, stream)[0]) | 1 for stream in (2, 8))
+_INVERSES = tuple(pow(base, -1, 2**64) for base in _BASES)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=8)
 def _powers_upto(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, _U)
     out[0] = 1
@@ -64,16 +65,22 @@ def chunks(ends: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, family: int = 0) -> np.ndarray:
     """h[i]: polynomial hash of the first i bytes; see ``window_hashes``."""
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=out[1:])
+    np.cumsum(_BYTES[family][data] * powers(_BASES[family], len(data)), out=out[1:])
     return out
 
 
-def window_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def window_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """Fingerprints of data[start:end]; they do not depend on where the bytes stand."""
-    return mix64((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
+    return mix64((prefix[end] - prefix[start]) * powers(_INVERSES[family], len(prefix))[start])
+
+
+def rolling_hashes(prefix: np.ndarray, size: int, family: int = 0) -> np.ndarray:
+    """Unmixed fingerprints of all windows of ``size`` bytes."""
+    n = len(prefix) - size
+    return (prefix[size:] - prefix[:n]) * powers(_INVERSES[family], len(prefix))[:n] if n > 0 else np.zeros(0, _U)
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, media, mixing, near_dedup, packing, quality, token_counts
+from . import exact_dedup, html_text, line_dedup, media, mixing, near_dedup, packing, quality, repeats, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_media": op4_media,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
