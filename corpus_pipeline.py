@@ -1,37 +1,56 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+A stage is a function of (spark, docs, sf_dir). ``run`` writes each result as Parquet to the shared folder and
+hands what it reads back to the next stage. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import exact_dedup, mixing, packing
+from harrow.llm import exact_dedup, mixing, near_dedup, packing, quality
 from harrow.llm.storage import stored
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model, fitted on the trusted ones of ``labels``, rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal text, white space aside, stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at a similarity of 0.8 stays."""
+    return near_dedup.drop_near_duplicates(docs, words=5, percent=80)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated as often as the mix of sources takes them."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 
-#: Tokens and language-model scores are beyond SQL; the stages are tested against brute-force versions.
+#: Language-model scores and tokens are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written as Parquet and read again."""
+    """Applies the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
