@@ -34,10 +34,12 @@ BASE = 1.001
 RATE = 20.0
 LARGEST = 2**16 - 2
 #: Registers of a band, and the chance at most that a pair at the threshold shares no band.
-ROWS = 6
+ROWS = 8
 MISS = 1e-6
 #: Standard errors of the estimate below the threshold from which a pair is dropped unread.
 ERRORS = 5.0
+#: Shingles that are sketched together.
+TOGETHER = 1 << 16
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -87,29 +89,28 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def _packed(sets: list[np.ndarray], size: int) -> list[bytes | None]:
+    """The registers of each set as bytes; an empty set has none."""
+    full = [s for s in sets if len(s)]
+    rows = iter(registers(full, size)) if full else iter(())
+    return [next(rows).tobytes() if len(s) else None for s in sets]
+
+
 def _sketch(words: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, sketches = [], [], []
             waiting: list[np.ndarray] = []
-
-            def flush(waiting: list[np.ndarray], sketches: list) -> None:
-                if waiting:
-                    sketches.extend(row.tobytes() for row in registers(waiting, size))
-                    waiting.clear()
-
+            held = 0
             for found in shingle_sets(batch.column(1), words):
                 counts.append(len(found))
-                if len(found):
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    waiting.append(found)
-                    if sum(map(len, waiting[-1:])) > 100_000 or len(waiting) >= 256:
-                        flush(waiting, sketches)
-                else:
-                    flush(waiting, sketches)
-                    digests.append(None)
-                    sketches.append(None)
-            flush(waiting, sketches)
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                waiting.append(found)
+                held += len(found)
+                if held > TOGETHER:
+                    sketches += _packed(waiting, size)
+                    waiting, held = [], 0
+            sketches += _packed(waiting, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
                 names=["id", "n", "digest", "registers"],
@@ -141,7 +142,7 @@ def _confirmed(words: int, percent: int):
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                left = shingle_sets(batch.column("ta").combine_chunks() if isinstance(batch.column("ta"), pa.ChunkedArray) else batch.column("ta"), words)
+                left = shingle_sets(batch.column("ta"), words)
                 known: dict[int, np.ndarray] = {}  # a pivot's rows follow each other
                 keep = []
                 texts, ids = batch.column("tb"), batch.column("v").to_pylist()
@@ -194,7 +195,7 @@ def near_duplicates(
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("there")).filter("there > 1")
     shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
     near = shared.select(F.col("rep").alias("id")).distinct()
-    near_texts = stored(texts.join(near, "id", "left_semi"), "texts").dropDuplicates(["id"])
+    near_texts = stored(texts.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
     sketched = classes.select("rep", "n", "registers")
 
     def confirmed(pairs: DataFrame) -> DataFrame:

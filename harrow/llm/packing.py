@@ -24,7 +24,7 @@ from .tokenizers_io import byte_bpe, vocabulary_path
 
 LIMIT = 1024
 END_ID = 2
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _PIECES = "id {id}, piece int, start long, length int, ids_crc32 long"
 
