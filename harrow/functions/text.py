@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters with a diacritic and the letters without, in the same places.
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ"
@@ -29,13 +30,13 @@ def decode_entities(value: Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_all_entities(value: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal references; a no-break space becomes a plain one."""
     return value.map(lambda x: None if x is None else html.unescape(x).replace("\xa0", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_full(value: pd.Series) -> pd.Series:
     """Any script: decomposes and drops the marks. ``strip_accents`` is the JVM-side form for Latin letters."""
     drop = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))

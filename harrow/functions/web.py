@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Own vocabulary: query parameters that say where a visitor came from, by prefix.
 TRACKING = r"(?i)^(?:utm_|ref|source|gclid|fbclid|mc_|trk|position)"
@@ -140,6 +141,6 @@ def robots_allows(rules: str, path: str, agent: str = "*") -> bool:
     return max(hits)[1] if hits else True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def robots_allowed(rules: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([robots_allows(r or "", p or "/") for r, p in zip(rules, path, strict=True)])
