@@ -9,7 +9,8 @@ the sets' Jaccard similarity says. Steps:
 2. a class is put into one bucket per band of registers; classes that share a bucket are candidates;
 3. each bucket's smallest class is its pivot and is compared with all others of the bucket: that is linear
    in the bucket's size, and joins the many variants of a large group without listing their pairs;
-4. candidates that are still in different components are compared with each other;
+4. where a bucket still holds several components, members outside its largest one meet the others in blocks of
+   a bounded size: finer sketches are compared inside the block, and only pairs that may be linked leave it;
 5. a comparison first estimates the similarity from both sketches jointly by maximum likelihood, and what is
    not clearly below the threshold is confirmed on the full sets;
 6. components over the confirmed links.
@@ -40,6 +41,8 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Shingles that are sketched together.
 TOGETHER = 1 << 16
+#: Registers of the finer sketch (their low bytes), and about so many rows of each side in a block.
+FINE, BLOCK = 1024, 1024
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -119,6 +122,79 @@ def _sketch(words: int, size: int):
     return run
 
 
+def _fine(words: int):
+    """The low bytes of FINE registers of each text; equal registers have equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting: list[np.ndarray] = []
+            first = held = 0
+
+            def emit() -> pa.RecordBatch:
+                low = (registers(waiting, FINE) & 0xFF).astype(np.uint8)
+                rows = batch.column(0).slice(first, len(waiting))  # noqa: B023
+                return pa.RecordBatch.from_arrays([rows, pa.array([x.tobytes() for x in low], pa.binary())], names=["rep", "fine"])
+
+            for found in shingle_sets(batch.column(1), words):
+                waiting.append(found)
+                held += len(found)
+                if held > TOGETHER:
+                    yield emit()
+                    first, waiting, held = first + len(waiting), [], 0
+            if waiting:
+                yield emit()
+
+    return run
+
+
+def _within_blocks(percent: int, bands: int):
+    """Rows sorted by block -> the pairs of each block that may be linked.
+
+    A pair is looked at in the first bucket that it shares, so it leaves one block at most.
+    """
+    least = percent / 100 - ERRORS * sqrt(percent / 100 * (1 - percent / 100) / FINE)
+
+    def pairs(block: pa.RecordBatch) -> pa.RecordBatch:
+        few, rest = (np.flatnonzero(block.column("side").to_numpy() == side) for side in (0, 1))
+        keys = block.column("keys").flatten().to_numpy().reshape(-1, bands)
+        fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        n, component, order = (block.column(c).to_numpy() for c in ("n", "c", "o"))
+        apart, pivot = (block.column(c).to_numpy(zero_copy_only=False) for c in ("apart", "is_pivot"))
+        band = block.column("band")[0].as_py()
+        of_rest, left, right = keys[rest], [], []
+        for i in few if len(rest) else ():
+            fit = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+            # those of the smaller components meet from both sides; pivots have met everyone
+            fit &= (component[rest] != component[i]) & (~apart[rest] | (order[rest] < order[i])) & ~(pivot[rest] | pivot[i])
+            at = np.flatnonzero(fit)
+            at = at[(of_rest[at] == keys[i]).argmax(1) == band]
+            at = at[(fine[rest[at]] == fine[i]).sum(1) >= least * FINE]
+            left += [i] * len(at)
+            right += rest[at].tolist()
+        rep = block.column("rep")
+        return pa.RecordBatch.from_arrays([rep.take(pa.array(x, pa.int64())) for x in (left, right)], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def merged() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and first < last and held[0].column("block")[0].as_py() != block[first]:
+                    yield pairs(merged())
+                    held = []
+                if first < last:
+                    held.append(batch.slice(first, last - first))
+        if held:
+            yield pairs(merged())
+
+    return run
+
+
 def _likely(least: float):
     """Keeps the pairs whose estimated similarity is ``least`` or more."""
 
@@ -191,7 +267,7 @@ def near_duplicates(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * rows) + 1, F.lit(2 * rows))),
     )
-    banded = classes.select(F.explode(keys).alias("key"), "rep", "n")
+    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep", "n")
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("there")).filter("there > 1")
     shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
     near = shared.select(F.col("rep").alias("id")).distinct()
@@ -213,19 +289,31 @@ def near_duplicates(
     first = shared.filter("rep != pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
     links = stored(confirmed(first), "links")
     groups = connected_components(links).select(F.col("node").alias("rep"), "component")
-    placed = shared.join(groups, "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
+    placed = shared.join(groups, "rep", "left").select("key", "band", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     placed = placed.join(split.select("key"), "key", "left_semi")
     # a bucket's largest component meets the others' members; its own members do not meet each other
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"))
-    main = main.select("key", F.col("top.component").alias("main"))
-    few = placed.join(main, "key").filter("component != main")
-    few = few.select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = placed.join(few, "key").filter("component != cx and rep != x")
-    rest = rest.filter("pivot != x and pivot != rep")  # those met in the first comparison
-    second = rest.select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v")).distinct()
+    main = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("all"))
+    parts = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    main = main.select(
+        "key", F.col("top.component").alias("main"), parts(F.col("all")).alias("b_parts"), parts(F.col("all") - F.col("top.members")).alias("a_parts")
+    )
+    open_ = stored(placed.join(main, "key").withColumn("apart", F.col("component") != F.col("main")), "open")
+    wanted = open_.select("rep").distinct()
+    read = near_texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text")
+    fine = stored(read.mapInArrow(_fine(words), f"rep {kind}, fine binary").join(classes.select("rep", "n", keys.alias("keys")), "rep"), "fine")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cells = ["key", "band", "rep", "component", "apart", (F.col("rep") == F.col("pivot")).alias("is_pivot")]
+    a = open_.filter("apart").select(*cells, F.lit(0).alias("side"), spread(F.col("a_parts")).alias("i"), upto(F.col("b_parts")).alias("j"))
+    b = open_.select(*cells, F.lit(1).alias("side"), spread(F.col("b_parts")).alias("j"), upto(F.col("a_parts")).alias("i"))
+    rows = a.unionByName(b).withColumn("block", F.xxhash64("key", "i", "j")).join(fine, "rep")
+    rows = rows.select("block", "side", "band", "rep", "apart", "is_pivot", F.xxhash64("component").alias("c"), F.xxhash64("rep").alias("o"), "n", "keys", "fine")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    second = rows.mapInArrow(_within_blocks(percent, bands), f"x {kind}, y {kind}")
+    second = second.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
     more = stored(confirmed(second), "more-links")
     edges = links.unionByName(more)
     final = connected_components(edges).select(F.col("node").alias("rep"), "component")
