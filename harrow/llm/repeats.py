@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import CHUNK, chunks, prefix_hashes, rolling_hashes, text_buffer, window_hashes
-from .storage import stored
+from .storage import discard, stored
 
 LENGTH = 400
 WINDOW, GRAIN = 256, 16
@@ -127,8 +127,26 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         )
 
 
+def _take(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The wanted stretches (lo, hi, a) of each run as runs of their own."""
+    for batch in batches:
+        data, at = text_buffer(batch.column("bytes"))
+        lists = batch.column("wanted")
+        wanted = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        lo, hi, far = (wanted.field(c).to_numpy() for c in ("lo", "hi", "a"))
+        starts = at[:-1][row] + lo - batch.column("lo").to_numpy()[row]
+        for first in range(0, len(row), 4096):
+            part = slice(first, first + 4096)
+            held = [data[s : s + n + length].tobytes() for s, n in zip(starts[part].tolist(), (hi - lo)[part].tolist(), strict=True)]
+            names = [batch.column(c).take(pa.array(row[part])) for c in ("core", "g1", "g2")]
+            yield pa.RecordBatch.from_arrays(
+                [*names, pa.array(lo[part]), pa.array(far[part]), pa.array(held, pa.binary())], names=["core", "g1", "g2", "lo", "a", "bytes"]
+            )
+
+
 def _cut_up(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
-    """Runs (core, g1, g2: the first run's name; lo, a, bytes) -> shorter runs with their own names and bytes.
+    """Runs (core, g1, g2: the first run's name; lo, a, bytes) -> shorter runs with their own names.
 
     Cells of ``step`` starts are counted from the anchor, so that runs that begin at different distances from it are
     cut at the same places. A part's core is what all strings of its whole cell share.
@@ -150,20 +168,17 @@ def _cut_up(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterat
             extent = [window_hashes(p, s, e + length, f) for f, p in enumerate(hashes)]
             of = pa.array(row)
             low = batch.column("lo").to_numpy()[row] + s - base
-            held = [data[a : b + length].tobytes() if step > 1 else None for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+            columns = [pa.array(x.view(np.int64)) for x in ((core, *extent) if step > 1 else extent)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).take(of) for c in ("core", "g1", "g2")),
-                    pa.array(low),
-                    pa.array(low + e - s),
-                    pa.array(far[row] - (s - base)),
-                    *(pa.array(x.view(np.int64)) for x in (core, *extent)),
-                    pa.array(held, pa.binary()),
-                ],
-                names=["core", "g1", "g2", "lo", "hi", "a", "part_core", "p1", "p2", "bytes"],
+                [*(batch.column(c).take(of) for c in ("core", "g1", "g2")), pa.array(low), pa.array(low + e - s), pa.array(far[row] - (s - base)), *columns],
+                names=["core", "g1", "g2", "lo", "hi", "a", *(["part_core"] if step > 1 else []), "p1", "p2"],
             )
 
 
+def _cut_wanted(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
+    return _cut_up(_take(batches, length), length, step)
+
+
 def _contested(runs_: DataFrame, core: str, names: tuple[str, str]) -> DataFrame:
     """Of runs (one row per core and extent) those whose core has more than one extent."""
     several = runs_.groupBy(core).agg(F.count(F.lit(1)).alias("extents")).filter("extents > 1").select(core)
@@ -191,21 +206,27 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, window: int = WINDOW
     whole = texts.join(places, texts["id"].eqNullSafe(places["_id"]) & (texts["h"] == places["_h"]))
     whole = whole.select("text", "places")
     run_schema = "core long, g1 long, g2 long, lo long, a long, bytes binary"
-    level = stored(whole.mapInArrow(partial(_cut_out, length=length), run_schema).dropDuplicates(name), "places")
-    flagged = settled
+    # the bytes of contested runs are written once; what is cut from them later is named by its place
+    level = stored(whole.mapInArrow(partial(_cut_out, length=length), run_schema), "places")
+    everything = F.array(F.struct("lo", (F.length("bytes") - length).cast("long").alias("hi"), "a"))
+    cut = level.withColumn("wanted", everything)
+    flagged, passing = settled, [shared, named]
     for step in STEPS:
-        schema = "core long, g1 long, g2 long, lo long, hi long, a long, part_core long, p1 long, p2 long, bytes binary"
-        parts = level.mapInArrow(partial(_cut_up, length=length, step=step), schema)
-        parts = stored(parts, f"parts-{step}")
-        part = ["part_core", "p1", "p2"]
-        counts = parts.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-        again = counts.filter("n > 1").select(*part)
+        schema = "core long, g1 long, g2 long, lo long, hi long, a long, " + "part_core long, " * (step > 1) + "p1 long, p2 long"
+        parts = stored(cut.mapInArrow(partial(_cut_wanted, length=length, step=step), schema), f"parts-{step}")
+        passing.append(parts)
+        part = ["part_core", "p1", "p2"] if step > 1 else ["p1", "p2"]
+        again = parts.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*part)
         flagged = flagged.unionByName(parts.join(again, part, "left_semi").select(*name, "lo", "hi"))
         if step > 1:
             # of equal parts one is enough to meet the others; those that stand alone are there themselves
-            firsts = parts.groupBy(*part).agg(F.min(F.struct(*name, "lo", "a", "bytes")).alias("one"))
-            level = _contested(firsts, "part_core", ("p1", "p2")).select("one.*")
+            firsts = parts.groupBy(*part).agg(F.min(F.struct(*name, "lo", "hi", "a")).alias("one"))
+            one = _contested(firsts, "part_core", ("p1", "p2")).select("one.*")
+            # a run's list is no longer than its starts
+            wanted = one.groupBy(*name).agg(F.collect_list(F.struct("lo", "hi", "a")).alias("wanted"))
+            cut = level.join(wanted, name)
     flagged = stored(flagged, "flagged")
+    discard(level, *passing)
     return open_.join(flagged, name).select("id", "h", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
 
 
