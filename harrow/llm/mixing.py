@@ -116,7 +116,8 @@ def mix(
         .agg(F.min(F.struct("bucket", "before")).alias("edge"))
         .select("source", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
     )
-    plan = _null_safe(plan, edge, "source", "left")
+    # written, so that its size is known: Spark broadcasts it below its limit and can split a hot source beyond it
+    plan = stored(_null_safe(plan, edge, "source", "left"), "plan")
     rows = _null_safe(rows, plan, "source")
     clear = rows.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn(
         "sampled", (F.col("edge").isNull() & (F.col("rest") > 0)) | F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
