@@ -110,8 +110,9 @@ class _Complements:
                     return (large, *rest)
         return None
 
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def exact(self, gap: int, most: int) -> tuple[int, ...] | None:
+        """The first of up to ``most`` lengths that fill the gap."""
+        return next(filter(None, (fill(gap) for fill in (self.single, self.pair, self.triple)[:most])), None)
 
     def most(self, pattern: tuple[int, ...]) -> int:
         return min(int(self.counts[length]) // n for length, n in Counter(pattern).items())
@@ -126,14 +127,21 @@ def plan_sequences(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tup
 
     From the longest length down, gaps are filled exactly by one, two or three available lengths, as often
     as the counts allow. Each step uses up some length, so there are at most ``limit`` such patterns. What
-    no combination completes is packed best fit, longest first.
+    no combination completes is packed best fit, longest first. Where long pieces abound, large combinations use
+    up the short lengths that other gaps need, so plans with smaller ones are made too and the shortest is taken.
     """
+    plans = [_plan_with(counts, limit, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan_with(counts: dict[int, int], limit: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan that fills gaps with up to ``most`` lengths."""
     left, plan = _Complements(counts, limit), []
     residual: dict[int, int] = {}
     for length in range(limit, 0, -1):
         while left.counts[length]:
             left.counts[length] -= 1
-            rest = () if length == limit else left.exact(limit - length)
+            rest = () if length == limit else left.exact(limit - length, most)
             left.counts[length] += 1
             if rest is None:
                 residual[length] = int(left.counts[length])
