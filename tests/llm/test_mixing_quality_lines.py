@@ -1,0 +1,96 @@
+import random
+from math import isclose
+
+import pytest
+
+from harrow.llm import quality
+from harrow.llm.line_dedup import drop_recurring_lines
+from harrow.llm.mixing import mix, mixed_documents
+
+from .samples import awkward, nothing, rows_of
+
+
+def targets_by_hand(sizes):
+    """Water filling by repeated sharing."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, rest = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > 3 * sizes[s]]
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            rest -= target[s]
+            open_.discard(s)
+    return target
+
+
+def test_mix(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a"] * 6 + ["b", "c", None]), "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target string")
+    got = rows_of(mix(docs))
+    assert len(got) == 600 and got and sorted(map(str, rows_of(mix(docs)))) == sorted(map(str, got))
+    sizes, taken = {}, {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    wanted = targets_by_hand(sizes)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and isclose(r["target"], wanted[r["source"]], rel_tol=1e-9)
+    for source in sizes:
+        assert abs(taken[source] - wanted[source]) <= 60
+    repeated = mixed_documents(docs)
+    assert repeated.columns == docs.columns and repeated.count() == sum(r["epochs"] + r["sampled"] for r in got)
+
+
+def test_mix_awkward(spark):
+    docs = awkward(spark)
+    assert mix(docs).count() == docs.count()
+    assert mix(nothing(spark)).count() == 0
+
+
+def test_lines(spark):
+    shared = [f"Posted on day {i} by the editors of this paper" for i in range(6)]
+    rows = [(i, f"own words of number{i} text alone{i} here\n{line}\nshort line") for i, line in enumerate(shared)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, line string")
+    got = {r["doc_id"]: r for r in rows_of(drop_recurring_lines(docs))}
+    assert all(r["n_lines"] == 3 and "Posted" not in r["text"] and r["text"].endswith("short line") for r in got.values())
+    docs = awkward(spark)
+    assert drop_recurring_lines(docs).count() == docs.count()
+    assert drop_recurring_lines(nothing(spark)).count() == 0
+
+
+def test_model_is_a_distribution(spark):
+    texts = spark.createDataFrame([("the cat sat on the mat. the dog sat on the log.",), ("a cat and a dog",)], "text string")
+    model = {r["key"]: r["value"] for r in quality.kneser_ney(texts).collect()}
+    ones = [v for k, v in model.items() if k >> 24 == 1]
+    seen = len(ones)
+    rest = (quality.SYMBOLS - seen) / quality.SYMBOLS * model[(quality._GAMMA + 1) << 24]
+    assert sum(ones) + rest == pytest.approx(1.0)
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(9)
+    words = "the of and to in is that for it was on are as with they be at one have this from had by word but".split()
+    good = lambda: " ".join(rng.choice(words) for _ in range(120)) + "."
+    junk = lambda: "".join(rng.choice("#$%zqxj0123456789{}|") for _ in range(600))
+    docs = [(i, good() if i % 4 else junk(), "en") for i in range(400)]
+    labels = [(i, 1 if i % 4 else 0, 0) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in rows_of(quality.classify(frame, marks))}
+    unseen = range(200, 400)
+    assert sum(kept[i] == bool(i % 4) for i in unseen) / len(unseen) >= 0.98
+
+
+def test_quality_awkward(spark):
+    marks = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
+    docs = awkward(spark)
+    assert quality.classify(docs, marks).count() == docs.count()
+    assert quality.classify(docs, marks.limit(0)).filter("not kept").count() == 0
+    assert quality.classify(nothing(spark), marks).count() == 0
+    assert quality.keep_good(docs, marks).columns == docs.columns
