@@ -5,6 +5,9 @@ variable fields (``<*>``) everywhere. In a leaf that several documents reach, a
 template if enough documents have it at that position of the leaf; every other token is a variable field. So lines
 that differ in their fields get one template, and one leaf can hold several. A template that enough documents
 share and that is mostly constant is boilerplate: its lines are dropped.
+
+``MIN_TOKENS`` and ``UNMASKED`` hold back recurring lines of a few tokens and equal lines that are mostly fields;
+``WHOLE`` are the options that drop these too.
 """
 
 from __future__ import annotations
@@ -20,19 +23,28 @@ FIELD = "<*>"
 DEPTH, MIN_TOKENS = 3, 4
 #: Documents that must share a token or a template, and the least share of constant tokens in a template.
 MIN_DOCS, CONSTANT = 5, 0.6
+#: Are lines dropped that enough documents have as they are, whatever their template?
+UNMASKED = False
+#: Every recurring line: one with fewer tokens than DEPTH has a leaf of its own, which is all its tokens.
+WHOLE = {"min_tokens": 1, "unmasked": True}
+
+
+def plain_line(line: Column) -> Column:
+    """The line's tokens with one space between them."""
+    return F.trim(F.regexp_replace(line, SPACE, " "))
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens with one space between them; a token with a digit is a variable field."""
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
+def masked(plain: Column) -> Column:
+    """A plain line where a token with a digit is a variable field."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """id, ``h`` (hash of the whole text), ``pos``, ``line`` (masked), ``n`` tokens and ``leaf``."""
+    """id, ``h`` (hash of the whole text), ``pos``, ``plain``, ``line`` (masked), ``n`` tokens and ``leaf``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.select("id", "h", "pos", masked(F.col("raw")).alias("line")).filter("line != ''")
+    rows = rows.select("id", "h", "pos", plain_line(F.col("raw")).alias("plain")).filter("plain != ''")
+    rows = rows.withColumn("line", masked(F.col("plain")))
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1)
     rows = rows.filter(F.col("n") >= min_tokens)
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
@@ -46,14 +58,16 @@ def recurring_lines(
     min_tokens: int = MIN_TOKENS,
     min_docs: int = MIN_DOCS,
     constant: float = CONSTANT,
+    unmasked: bool = UNMASKED,
 ) -> DataFrame:
-    """Rows of ``id``, ``h``, ``pos`` and ``template`` for the lines to drop."""
+    """Rows of ``id``, ``h``, ``pos`` and ``template`` for the lines to drop; ``unmasked`` ones may come twice."""
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
     # documents with equal texts count once; (leaf, document) is combined before it is shuffled
     leaves = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
     leaves = stored(leaves.filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
     # Spark broadcasts the leaves if they are below its size limit and merges both sides otherwise
-    lines = stored(lines.join(leaves, "leaf", "left_semi").withColumn("key", F.xxhash64("line")), "lines")
+    lines = lines.join(leaves, "leaf", "left_semi").withColumn("key", F.xxhash64("line"))
+    lines = stored(lines if unmasked else lines.drop("plain"), "lines")
     variants = lines.select("leaf", "key", "line", "h").distinct().groupBy("leaf", "key", "line").agg(F.count(F.lit(1)).alias("docs"))
     variants = stored(variants, "variants")
     tokens = variants.select("leaf", "key", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
@@ -72,7 +86,14 @@ def recurring_lines(
     placed = lines.select("id", "h", "pos", "leaf", "key").join(templates, ["leaf", "key"])
     placed = stored(placed.select("id", "h", "pos", "template"), "placed")
     shared = placed.select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    return placed.join(shared.filter(F.col("docs") >= min_docs).select("template"), "template", "left_semi")
+    drops = placed.join(shared.filter(F.col("docs") >= min_docs).select("template"), "template", "left_semi")
+    if not unmasked:
+        return drops
+    # an equal line without fields is constant everywhere; equal lines share a leaf
+    fields = lines.filter(F.col("plain") != F.col("line")).select("id", "h", "pos", F.col("plain").alias("template"))
+    same = fields.select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
+    same = fields.join(same.filter(F.col("docs") >= min_docs).select("template"), "template", "left_semi")
+    return drops.unionByName(same)
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -80,7 +101,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Lines end at line feeds. A line is dropped if its template is shared by ``min_docs`` documents with different
     texts (copies of one document count once) and at least ``constant`` of its tokens are constant; lines with
-    fewer than ``min_tokens`` tokens, blank ones too, stay. Null and empty texts are one empty line and stay
+    fewer than ``min_tokens`` tokens, blank ones too, stay. With ``unmasked`` a line also goes if so many documents
+    have it with its fields as they are. ``WHOLE`` drops recurring lines of any length. Null and empty texts are one empty line and stay
     empty. Repeated rows and null ids stay rows of their own; other columns are ignored; an empty table gives an
     empty result.
     """

@@ -44,6 +44,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_line_dedup by the wider rule: recurring lines of any length, and equal lines whatever their fields."""
+    return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,9 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: Queries besides the ten.
+WIDER = {"op8_line_dedup_whole": op8_line_dedup_whole}
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -150,4 +158,46 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM w
 """
 
+OP8_WHOLE_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM docs),
+plain AS (SELECT doc_id, text, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS p FROM raw),
+masked AS (SELECT doc_id, text, pos, p, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM plain WHERE p <> ''),
+lines AS (
+  SELECT doc_id, text, pos, line, len(string_split(line, ' ')) AS n,
+         array_to_string(string_split(line, ' ')[1:3], ' ') AS head
+  FROM masked),
+leaves AS (SELECT n, head FROM lines GROUP BY n, head HAVING count(DISTINCT text) >= 5),
+kept AS (SELECT l.* FROM lines l SEMI JOIN leaves USING (n, head)),
+variants AS (SELECT n, head, line, count(DISTINCT text) AS docs FROM kept GROUP BY n, head, line),
+tokens AS (
+  SELECT n, head, line, docs, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS spot
+  FROM variants),
+common AS (
+  SELECT n, head, spot, token FROM tokens WHERE token <> '<*>' GROUP BY n, head, spot, token HAVING sum(docs) >= 5),
+templates AS (
+  SELECT t.n, t.head, t.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.spot) AS template,
+         avg(CASE WHEN c.token IS NULL THEN 0.0 ELSE 1.0 END) AS share
+  FROM tokens t LEFT JOIN common c ON t.n = c.n AND t.head = c.head AND t.spot = c.spot AND t.token = c.token
+  GROUP BY t.n, t.head, t.line),
+placed AS (
+  SELECT k.doc_id, k.text, k.pos, t.template FROM kept k JOIN templates t USING (n, head, line) WHERE t.share >= 0.6),
+shared AS (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT text) >= 5),
+same AS (SELECT p FROM masked GROUP BY p HAVING count(DISTINCT text) >= 5),
+gone AS (
+  SELECT doc_id, text, pos FROM placed SEMI JOIN shared USING (template)
+  UNION SELECT doc_id, text, pos FROM masked SEMI JOIN same USING (p)),
+drops AS (SELECT doc_id, text, list(DISTINCT pos) AS dropped FROM gone GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines,
+       CAST(coalesce(len(x.dropped), 0) AS INTEGER) AS n_dropped,
+       CASE WHEN x.dropped IS NULL THEN d.text
+            ELSE coalesce(array_to_string(list_transform(
+              list_filter(range(1, len(string_split(d.text, chr(10))) + 1), lambda i: NOT list_contains(x.dropped, i)),
+              lambda i: string_split(d.text, chr(10))[i]), chr(10)), '') END AS text
+FROM docs d LEFT JOIN drops x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
+"""
+
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+WIDER_SQL = {"op8_line_dedup_whole": OP8_WHOLE_SQL}

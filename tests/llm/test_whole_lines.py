@@ -1,0 +1,37 @@
+"""The wider rule of line dedup: lines of any length, and equal lines whatever their fields."""
+
+import duckdb
+
+import __spark_entry__
+from harrow.llm.line_dedup import WHOLE, drop_recurring_lines
+
+from .samples import awkward, nothing, rows_of
+
+NAME = "op8_line_dedup_whole"
+
+
+def test_short_and_digit_lines_go(spark):
+    shared = ["All rights reserved.", "Les.", "Of, edti", "v1 2 3 4 build9", "2024"]
+    rows = [(i, "\n".join([f"own{c} words{c}" for c in "abcdefg"[i]] + shared + [f"page {i} 77 8", ""])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(drop_recurring_lines(docs, **WHOLE))}
+    for i, r in got.items():
+        c = "abcdefg"[i]
+        assert r["n_dropped"] == 5 and r["text"] == f"own{c} words{c}\npage {i} 77 8\n"
+    few = docs.filter("doc_id < 4")
+    assert all(r["n_dropped"] == 0 for r in rows_of(drop_recurring_lines(few, **WHOLE)))
+
+
+def test_awkward(spark):
+    docs = awkward(spark)
+    assert drop_recurring_lines(docs, **WHOLE).count() == docs.count()
+    assert drop_recurring_lines(nothing(spark), **WHOLE).count() == 0
+
+
+def test_against_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    wanted = sorted(con.execute(__spark_entry__.oracle_sql()[NAME]).fetchall(), key=repr)
+    got = __spark_entry__.queries()[NAME](spark, folder)
+    assert sorted(map(tuple, got.collect()), key=repr) == wanted
