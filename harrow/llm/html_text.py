@@ -2,7 +2,8 @@
 
 A page becomes a tree. Each paragraph passes points for its length and commas to its ancestors, fewer the
 farther they are; an ancestor's points are discounted by the share of its text that is inside links. The best
-container is the article; siblings that score well, or read like text or a heading, are kept with it. What
+container leads to the article: the article or main element around it or, where there is none that is mostly
+text, the container with all its siblings but those that are mostly links. What
 belongs to the page and not to the article (menus, notices, adverts, forms, comments, ...) leaves the tree
 before scoring.
 """
@@ -62,6 +63,8 @@ APART = _words(
     "toolbar widget widgets"
 )
 ARTICLE = _words("article body content entry main post story text")
+#: An element with a larger share of its text inside links is not mostly text.
+LINKS = 0.25
 _NEGATED = _words("has with no without")
 ROLES = _words("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar form")
 
@@ -263,6 +266,21 @@ def _blocks(node: Node, found: list[str]) -> None:
     flush()
 
 
+def _kept(best: Node) -> list[Node]:
+    """The elements that make up the article around the best container, in page order."""
+    density = lambda node: node.link_length / max(node.length, 1)
+    if best.parent is None or best.name in ("article", "main", "body"):
+        return [best]
+    around = best.parent
+    while around is not None:
+        if around.name in ("article", "main") and density(around) < LINKS:
+            return [around]
+        around = around.parent
+    least = max(10.0, 0.2 * _worth(best))
+    nodes = [n for n in best.parent.children if not isinstance(n, str)]
+    return [n for n in nodes if n is best or n.name in HEADINGS or n.length and density(n) < LINKS or _worth(n) >= least]
+
+
 def main_text(page: str) -> str:
     """The article's blocks joined by empty lines; white space inside a block is one space."""
     root = parse(page)
@@ -271,17 +289,7 @@ def main_text(page: str) -> str:
     best = max(nodes, key=_worth)
     if best.points <= 0:
         best = next((n for n in nodes if n.name in ("article", "main")), root)
-    top = _worth(best)
-    kept = [best]
-    if best.parent is not None and best.name not in ("article", "main", "body"):
-        kept = []
-        for node in best.parent.children:
-            if isinstance(node, str):
-                continue
-            density = node.link_length / max(node.length, 1)
-            reads = node.name == "p" and density < 0.25 or node.name in HEADINGS
-            if node is best or _worth(node) >= max(10.0, 0.2 * top) or reads:
-                kept.append(node)
+    kept = _kept(best)
     found: list[str] = []
     for node in kept:
         _blocks(node, found)
