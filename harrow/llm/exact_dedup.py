@@ -8,7 +8,8 @@ Rows with equal normalised text form a group. Three combining steps find the row
 3. *global*: at most ``salts`` winners per text meet by (digest, text).
 
 The whole text is part of the grouping key at every step: the digest only spreads and sorts the rows. Each
-document then looks its group up in a join that adaptive execution can split where a digest is hot.
+document then looks its group up in a join that adaptive execution can split where a digest is hot. That last
+lookup trusts the text's SHA-256 and xxhash64 and does not compare the text again.
 """
 
 from __future__ import annotations
