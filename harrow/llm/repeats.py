@@ -2,7 +2,7 @@
 
 Wanted is every start i whose ``length`` bytes also start anywhere else: in a suffix array, those whose ``length``-byte
 prefix equals that of a neighbour. A suffix array over all positions needs a record of 16 bytes or more for every
-byte of the corpus and sorts them several times. Like the difference-cover algorithm, this one sorts only sampled
+byte of the corpus and sorts them several times. Like the difference-cover algorithm, this one groups only sampled
 positions, names them, recurses on what the names leave open, and merges the positions between the samples; positions
 whose name is unique are discarded at once, since no repeat can cover them.
 
@@ -12,7 +12,7 @@ cover is content-defined: start i is represented by its anchor, the position of
 difference covers are for, with one sample in about window / 2 positions.
 
 *Naming.* All starts with one anchor form a run s..e. Its core is what all strings of the run share from the anchor
-on; its extent is all that they cover. Runs are sorted by core and extent, and equal ones get equal names (128-bit
+on; its extent is all that they cover. Runs are grouped by core and extent, and equal ones get equal names (128-bit
 fingerprints):
   - a core that occurs once: no start of the run is repeated; the run is discarded;
   - an extent that occurs again: every start of the run is repeated;
