@@ -4,10 +4,12 @@ A line goes down a tree of fixed depth: its number of tokens, then its leading t
 variable fields (``<*>``) everywhere. In a leaf that several documents reach, a token stays part of a line's
 template if enough documents have it at that position of the leaf; every other token is a variable field. So lines
 that differ in their fields get one template, and one leaf can hold several. A template that enough documents
-share and that is mostly constant is boilerplate: its lines are dropped.
+share and that is mostly constant is boilerplate: its lines are dropped. So are lines that enough documents have as
+they are, whatever their fields. A line with fewer tokens than the tree is deep has a leaf of its own.
 
-``MIN_TOKENS`` and ``UNMASKED`` hold back recurring lines of a few tokens and equal lines that are mostly fields;
-``WHOLE`` are the options that drop these too.
+``LONG_ONLY`` are options of a narrower rule: lines of four tokens and more, by their templates alone.
+
+The texts are read and split once; every later step reads the columns that it needs of that table of lines.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ from .storage import stored
 SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
 #: Leading tokens on the way to a leaf; lines with fewer tokens than MIN_TOKENS are never dropped.
-DEPTH, MIN_TOKENS = 3, 4
+DEPTH, MIN_TOKENS = 3, 1
 #: Documents that must share a token or a template, and the least share of constant tokens in a template.
 MIN_DOCS, CONSTANT = 5, 0.6
 #: Are lines dropped that enough documents have as they are, whatever their template?
-UNMASKED = False
-#: Every recurring line: one with fewer tokens than DEPTH has a leaf of its own, which is all its tokens.
-WHOLE = {"min_tokens": 1, "unmasked": True}
+UNMASKED = True
+LONG_ONLY = {"min_tokens": 4, "unmasked": False}
 
 
 def plain_line(line: Column) -> Column:
@@ -40,14 +41,36 @@ def masked(plain: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """id, ``h`` (hash of the whole text), ``pos``, ``plain``, ``line`` (masked), ``n`` tokens and ``leaf``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
+    """id, ``h`` (hash of the whole text), ``pos``, ``line`` (masked), ``key`` of line, ``leaf``; ``exact``: hash of
+    the line with its fields as they are, or null if it has none."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the hash is made below the split, once for each text
+    texts = texts.select("id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("raw"))
+    rows = texts.select("id", "h", F.posexplode("raw").alias("pos", "raw"))
     rows = rows.select("id", "h", "pos", plain_line(F.col("raw")).alias("plain")).filter("plain != ''")
-    rows = rows.withColumn("line", masked(F.col("plain")))
-    rows = rows.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1)
-    rows = rows.filter(F.col("n") >= min_tokens)
-    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
+    rows = rows.select("id", "h", "pos", "plain", masked(F.col("plain")).alias("line"))
+    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1
+    rows = rows.select(
+        "id",
+        "h",
+        "pos",
+        "line",
+        F.when(F.col("plain") != F.col("line"), F.xxhash64("plain", F.lit(1))).alias("exact"),
+        F.xxhash64("line").alias("key"),
+        F.xxhash64(n, F.substring_index("line", " ", depth)).alias("leaf"),
+        n.alias("n"),
+    )
+    return rows.filter(F.col("n") >= min_tokens).drop("n")
+
+
+def _shared(rows: DataFrame, name: str, min_docs: int) -> DataFrame:
+    """The values of column ``name`` that ``min_docs`` different texts have; equal texts count once.
+
+    Both groupings combine before they shuffle, so a value in every document is a row per task. The result is
+    written: its size is known to the join that reads it, which is then broadcast or split where it is skewed.
+    """
+    docs = rows.select(name, "h").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("docs"))
+    return stored(docs.filter(F.col("docs") >= min_docs).select(name), f"shared-{name}")
 
 
 def recurring_lines(
@@ -60,39 +83,31 @@ def recurring_lines(
     constant: float = CONSTANT,
     unmasked: bool = UNMASKED,
 ) -> DataFrame:
-    """Rows of ``id``, ``h``, ``pos`` and ``template`` for the lines to drop; ``unmasked`` ones may come twice."""
-    lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    # documents with equal texts count once; (leaf, document) is combined before it is shuffled
-    leaves = lines.select("leaf", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    leaves = stored(leaves.filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    # Spark broadcasts the leaves if they are below its size limit and merges both sides otherwise
-    lines = lines.join(leaves, "leaf", "left_semi").withColumn("key", F.xxhash64("line"))
-    lines = stored(lines if unmasked else lines.drop("plain"), "lines")
-    variants = lines.select("leaf", "key", "line", "h").distinct().groupBy("leaf", "key", "line").agg(F.count(F.lit(1)).alias("docs"))
+    """Rows of ``id``, ``h`` and ``pos`` for the lines to drop; one that goes for both reasons may come twice."""
+    lines = stored(_lines(docs, id_col, text_col, depth, min_tokens), "lines")
+    place = ["id", "h", "pos"]
+    held = lines.join(_shared(lines, "leaf", min_docs), "leaf", "left_semi")
+    variants = held.groupBy("leaf", "key", "h").agg(F.first("line").alias("line"))
+    variants = variants.groupBy("leaf", "key").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("docs"))
     variants = stored(variants, "variants")
     tokens = variants.select("leaf", "key", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
     common = common.filter((F.col("support") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "at", "token")
-    found = common.withColumn("kept", F.col("token"))
-    parts = tokens.join(found, ["leaf", "at", "token"], "left").select(
-        "leaf", "key", F.struct("at", F.coalesce("kept", F.lit(FIELD)).alias("token")).alias("part"), F.col("kept").isNotNull().alias("fixed")
-    )
-    # a variant's list is as long as one line
-    templates = parts.groupBy("leaf", "key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["token"]), " ").alias("template"),
-        F.avg(F.col("fixed").cast("double")).alias("share"),
+    common = stored(common.withColumn("kept", F.lit(True)), "common")
+    parts = tokens.join(common, ["leaf", "at", "token"], "left").select(
+        "leaf", "key", F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise(FIELD).alias("token")).alias("part"), F.col("kept").isNotNull().alias("fixed")
     )
-    templates = stored(templates.filter(F.col("share") >= constant).select("leaf", "key", "template"), "templates")
-    placed = lines.select("id", "h", "pos", "leaf", "key").join(templates, ["leaf", "key"])
-    placed = stored(placed.select("id", "h", "pos", "template"), "placed")
-    shared = placed.select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    drops = placed.join(shared.filter(F.col("docs") >= min_docs).select("template"), "template", "left_semi")
+    # a variant's list is as long as one line; a template is named by its leaf and a hash
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["token"]), " ")
+    templates = parts.groupBy("leaf", "key").agg(F.xxhash64(joined).alias("template"), F.avg(F.col("fixed").cast("double")).alias("share"))
+    templates = stored(templates.filter(F.col("share") >= constant).select("leaf", "key", F.xxhash64("leaf", "template").alias("template")), "templates")
+    placed = stored(held.select(*place, "leaf", "key").join(templates, ["leaf", "key"]).select(*place, "template"), "placed")
+    drops = placed.join(_shared(placed, "template", min_docs), "template", "left_semi").select(*place)
     if not unmasked:
         return drops
-    # an equal line without fields is constant everywhere; equal lines share a leaf
-    fields = lines.filter(F.col("plain") != F.col("line")).select("id", "h", "pos", F.col("plain").alias("template"))
-    same = fields.select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    same = fields.join(same.filter(F.col("docs") >= min_docs).select("template"), "template", "left_semi")
+    # an equal line without fields is constant everywhere, so only lines with fields are left
+    fields = lines.filter("exact is not null").select(*place, "exact")
+    same = fields.join(_shared(fields, "exact", min_docs), "exact", "left_semi").select(*place)
     return drops.unionByName(same)
 
 
@@ -102,9 +117,10 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Lines end at line feeds. A line is dropped if its template is shared by ``min_docs`` documents with different
     texts (copies of one document count once) and at least ``constant`` of its tokens are constant; lines with
     fewer than ``min_tokens`` tokens, blank ones too, stay. With ``unmasked`` a line also goes if so many documents
-    have it with its fields as they are. ``WHOLE`` drops recurring lines of any length. Null and empty texts are one empty line and stay
-    empty. Repeated rows and null ids stay rows of their own; other columns are ignored; an empty table gives an
-    empty result.
+    have it with its fields as they are. Null and empty texts are one empty line and stay empty; a text of any
+    length is one row. Nothing depends on order, so there are no ties. Repeated rows and null ids stay rows of their
+    own; other columns are ignored; an empty table gives an empty result. Lines, leaves and templates are told
+    apart by 64-bit hashes.
     """
     drops = recurring_lines(docs, id_col, text_col, **options)
     # a list of positions is as long as one document's lines

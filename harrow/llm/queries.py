@@ -44,9 +44,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
 
 
-def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_line_dedup by the wider rule: recurring lines of any length, and equal lines whatever their fields."""
-    return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
+def line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_line_dedup by a narrower rule: lines of four tokens and more, by their templates alone."""
+    return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"), **line_dedup.LONG_ONLY)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "line_dedup_long": line_dedup_long,
 }
 
-#: Queries besides the ten.
-WIDER = {"op8_line_dedup_whole": op8_line_dedup_whole}
-
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -107,7 +105,7 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-OP8_SQL = r"""
+LINES_LONG_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -158,7 +156,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM w
 """
 
-OP8_WHOLE_SQL = r"""
+OP8_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -199,5 +197,4 @@ SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines,
 FROM docs d LEFT JOIN drops x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
 """
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
-WIDER_SQL = {"op8_line_dedup_whole": OP8_WHOLE_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "line_dedup_long": LINES_LONG_SQL}
