@@ -1,17 +1,23 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree. Each paragraph passes points for its length and commas to its ancestors, fewer the
-farther they are; an ancestor's points are discounted by the share of its text that is inside links. The best
-container leads to the article: the article or main element around it or, where there is none that is mostly
-text, the container with all its siblings but those that are mostly links. What
-belongs to the page and not to the article (menus, notices, adverts, forms, comments, ...) leaves the tree
-before scoring.
+A page becomes a tree. Menus, scripts, forms, hidden elements and the like leave it by their element names and roles.
+Each paragraph passes points for its length and commas to its ancestors, fewer the farther they are; an ancestor's
+points are discounted by the share of its text that is inside links. The best container leads to the article:
+
+- the article or main element around it, or
+- the lowest ancestor that holds most of what all paragraphs of the page are worth; beside it stay its siblings that
+  are mostly text, and of the siblings of its ancestors those with the title or with a fair share of the points.
+
+Everything in the kept elements is returned but furniture: elements whose class or id is made of names such as
+``comments`` or ``share-buttons`` alone. ``related-work`` is no such name. Names that an article's own parts may have
+too, such as ``discussion``, only lower an element's score, and an element with enough prose stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +37,8 @@ BLOCKS = _words(
 PARAGRAPHS = _words("p pre td blockquote li dd figcaption")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 NEVER = _words(
-    "aside audio button canvas datalist dialog embed footer form head iframe input link map menu meta nav noembed noframes "
-    "noscript object script select style svg template textarea title video"
+    "aside audio button canvas datalist dialog embed footer head iframe input link map menu meta nav noembed noframes "
+    "noscript object optgroup option script select style svg template textarea title video"
 )
 #: An open element that a start tag of the same group closes.
 CLOSES = {
@@ -54,18 +60,30 @@ WALLS = {
     "th": _words("table tr"),
     "option": _words("select"),
 }
-#: Words in a class or id that say that an element is not the article, and words that say that it is.
+#: Words that name what stands beside an article, as a class or id of their own or with words of FILLERS.
 APART = _words(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments "
-    "consent cookie cookies copyright disqus discussion footer gdpr header login masthead menu modal nav navbar navigation "
-    "newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies "
-    "reply respond responses search share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags "
-    "toolbar widget widgets"
+    "ad ads adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent "
+    "cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager pagination popup "
+    "promo promoted share sharing shoutbox sidebar signup sitemap social sponsor sponsored toolbar widget widgets"
+)
+#: Words that name such parts or parts of an article.
+UNSURE = _words(
+    "banner byline copyright discussion header notice notices overlay promotion recommended related replies reply respond "
+    "responses search subscribe tags"
+)
+#: Words that say nothing on their own.
+FILLERS = _words(
+    "area articles bar block body bottom bottombar box buttons col column container content count entry form global icons "
+    "inner items left links list main meta middle network outer page panel popular post posts primary right secondary "
+    "section site slot stories story strip tools top topbar unit wrap wrapper zone"
 )
 ARTICLE = _words("article body content entry main post story text")
+#: What words of UNSURE leave of an element's score, and the score from which it stays.
+LOWERED, ENOUGH = 0.3, 3.0
 #: An element with a larger share of its text inside links is not mostly text.
 LINKS = 0.25
-_NEGATED = _words("has with no without")
+#: The share of what all paragraphs are worth that the article's container holds at least.
+MOST = 0.75
 ROLES = _words("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar form")
 
 _TAG = re.compile(
@@ -75,19 +93,29 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])", re.S)
-_TOKEN = re.compile(r"[a-zA-Z0-9]+")
+_TOKEN = re.compile(r"[^\W_]+")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
     """An element: children are nodes and decoded strings in page order."""
 
-    __slots__ = ("attributes", "children", "length", "link_length", "name", "parent", "points")
+    __slots__ = ("attributes", "children", "holds", "length", "link_length", "name", "parent", "points", "worth")
 
     def __init__(self, name: str, parent: Node | None, attributes: dict[str, str]):
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.worth = 0.0  # worth: of all paragraphs inside, wherever they stand
         self.length = self.link_length = 0
+        self.holds: frozenset[str] = frozenset()  # which of TITLED are inside
+
+    def inner(self) -> list[Node]:
+        return [c for c in self.children if not isinstance(c, str)]
+
+    def density(self) -> float:
+        """The share of its text that is inside links."""
+        return self.link_length / max(self.length, 1)
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -101,16 +129,28 @@ def parse(page: str) -> Node:
     root = Node("#root", None, {})
     at, here = 0, root
 
+    open_names: Counter[str] = Counter()
+
     def text(piece: str) -> None:
         if piece:
             here.children.append(html.unescape(piece))
 
-    def close(names: frozenset[str], walls: frozenset[str]) -> None:
+    def leave(upto: Node) -> None:
+        """Makes the parent of ``upto`` the open element."""
         nonlocal here
+        while True:
+            open_names[here.name] -= 1
+            left, here = here, here.parent
+            if left is upto:
+                return
+
+    def close(names: frozenset[str], walls: frozenset[str]) -> None:
+        if not any(open_names[name] for name in names):
+            return
         node = here
         while node is not root and node.name not in walls:
             if node.name in names:
-                here = node.parent
+                leave(node)
                 return
             node = node.parent
 
@@ -126,39 +166,40 @@ def parse(page: str) -> Node:
         if name in BLOCKS:
             close(frozenset(("p",)), frozenset(("table", "td", "th", "button", "object")))
             if name in HEADINGS and here.name in HEADINGS:
-                here = here.parent
+                leave(here)
         if name in CLOSES:
             close(CLOSES[name], WALLS[name])
         rest = match["rest"] if match["name"] else match["rest2"]
         node = Node(name, here, _attributes(rest or ""))
         here.children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not (rest or "").endswith("/") or name in BLOCKS:
             if name not in VOID:
                 here = node
+                open_names[name] += 1
     text(page[at:])
     return root
 
 
-def _marks(node: Node) -> set[str]:
-    """The words of an element's class and id; a word after 'has' or 'no' is not one."""
-    found: set[str] = set()
-    for group in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower().split():
-        tokens = _TOKEN.findall(group)
-        found.update(t for i, t in enumerate(tokens) if not i or tokens[i - 1] not in _NEGATED)
-    return found
+#: Elements with the article or its title.
+TITLED = _words("article main h1")
 
 
-def _holds(node: Node, names: tuple[str, ...]) -> bool:
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if not isinstance(child, str):
-                if child.name in names:
-                    return True
-                stack.append(child)
+def _names(node: Node) -> list[list[str]]:
+    """The words of each class and of the id."""
+    if not node.attributes:
+        return []
+    groups = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split()
+    return [_TOKEN.findall(_CAMEL.sub("-", group).lower()) for group in groups]
+
+
+def _named(node: Node, names: frozenset[str]) -> bool:
+    """Has it a class or id with words of ``names``, and else with words of the three lists and numbers alone?"""
+    for words in _names(node):
+        if any(w in names for w in words) and all(w in APART or w in UNSURE or w in FILLERS or w.isdigit() for w in words):
+            return True
     return False
 
 
@@ -166,29 +207,35 @@ def _apart(node: Node, inside: bool) -> bool:
     """Is it beside the article? ``inside``: it is in an article or main element."""
     if node.name in NEVER or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
         return True
+    if node.name == "form":  # some pages are one form
+        return not node.holds
     if node.name == "header" and not inside:
-        return not _holds(node, ("article", "main"))
+        return not node.holds & {"article", "main"}
     if re.search(r"display\s*:\s*none", node.attributes.get("style", "")):
         return True
-    if node.attributes and (node.attributes.get("role", "").lower() in ROLES or _marks(node) & APART):
-        return node.name not in ("html", "body", "main") and not _holds(node, ("main", "h1"))
-    return False
+    if node.name in ("html", "body", "main", "article") or node.holds & {"main", "h1"}:
+        return False
+    return node.attributes.get("role", "").lower() in ROLES or _named(node, APART)
 
 
 def _prune(root: Node) -> None:
+    for node in reversed(_in_order(root)):
+        found = node.holds | ({node.name} & TITLED)
+        if found and node.parent is not None:
+            node.parent.holds |= found
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.name in ("article", "main")
         node.children = [c for c in node.children if isinstance(c, str) or not _apart(c, inside)]
-        stack.extend((c, inside) for c in node.children if not isinstance(c, str))
+        stack.extend((c, inside) for c in node.inner())
 
 
 def _in_order(root: Node) -> list[Node]:
     """Every element, parents first."""
     found = [root]
     for node in found:
-        found.extend(c for c in node.children if not isinstance(c, str))
+        found.extend(node.inner())
     return found
 
 
@@ -210,9 +257,9 @@ def _score(root: Node) -> list[Node]:
     nodes = _in_order(root)
     for node in reversed(nodes):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        inner = [c for c in node.children if not isinstance(c, str)]
-        node.length = own + sum(c.length for c in inner)
-        node.link_length = node.length if node.name == "a" else sum(c.link_length for c in inner)
+        node.points = node.worth = 0.0
+        node.length = own + sum(c.length for c in node.inner())
+        node.link_length = node.length if node.name == "a" else sum(c.link_length for c in node.inner())
     for node in nodes:
         blocks = any(not isinstance(c, str) and c.name in BLOCKS for c in node.children)
         loose = node.name in BLOCKS and not blocks and node.name not in HEADINGS
@@ -223,19 +270,44 @@ def _score(root: Node) -> list[Node]:
         else:
             text = _text(node)
         worth = (1.0 if len(text) >= 25 else 0.1) + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
-        worth *= 1 - node.link_length / max(node.length, 1)
+        worth *= 1 - node.density()
+        node.worth += worth
         parent = node if blocks or node.name not in PARAGRAPHS else node.parent
         level = 0
         while parent is not None and level < 5:
             parent.points += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
             parent, level = parent.parent, level + 1
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.worth += node.worth
     return nodes
 
 
-def _worth(node: Node) -> float:
-    marks = _marks(node) if node.attributes else set()
-    bonus = 1.5 if node.name in ("article", "main") else 1.25 if marks & ARTICLE else 1.0
-    return node.points * bonus * (1 - node.link_length / max(node.length, 1))
+def _rank(node: Node) -> float:
+    names = {w for words in _names(node) for w in words}
+    bonus = 1.5 if node.name in ("article", "main") else 1.25 if names & ARTICLE else 1.0
+    lowered = LOWERED if _named(node, UNSURE) else 1.0
+    return node.points * bonus * lowered * (1 - node.density())
+
+
+def _drop_unsure(root: Node) -> bool:
+    """Elements with an unsure name and little prose go, but never what holds most of the page's prose or its title."""
+    stack, dropped = [root], False
+    while stack:
+        node = stack.pop()
+        for child in node.inner():
+            if (
+                child.name not in ("html", "body", "main", "article")
+                and not child.holds
+                and _named(child, UNSURE)
+                and child.worth * LOWERED * (1 - child.density()) < ENOUGH
+                and child.worth < MOST * root.worth
+            ):
+                node.children = [c for c in node.children if c is not child]
+                dropped = True
+            else:
+                stack.append(child)
+    return dropped
 
 
 def _blocks(node: Node, found: list[str]) -> None:
@@ -266,32 +338,55 @@ def _blocks(node: Node, found: list[str]) -> None:
     flush()
 
 
-def _kept(best: Node) -> list[Node]:
+def _kept(best: Node, root: Node) -> list[Node]:
     """The elements that make up the article around the best container, in page order."""
-    density = lambda node: node.link_length / max(node.length, 1)
-    if best.parent is None or best.name in ("article", "main", "body"):
+    around, above = [], best
+    while above is not None:
+        if above.name in ("article", "main") and above.density() < LINKS:
+            around.append(above)
+        above = above.parent
+    if around:  # several articles in one main element are one text unless one of them is most of it
+        return [next((n for n in around if n.worth >= MOST * root.worth), around[-1])]
+    while best.parent is not None and best.name != "body" and best.worth < MOST * root.worth:
+        best = best.parent
+    if best.parent is None or best.name == "body":  # a page without containers: what is mostly links is a menu
+        menus = [c for c in best.inner() if c.name in BLOCKS - PARAGRAPHS - HEADINGS and c.density() > 0.5]
+        best.children = [c for c in best.children if c not in menus]
         return [best]
-    around = best.parent
-    while around is not None:
-        if around.name in ("article", "main") and density(around) < LINKS:
-            return [around]
-        around = around.parent
-    least = max(10.0, 0.2 * _worth(best))
-    nodes = [n for n in best.parent.children if not isinstance(n, str)]
-    return [n for n in nodes if n is best or n.name in HEADINGS or n.length and density(n) < LINKS or _worth(n) >= least]
+    kept: set[int] = {id(best)}
+    fair = max(10.0, 0.2 * _rank(best))
+    here = best
+    while here.parent is not None and here.name != "body":
+        for node in here.parent.inner():
+            text = node.length and node.density() < LINKS
+            near = node.name in HEADINGS or text
+            if (near and here is best) or (text and "h1" in node.holds | {node.name}) or _rank(node) >= fair:
+                if node is not here:
+                    kept.add(id(node))
+        here = here.parent
+    found, stack = [], [here]
+    while stack:
+        node = stack.pop()
+        if id(node) in kept:
+            found.append(node)
+        else:
+            stack.extend(reversed(node.inner()))
+    return found
 
 
 def main_text(page: str) -> str:
     """The article's blocks joined by empty lines; white space inside a block is one space."""
     root = parse(page)
     _prune(root)
-    nodes = [n for n in _score(root) if n.name in BLOCKS or n is root]
-    best = max(nodes, key=_worth)
+    nodes = _score(root)
+    if _drop_unsure(root):
+        nodes = _score(root)
+    nodes = [n for n in nodes if n.name in BLOCKS or n is root]
+    best = max(nodes, key=_rank)
     if best.points <= 0:
         best = next((n for n in nodes if n.name in ("article", "main")), root)
-    kept = _kept(best)
     found: list[str] = []
-    for node in kept:
+    for node in _kept(best, root):
         _blocks(node, found)
     return "\n\n".join(found)
 
@@ -300,8 +395,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per input row: id, url, ``text`` and ``n_chars`` (its code points).
 
     A null or empty page has an empty text, and so has a page without text. Null ids and urls stay null; repeated
-    rows stay rows of their own; other columns are ignored; an empty table gives an empty result. There is no
-    shuffle: a page needs only itself.
+    rows stay rows of their own; other columns are ignored; an empty table gives an empty result. Of containers with
+    equal points the outermost, then the first of the page leads. A page of any length or depth is read whole, in time
+    that grows with its length; nothing recurses. There is no shuffle: a page needs only itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
