@@ -5,15 +5,18 @@ register holds ``floor(1 - log_b(x))``, cut to 0..q+1, of the smallest of the se
 Registers of a union are the maxima of the registers, and with b near 1 two registers agree about as often as
 the sets' Jaccard similarity says. Steps:
 
-1. documents with equal sets form a class; classes are what is compared;
+1. documents with equal sets form a class with a number of its own; classes are what is compared;
 2. a class is put into one bucket per band of registers; classes that share a bucket are candidates;
 3. each bucket's smallest class is its pivot and is compared with all others of the bucket: that is linear
    in the bucket's size, and joins the many variants of a large group without listing their pairs;
-4. where a bucket still holds several components, members outside its largest one meet the others in blocks of
-   a bounded size: finer sketches are compared inside the block, and only pairs that may be linked leave it;
+4. where a bucket still holds several components, members outside its largest one meet the others. A bucket of
+   more than ``BLOCK`` members, such as those who share a long passage, is first banded again by a finer sketch, as
+   often as it takes: a pair that may be linked shares one of the new buckets. In each that is left, finer sketches
+   are compared, and only pairs that may be linked leave it. So a class meets at most about ``BLOCK`` others in each
+   of its buckets;
 5. a comparison first estimates the similarity from both sketches jointly by maximum likelihood, and what is
    not clearly below the threshold is confirmed on the full sets;
-6. components over the confirmed links.
+6. components over the confirmed links; the second search adds to the components of the first.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Shingles that are sketched together.
 TOGETHER = 1 << 16
-#: Registers of the finer sketch (their low bytes), and about so many rows of each side in a block.
+#: Registers of the finer sketch (their low bytes), and the members of a bucket from which it is banded again.
 FINE, BLOCK = 1024, 1024
+#: How often; from then on buckets are cut into blocks of BLOCK rows of each side, all of which are compared.
+LEVELS = 4
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -100,12 +105,14 @@ def _packed(sets: list[np.ndarray], size: int) -> list[bytes | None]:
 
 
 def _sketch(words: int, size: int):
+    """(id, h, text) -> (id, h, n, digest, registers)"""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, sketches = [], [], []
             waiting: list[np.ndarray] = []
             held = 0
-            for found in shingle_sets(batch.column(1), words):
+            for found in shingle_sets(batch.column(2), words):
                 counts.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 waiting.append(found)
@@ -115,8 +122,8 @@ def _sketch(words: int, size: int):
                     waiting, held = [], 0
             sketches += _packed(waiting, size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["id", "n", "digest", "registers"],
+                [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["id", "h", "n", "digest", "registers"],
             )
 
     return run
@@ -150,7 +157,7 @@ def _fine(words: int):
 def _within_blocks(percent: int, bands: int):
     """Rows sorted by block -> the pairs of each block that may be linked.
 
-    A pair is looked at in the first bucket that it shares, so it leaves one block at most.
+    A pair is looked at in the first band that it shares.
     """
     least = percent / 100 - ERRORS * sqrt(percent / 100 * (1 - percent / 100) / FINE)
 
@@ -233,6 +240,27 @@ def _confirmed(words: int, percent: int):
     return run
 
 
+def _rebanded(large: DataFrame, fine: DataFrame, percent: int, miss: float, level: int) -> DataFrame:
+    """The members of large buckets in smaller ones: a pair that may be linked shares one of these."""
+    bands = min(bands_for(percent, ROWS, miss), FINE // ROWS)
+    first = (level * FINE // LEVELS) % FINE  # another level starts at other registers
+    part = lambda j: F.substring(F.col("turned"), j * ROWS + 1, F.lit(ROWS))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64("key", F.lit(level), j, part(j)))
+    turned = F.concat(F.expr(f"substring(fine, {first + 1}, {FINE})"), F.expr(f"substring(fine, 1, {first})"))
+    rows = large.join(fine.select("rep", turned.alias("turned")), "rep")
+    return rows.select(F.explode(keys).alias("key"), "band", "rep", "is_pivot", "component")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with the bucket's size, its largest component and whether they are outside it."""
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    main = sizes.groupBy("key").agg(
+        F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("all"), F.count(F.lit(1)).alias("components")
+    )
+    main = main.filter("components > 1").select("key", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.members")).alias("few"))
+    return placed.join(main, "key").withColumn("apart", F.col("component") != F.col("main"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -241,37 +269,47 @@ def near_duplicates(
     percent: int = 80,
     rows: int = ROWS,
     miss: float = MISS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a set has the distinct shingles of ``words``
-    words, or the whole sequence where there are fewer. Documents are linked if 100 * intersection >= percent
+    words, or the whole sequence where there are fewer. Rows are linked if 100 * intersection >= percent
     * union; ``component_id`` is the smallest id that links reach. A pair exactly at the threshold goes
-    unseen with a chance of ``miss`` at most, a closer one with less; copies are never missed. Null texts and
-    texts without words have an empty set, link to nothing and are kept. A null id takes part through copies of its text only:
-    its component is that of the copies, or null and kept if there are none. Rows that repeat an id are kept or dropped
-    together. Other columns are ignored; an empty table gives an empty result.
+    unseen with a chance of about ``miss``, a closer one with less; copies are never missed. Null texts and
+    texts without words have an empty set, link to nothing and are kept. A row with a null id links like others;
+    a component without any id has a null ``component_id``, and its rows are kept. Rows that repeat an id are rows of
+    their own, each with the links of its own text. A very long text is one row like others. Other columns
+    are ignored; an empty table gives an empty result.
     """
+    return _verdict(docs, id_col, text_col, words, percent, rows, miss, block).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept"
+    )
+
+
+def _verdict(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, rows: int, miss: float, block: int) -> DataFrame:
+    """id, ``h`` (hash of the text), ``n``, ``component``, ``kept``."""
     bands = bands_for(percent, rows, miss)
     size = bands * rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     sketches = stored(
-        texts.mapInArrow(_sketch(words, size), f"id {kind}, n long, digest binary, registers binary"), "sketches"
-    )
-    # equal sets have equal registers, so these keys make one row per distinct set
-    classes = stored(
-        sketches.filter("n > 0 and id is not null").groupBy("digest", "n", "registers").agg(F.min("id").alias("rep")), "classes"
+        texts.mapInArrow(_sketch(words, size), f"id {kind}, h long, n long, digest binary, registers binary"), "sketches"
     )
+    # equal sets have equal registers, so these keys make one row per distinct set; ``at`` is a row with its text
+    classes = sketches.filter("n > 0").groupBy("digest", "n", "registers").agg(F.min("id").alias("id"), F.min(F.struct("id", "h")).alias("at"))
+    # the table is written, so the numbers are the same for every reader
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * rows) + 1, F.lit(2 * rows))),
     )
-    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep", "n")
+    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep")
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("there")).filter("there > 1")
     shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
-    near = shared.select(F.col("rep").alias("id")).distinct()
-    near_texts = stored(texts.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    near = classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("at.id").alias("_id"), F.col("at.h").alias("_h"))
+    same_row = texts["id"].eqNullSafe(near["_id"]) & texts["h"].eqNullSafe(near["_h"])
+    near_texts = stored(texts.join(near, same_row).select("rep", "text").dropDuplicates(["rep"]), "texts")
     sketched = classes.select("rep", "n", "registers")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -280,57 +318,74 @@ def near_duplicates(
         fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         least = percent / 100 - ERRORS * sqrt(percent / 100 * (1 - percent / 100) / size)
         both = pairs.join(a, "u").join(b, "v").filter(fit).select("u", "v", "na", "nb", "ra", "rb")
-        likely = both.mapInArrow(_likely(least), f"u {kind}, v {kind}")
-        ta = near_texts.select(F.col("id").alias("u"), F.col("text").alias("ta"))
-        tb = near_texts.select(F.col("id").alias("v"), F.col("text").alias("tb"))
+        likely = both.mapInArrow(_likely(least), "u long, v long")
+        ta = near_texts.select(F.col("rep").alias("u"), F.col("text").alias("ta"))
+        tb = near_texts.select(F.col("rep").alias("v"), F.col("text").alias("tb"))
         read = likely.join(ta, "u").join(tb, "v").select("u", "v", "ta", "tb")
-        return read.mapInArrow(_confirmed(words, percent), f"u {kind}, v {kind}")
+        return read.mapInArrow(_confirmed(words, percent), "u long, v long")
 
     first = shared.filter("rep != pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = stored(confirmed(first), "links")
-    groups = connected_components(links).select(F.col("node").alias("rep"), "component")
-    placed = shared.join(groups, "rep", "left").select("key", "band", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-    placed = stored(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    placed = placed.join(split.select("key"), "key", "left_semi")
-    # a bucket's largest component meets the others' members; its own members do not meet each other
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("all"))
-    parts = lambda rows: F.ceil(rows / BLOCK).cast("int")
-    main = main.select(
-        "key", F.col("top.component").alias("main"), parts(F.col("all")).alias("b_parts"), parts(F.col("all") - F.col("top.members")).alias("a_parts")
+    groups = connected_components(confirmed(first)).select(F.col("node").alias("rep"), "component")
+    placed = shared.join(groups, "rep", "left").select(
+        "key", "band", "rep", (F.col("rep") == F.col("pivot")).alias("is_pivot"), F.coalesce("component", "rep").alias("component")
     )
-    open_ = stored(placed.join(main, "key").withColumn("apart", F.col("component") != F.col("main")), "open")
-    wanted = open_.select("rep").distinct()
-    read = near_texts.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text")
-    fine = stored(read.mapInArrow(_fine(words), f"rep {kind}, fine binary").join(classes.select("rep", "n", keys.alias("keys")), "rep"), "fine")
+    open_ = stored(_open(placed), "open")
+    wanted = near_texts.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
+    fine = wanted.mapInArrow(_fine(words), "rep long, fine binary").join(classes.select("rep", "n", keys.alias("keys")), "rep")
+    fine = stored(fine, "fine")
+    fits, small = F.col("all") <= block, None
+    for level in range(LEVELS):
+        part = open_.filter(fits)
+        small = part if small is None else small.unionByName(part)
+        large = open_.filter(~fits)
+        if large.isEmpty():
+            break
+        # a finer bucket that holds one component is settled
+        open_ = stored(_open(_rebanded(large, fine, percent, miss, level)), "open")
+    else:
+        small = small.unionByName(open_)
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    small = small.withColumn("b_parts", parts("all")).withColumn("a_parts", parts("few"))
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cells = ["key", "band", "rep", "component", "apart", (F.col("rep") == F.col("pivot")).alias("is_pivot")]
-    a = open_.filter("apart").select(*cells, F.lit(0).alias("side"), spread(F.col("a_parts")).alias("i"), upto(F.col("b_parts")).alias("j"))
-    b = open_.select(*cells, F.lit(1).alias("side"), spread(F.col("b_parts")).alias("j"), upto(F.col("a_parts")).alias("i"))
-    rows = a.unionByName(b).withColumn("block", F.xxhash64("key", "i", "j")).join(fine, "rep")
-    rows = rows.select("block", "side", "band", "rep", "apart", "is_pivot", F.xxhash64("component").alias("c"), F.xxhash64("rep").alias("o"), "n", "keys", "fine")
-    rows = rows.repartition("block").sortWithinPartitions("block")
-    second = rows.mapInArrow(_within_blocks(percent, bands), f"x {kind}, y {kind}")
-    second = second.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    more = stored(confirmed(second), "more-links")
-    edges = links.unionByName(more)
-    final = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    labelled = classes.select("digest", "rep").join(final, "rep", "left")
-    labelled = labelled.select("digest", F.coalesce("component", "rep").alias("component"))
-    members = sketches.select("id", "n", "digest").join(labelled, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return members.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        (component.isNull() | F.col("id").eqNullSafe(component)).alias("kept"),
-    )
-
+    cells = ["key", "band", "rep", "component", "apart", "is_pivot"]
+    a = small.filter("apart").select(*cells, F.lit(0).alias("side"), spread(F.col("a_parts")).alias("i"), upto(F.col("b_parts")).alias("j"))
+    b = small.select(*cells, F.lit(1).alias("side"), spread(F.col("b_parts")).alias("j"), upto(F.col("a_parts")).alias("i"))
+    cut = a.unionByName(b).withColumn("block", F.xxhash64("key", "i", "j")).join(fine, "rep")
+    cut = cut.select("block", "side", "band", "rep", "apart", "is_pivot", F.xxhash64("component").alias("c"), F.xxhash64("rep").alias("o"), "n", "keys", "fine")
+    cut = cut.repartition("block").sortWithinPartitions("block")
+    second = cut.mapInArrow(_within_blocks(percent, bands), "x long, y long")
+    second = second.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    # the second search joins components of the first
+    of = lambda name: groups.select(F.col("rep").alias(name), F.col("component").alias(f"{name}c"))
+    more = confirmed(second).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    more = connected_components(more.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")))
+    final = classes.select("digest", "rep", "id").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = more.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    final = final.join(more, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    final = stored(final.select("digest", "id", "component"), "final")
+    named = stored(final.groupBy("component").agg(F.min("id").alias("least")), "named")
+    labelled = final.join(named, "component").select("digest", "least")
+    members = sketches.select("id", "h", "n", "digest").join(labelled, "digest", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
+    return members.select("id", "h", "n", component.alias("component"), (component.isNull() | F.col("id").eqNullSafe(component)).alias("kept"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    percent: int = 80,
+    rows: int = ROWS,
+    miss: float = MISS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns and nothing else.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its group, with all their columns and nothing else."""
-    verdict = near_duplicates(docs, id_col, text_col, **options)
-    kept = verdict.filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    A verdict holds for the rows with its id and text, so rows that are equal in both stay or go together.
+    """
+    verdict = _verdict(docs, id_col, text_col, words, percent, rows, miss, block)
+    gone = verdict.filter("not kept").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(gone["_h"])
+    return docs.join(gone, same, "left_anti")
