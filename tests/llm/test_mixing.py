@@ -1,9 +1,6 @@
 import random
 from math import isclose
 
-import pytest
-
-from harrow.llm import quality
 from harrow.llm.mixing import mix, mixed_documents
 
 from .samples import awkward, nothing, rows_of
@@ -50,35 +47,3 @@ def test_mix_awkward(spark):
     docs = awkward(spark)
     assert mix(docs).count() == docs.count()
     assert mix(nothing(spark)).count() == 0
-
-
-def test_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat. the dog sat on the log.",), ("a cat and a dog",)], "text string")
-    model = {r["key"]: r["value"] for r in quality.kneser_ney(texts).collect()}
-    ones = [v for k, v in model.items() if k >> 24 == 1]
-    seen = len(ones)
-    rest = (quality.SYMBOLS - seen) / quality.SYMBOLS * model[(quality._GAMMA + 1) << 24]
-    assert sum(ones) + rest == pytest.approx(1.0)
-
-
-def test_held_out_accuracy(spark):
-    rng = random.Random(9)
-    words = "the of and to in is that for it was on are as with they be at one have this from had by word but".split()
-    good = lambda: " ".join(rng.choice(words) for _ in range(120)) + "."
-    junk = lambda: "".join(rng.choice("#$%zqxj0123456789{}|") for _ in range(600))
-    docs = [(i, good() if i % 4 else junk(), "en") for i in range(400)]
-    labels = [(i, 1 if i % 4 else 0, 0) for i in range(200)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"]: r["kept"] for r in rows_of(quality.classify(frame, marks))}
-    unseen = range(200, 400)
-    assert sum(kept[i] == bool(i % 4) for i in unseen) / len(unseen) >= 0.98
-
-
-def test_quality_awkward(spark):
-    marks = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
-    docs = awkward(spark)
-    assert quality.classify(docs, marks).count() == docs.count()
-    assert quality.classify(docs, marks.limit(0)).filter("not kept").count() == 0
-    assert quality.classify(nothing(spark), marks).count() == 0
-    assert quality.keep_good(docs, marks).columns == docs.columns
