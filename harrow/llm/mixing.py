@@ -84,13 +84,45 @@ def mix(
 
     ``taken`` = size * (complete epochs + 1 if the fractional sample has the document). The document on the
     budget's edge is taken if that brings the source nearer to its target, so a source misses its target by
-    half a document at most. Null texts have size 0 and take nothing; a null source is a source of its own
-    and comes last; a source without words has target 0. Repeated rows count each. Ties of keys (equal ids)
-    are settled by size. An empty table gives an empty result; other columns are ignored.
+    half a document at most. Null texts and texts without words have size 0 and are never sampled; a null source is a
+    source of its own and comes last; a source without words has target 0. Repeated rows count each. Ties of keys
+    (equal ids) are settled by size. A very long text is one row like others. An empty table gives an empty result;
+    other columns are ignored.
     """
+    drawn = _drawn(docs, F.struct(F.col(id_col).alias("id")), id_col, text_col, source_col, seed, cycle, most, weight)
+    taken = F.col("size") * (F.col("epochs") + F.col("sampled").cast("long"))
+    plan = ["size", "source_size", "target", "epochs", "sampled"]
+    return drawn.select(F.col("carried.id").alias(id_col), F.col("source").alias(source_col), *plan, taken.alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix",
+    cycle: tuple[int, ...] = CYCLE,
+    most: int = MOST,
+    weight: Column | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` repeated as often as ``mix`` takes them, ``most`` times at most; rows that it does not take go.
+
+    Each row has its own verdict, whatever its id. A document without words is repeated in complete epochs only.
+    """
+    drawn = _drawn(docs, F.struct(*docs.columns), id_col, text_col, source_col, seed, cycle, most, weight)
+    times = (F.col("epochs") + F.col("sampled").cast("long")).cast("int")
+    repeated = drawn.filter(times > 0).select("carried", F.explode(F.sequence(F.lit(1), times)))
+    return repeated.select("carried.*")
+
+
+def _drawn(
+    docs: DataFrame, carried: Column, id_col: str, text_col: str, source_col: str, seed: str, cycle: tuple[int, ...], most: int, weight: Column | None
+) -> DataFrame:
+    """``carried`` of each document with what ``mix`` decides."""
     weight = quality_weight(F.col(text_col)) if weight is None else weight
     rows = stored(
         docs.select(
+            carried.alias("carried"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
@@ -101,12 +133,13 @@ def mix(
     buckets = 2 * isqrt(rows.count()) + 1
     # 1 - exp(-key) is monotone in the key and near uniform for weights near 1
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    targets = source_targets(rows, cycle, most)
+    slim = rows.drop("carried")
+    targets = source_targets(slim, cycle, most)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
     plan = targets.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("long")).withColumn(
         "rest", F.col("target") - F.col("epochs") * F.col("source_size")
     )
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     edge = (
@@ -119,40 +152,16 @@ def mix(
     # written, so that its size is known: Spark broadcasts it below its limit and can split a hot source beyond it
     plan = stored(_null_safe(plan, edge, "source", "left"), "plan")
     rows = _null_safe(rows, plan, "source")
-    clear = rows.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn(
-        "sampled", (F.col("edge").isNull() & (F.col("rest") > 0)) | F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
-    )
+    whole = (F.col("edge").isNull() & (F.col("rest") > 0)) | F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
+    clear = rows.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("sampled", whole & (F.col("size") > 0))
     inside = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    on_edge = rows.filter(F.col("bucket") == F.col("edge")).withColumn("sampled", end + F.col("size") / 2 <= F.col("rest"))
-    return clear.unionByName(on_edge).select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "size",
-        "source_size",
-        "target",
-        "epochs",
-        "sampled",
-        (F.col("size") * (F.col("epochs") + F.col("sampled").cast("long"))).alias("taken"),
-    )
+    near = (end + F.col("size") / 2 <= F.col("rest")) & (F.col("size") > 0)
+    on_edge = rows.filter(F.col("bucket") == F.col("edge")).withColumn("sampled", near)
+    return clear.unionByName(on_edge)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join in which a null key meets the null key; Spark broadcasts a side only below its size limit."""
     other = right.withColumnRenamed(key, "_other")
     return left.join(other, left[key].eqNullSafe(other["_other"]), how).drop("_other")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` repeated as often as the mix takes them; rows that it does not take go."""
-    id_col = options.get("id_col", "doc_id")
-    times = (
-        mix(docs, **options)
-        .groupBy(id_col)
-        .agg(F.max(F.col("epochs") + F.col("sampled").cast("long")).alias("_times"))
-        .filter("_times > 0")
-        .withColumnRenamed(id_col, "_id")
-    )
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])

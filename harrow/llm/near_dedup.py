@@ -9,11 +9,11 @@ the sets' Jaccard similarity says. Steps:
 2. a class is put into one bucket per band of registers; classes that share a bucket are candidates;
 3. each bucket's smallest class is its pivot and is compared with all others of the bucket: that is linear
    in the bucket's size, and joins the many variants of a large group without listing their pairs;
-4. where a bucket still holds several components, members outside its largest one meet the others. A bucket of
-   more than ``BLOCK`` members, such as those who share a long passage, is first banded again by a finer sketch, as
-   often as it takes: a pair that may be linked shares one of the new buckets. In each that is left, finer sketches
-   are compared, and only pairs that may be linked leave it. So a class meets at most about ``BLOCK`` others in each
-   of its buckets;
+4. where a bucket still holds several components, members outside its largest one meet the others. A bucket with
+   many such members, as where a long passage is shared, is first banded again by a finer sketch, as often as it
+   takes: a pair that may be linked shares one of the new buckets. In each that is left, finer sketches are compared
+   in blocks, and only pairs that may be linked leave it. So a class meets at most about ``WIDE * BLOCK`` such
+   members in each of its buckets;
 5. a comparison first estimates the similarity from both sketches jointly by maximum likelihood, and what is
    not clearly below the threshold is confirmed on the full sets;
 6. components over the confirmed links; the second search adds to the components of the first.
@@ -44,8 +44,10 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Shingles that are sketched together.
 TOGETHER = 1 << 16
-#: Registers of the finer sketch (their low bytes), and the members of a bucket from which it is banded again.
+#: Registers of the finer sketch (their low bytes), and the rows of each side of a block.
 FINE, BLOCK = 1024, 1024
+#: A bucket with more blocks than this outside its largest component is banded again; below it, that would cost more.
+WIDE = 4
 #: How often; from then on buckets are cut into blocks of BLOCK rows of each side, all of which are compared.
 LEVELS = 4
 
@@ -333,7 +335,7 @@ def _verdict(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     wanted = near_texts.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
     fine = wanted.mapInArrow(_fine(words), "rep long, fine binary").join(classes.select("rep", "n", keys.alias("keys")), "rep")
     fine = stored(fine, "fine")
-    fits, small = F.col("all") <= block, None
+    fits, small = F.col("few") <= WIDE * block, None
     for level in range(LEVELS):
         part = open_.filter(fits)
         small = part if small is None else small.unionByName(part)

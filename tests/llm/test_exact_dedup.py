@@ -28,3 +28,22 @@ def test_empty_and_columns(spark):
     kept = drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in rows_of(kept) if r["text"] and r["text"].startswith("one")) == [3, 4]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows equal in id and text, losing rows whose id wins elsewhere, null ids, and string ids."""
+    rows = [(1, "a b"), (1, "a b"), (1, "long  text"), (2, "long text"), (2, "ab"), (None, "zz z"), (None, "zz z"), (3, "zzz"), (-(2**63), "q"), (0, "q")]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t, "row", 0) for i, t in rows], f"doc_id {kind}, text string, digest string, rank int")
+        kept = rows_of(drop_exact_duplicates(docs))
+        same = lambda i: i if i is None or kind == "long" else str(i)
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted(
+            (str(same(i)), t) for i, t in [(1, "a b"), (1, "long  text"), (None, "zz z"), (-(2**63), "q")]
+        )
+        assert kept[0].keys() == {"doc_id", "text", "digest", "rank"}
+
+
+def test_very_long_texts(spark):
+    long = "many words " * 400_000
+    docs = spark.createDataFrame([(1, long), (2, long + " "), (3, long + "x")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in rows_of(exact_duplicates(docs))) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]

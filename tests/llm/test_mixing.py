@@ -47,3 +47,15 @@ def test_mix_awkward(spark):
     docs = awkward(spark)
     assert mix(docs).count() == docs.count()
     assert mix(nothing(spark)).count() == 0
+
+
+def test_each_row_has_its_own_verdict(spark):
+    """Repeated ids, documents without words in a source at its cap, null sources and clashing columns."""
+    rows = [(i % 7, "w " * (i % 5), ("small" if i < 40 else "big") if i % 11 else None, 1.0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size double")
+    drawn = rows_of(mix(docs))
+    got = rows_of(mixed_documents(docs))
+    assert len(got) == sum(r["epochs"] + r["sampled"] for r in drawn)
+    assert sum(len(r["text"].split()) for r in got) == sum(r["taken"] for r in drawn)
+    assert all(r["epochs"] + r["sampled"] <= 3 and (r["size"] or not r["sampled"]) for r in drawn)
+    assert mixed_documents(nothing(spark)).count() == 0 and mixed_documents(awkward(spark)).columns == awkward(spark).columns
