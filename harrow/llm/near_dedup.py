@@ -7,7 +7,7 @@ the sets' Jaccard similarity says. Steps:
 
 1. documents with equal sets form a class with a number of its own; classes are what is compared;
 2. a class is put into one bucket per band of registers; classes that share a bucket are candidates;
-3. each bucket's smallest class is its pivot and is compared with all others of the bucket: that is linear
+3. each bucket's class with the smallest id is its pivot and is compared with all others of the bucket: that is linear
    in the bucket's size, and joins the many variants of a large group without listing their pairs;
 4. where a bucket still holds several components, members outside its largest one meet the others. A bucket with
    many such members, as where a long passage is shared, is first banded again by a finer sketch, as often as it
@@ -306,9 +306,12 @@ def _verdict(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * rows) + 1, F.lit(2 * rows))),
     )
-    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep")
-    pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("there")).filter("there > 1")
-    shared = stored(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
+    # the pivot is the class with the smallest id, so a text from which others were made tends to be the pivot of all its
+    # buckets, and each of the others meets one pivot instead of one for each bucket
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rep")
+    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep", "id")
+    pivots = banded.groupBy("key").agg(F.min(rank)["rep"].alias("pivot"), F.count(F.lit(1)).alias("there")).filter("there > 1")
+    shared = stored(banded.drop("id").join(pivots.select("key", "pivot"), "key"), "buckets")
     near = classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("at.id").alias("_id"), F.col("at.h").alias("_h"))
     same_row = texts["id"].eqNullSafe(near["_id"]) & texts["h"].eqNullSafe(near["_h"])
     near_texts = stored(texts.join(near, same_row).select("rep", "text").dropDuplicates(["rep"]), "texts")
