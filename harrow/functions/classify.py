@@ -1,4 +1,7 @@
-"""Contract, seniority, remote policy and scope, country: ordered rules on folded text."""
+"""Contract, seniority, remote policy and scope, country: ordered rules.
+
+Every ``detect_*`` function has a form that takes folded columns (``*_of``), so that a caller folds a text once.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +10,88 @@ from pyspark.sql import functions as F
 
 from .text import fold
 
-# Own vocabulary, on folded text. Order matters where a function says so.
+# Patterns on folded text, in the order in which they are tried.
 CONTRACTS = {
-    "internship": r"\b(?:stage|stagiaire|intern|internship)\b",
-    "apprenticeship": r"\b(?:alternance|apprentissage|apprenti|apprenticeship)\b",
-    "freelance": r"\b(?:freelance|contractor|portage salarial)\b",
-    "cdd": r"\b(?:cdd|fixed term|duree determinee)\b",
-    "cdi": r"\b(?:cdi|permanent|duree indeterminee)\b",
+    "internship": r"\b(?:stage|stagiaire|intern|internship|stage de fin d etudes)\b",
+    "apprenticeship": r"\b(?:alternance|alternant|apprenti|apprentissage|apprenticeship|work study)\b",
+    "freelance": r"\b(?:freelance|free lance|contractor|independant|portage salarial|mission de \d+ mois|tjm)\b",
+    "cdd": r"\b(?:cdd|contrat a duree determinee|fixed term|temporary contract)\b",
+    "cdi": r"\b(?:cdi|contrat a duree indeterminee|permanent contract|permanent position|permanent role)\b",
+}
+STRONG_CDI = r"\b(?:cdi|contrat a duree indeterminee|permanent contract)\b"
+CONTRACT_LABELS = {
+    "cdi": r"^cdi\b|permanent|fulltime permanent",
+    "cdd": r"^cdd\b|fixed term|temporary|^mis\b|interim",
+    "internship": r"intern|stage",
+    "apprenticeship": r"apprenti|alternance|work study",
+    "freelance": r"contractor|freelance|^lib\b|independant",
 }
-STRONG_CDI = r"\b(?:contrat cdi|permanent (?:contract|position)|contrat a duree indeterminee)\b"
 SENIORITY = {
-    "lead": r"\b(?:lead|staff|principal|head of|architect)\b",
-    "senior": r"\b(?:senior|sr|confirme|expert)\b",
-    "junior": r"\b(?:junior|jr|debutant|graduate)\b",
-    "mid": r"\b(?:medior|intermediate|mid level)\b",
+    "lead": r"\b(?:lead|staff|principal|head of|architect|architecte|tech lead|engineering manager)\b",
+    "senior": r"\b(?:senior|sr|confirme|confirmee|experimente|experimentee|expert)\b",
+    "junior": r"\b(?:junior|jr|debutant|graduate|entry level)\b",
+    "mid": r"\b(?:mid|intermediate|medior)\b",
 }
-YEARS = r"\b(\d{1,2})\+? (?:ans|years|yrs)\b"
-ONSITE = r"\b(?:on site|onsite|sur site|presentiel|no remote)\b"
-HYBRID = r"\b(?:hybrid|hybride|teletravail partiel|partial remote|\d jours de teletravail)\b"
-FULL_REMOTE = r"\b(?:full remote|fully remote|remote first|100 remote|teletravail complet)\b"
-RESTRICTED = r"\b(?:us only|usa only|uk only|canada only|latam only)\b"
-FRANCE = r"\b(?:france|paris|lyon|nantes|toulouse|lille|rennes)\b"
-EUROPE = r"\b(?:europe|european union|emea)\b"
-FOREIGN = r"\b(?:germany|berlin|spain|madrid|london|united kingdom|united states|canada|india)\b"
-WORLDWIDE = r"\b(?:worldwide|anywhere|global)\b"
+YEARS = r"\b(\d{1,2}) ?(?:\+ ?)?(?:ans|an s|years?|yrs?)(?: minimum)? (?:d )?(?:experience|of experience)"
+FULL_REMOTE = (
+    r"\bfull[ -]?remote\b",
+    r"\bfully remote\b",
+    r"\b100 ?%? ?(?:remote|teletravail|en teletravail|a distance)\b",
+    r"\bteletravail (?:total|complet|integral|a 100)\b",
+    r"\bremote[ -]first\b",
+    r"\bremote only\b",
+    r"\bposte (?:en|a) (?:full )?teletravail\b",
+    r"\bremote \(france\)|\bremote france\b|\bfrance remote\b",
+)
+HYBRID = (
+    r"\bhybride?\b",
+    r"\b\d ?(?:jours?|j) (?:de |par semaine de )?(?:teletravail|remote)\b",
+    r"\b\d ?(?:jours?|j) (?:par semaine )?(?:sur site|au bureau|en presentiel|de presentiel|dans nos locaux)\b",
+    r"\bpresentiel (?:de )?\d ?(?:jours?|j)\b",
+    r"\bpartial(?:ly)? remote\b",
+    r"\bdays? (?:a week )?in (?:the )?office\b",
+    r"\bin[ -]office \d\b",
+)
+ONSITE = (
+    r"\bsur site uniquement\b",
+    r"\bpas de teletravail\b",
+    r"\b100 ?%? ?presentiel\b",
+    r"\bon[ -]?site only\b",
+    r"\bno remote\b",
+    r"\bpresentiel obligatoire\b",
+)
+SCOPE_OTHER = (
+    r"\bus only\b",
+    r"\busa only\b",
+    r"\b(?:must|need to) (?:be )?(?:located|based|reside) in (?:the )?(?:us|usa|united states|canada|uk)\b",
+    r"\b(?:pst|est|cst|mst|pacific time|eastern time)\b",
+    r"\bremote (?:us|usa|canada|uk|latam|apac|india)\b",
+    r"\b(?:us|usa|canada|latam|apac) remote\b",
+    r"\bwork authorization in the (?:us|united states)\b",
+)
+SCOPE_FRANCE = (
+    r"\bfrance\b",
+    r"\bile de france\b",
+    r"\b(?:paris|toulouse|lyon|nantes|bordeaux|lille|marseille|montpellier|rennes|strasbourg|nice|grenoble|sophia antipolis|"
+    r"aix en provence|annecy|brest|caen|dijon|tours|angers|clermont ferrand|rouen|metz|nancy|la defense|boulogne billancourt|levallois)\b",
+    r"^\d{2} [a-z]",
+)
+SCOPE_FOREIGN = (
+    r"\b(?:united states|usa|us|u s|united kingdom|uk|england|canada|germany|deutschland|spain|espana|italy|portugal|netherlands|"
+    r"belgium|belgique|switzerland|suisse|ireland|poland|romania|sweden|denmark|norway|finland|austria|czech|hungary|greece|israel|"
+    r"india|singapore|australia|brazil|brasil|mexico|argentina|japan|china|latam|apac|london|new york|nyc|san francisco|boston|"
+    r"seattle|austin|chicago|los angeles|denver|toronto|montreal|vancouver|berlin|munich|hamburg|madrid|barcelona|lisbon|amsterdam|"
+    r"dublin|stockholm|copenhagen|warsaw|prague|zurich|geneva|geneve|milan|brussels|bruxelles|tel aviv|bangalore|sydney|tokyo)\b",
+)
+SCOPE_EUROPE = (r"\beurope\b", r"\beuropean union\b", r"\bemea\b", r"\b(?:cet|cest)\b", r"\beu\b")
+SCOPE_WORLD = (r"\banywhere\b", r"\bworldwide\b", r"\bglobal(?:ly)?\b")
 
 # Country names (folded) and their ISO codes.
 COUNTRIES = {
-    "france": "FR", "germany": "DE", "deutschland": "DE", "spain": "ES", "espagne": "ES", "italy": "IT", "belgium": "BE",
-    "belgique": "BE", "switzerland": "CH", "suisse": "CH", "luxembourg": "LU", "portugal": "PT", "netherlands": "NL",
-    "ireland": "IE", "united kingdom": "GB", "united states": "US", "canada": "CA", "poland": "PL", "sweden": "SE", "india": "IN",
-}
-
-# What vendors call things, and our names for them.
-WORKPLACE_LABELS = {"remote": "full_remote", "fullyremote": "full_remote", "hybrid": "hybrid", "temporary": "hybrid", "onsite": "onsite", "office": "onsite", "none": "onsite"}
-EMPLOYMENT_LABELS = {
-    "fulltime": "unknown", "permanent": "cdi", "fulltimepermanent": "cdi", "intern": "internship", "internship": "internship",
-    "temporary": "cdd", "fixedterm": "cdd", "fulltimefixedterm": "cdd", "freelance": "freelance", "contractor": "freelance",
-    "cdi": "cdi", "cdd": "cdd", "contract": "unknown",
+    "france": "FR", "germany": "DE", "allemagne": "DE", "spain": "ES", "espagne": "ES", "united kingdom": "GB", "united states": "US",
+    "usa": "US", "belgium": "BE", "belgique": "BE", "netherlands": "NL", "pays bas": "NL", "switzerland": "CH", "suisse": "CH",
+    "italy": "IT", "italie": "IT", "portugal": "PT", "poland": "PL", "canada": "CA", "ireland": "IE",
 }
-LEVEL_LABELS = {"internship": "junior", "entrylevel": "junior", "associate": "mid", "midseniorlevel": "senior", "mid": "mid", "senior": "senior", "director": "lead", "executive": "lead"}
 
 
 def label(value: Column, labels: dict[str, str]) -> Column:
@@ -56,60 +101,82 @@ def label(value: Column, labels: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.coalesce(key, F.lit("")))
 
 
+def one_of(patterns: tuple[str, ...]) -> str:
+    """One pattern that matches where any of them does, so a text is read once for all of them."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def _first(value: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(value.rlike(pattern), F.lit(name)) for name, pattern in rules.items()])
 
 
-def detect_contract(title: Column, text: Column) -> Column:
+def contract_of(title: Column, body: Column) -> Column:
     """The title decides; else a strong permanent contract in the body, else the others in their order."""
-    body = fold(F.coalesce(text, F.lit("")))
-    others = {name: CONTRACTS[name] for name in ("internship", "apprenticeship", "freelance", "cdd")}
+    others = {name: pattern for name, pattern in CONTRACTS.items() if name != "cdi"}
     in_body = F.coalesce(F.when(body.rlike(STRONG_CDI), F.lit("cdi")), _first(body, others))
-    return F.coalesce(_first(fold(title), CONTRACTS), in_body, F.lit("unknown"))
+    return F.coalesce(_first(title, CONTRACTS), in_body, F.lit("unknown"))
+
+
+def detect_contract(title: Column, text: Column) -> Column:
+    return contract_of(fold(title), fold(F.coalesce(text, F.lit(""))))
 
 
 def contract_from_label(value: Column) -> Column:
-    order = {name: CONTRACTS[name] for name in ("cdi", "cdd", "internship", "apprenticeship", "freelance")}
-    return F.coalesce(_first(fold(value), order), F.lit("unknown"))
+    return F.coalesce(_first(fold(value), CONTRACT_LABELS), F.lit("unknown"))
 
 
-def detect_seniority(title: Column, text: Column) -> Column:
-    years = F.nullif(F.regexp_extract(fold(F.coalesce(text, F.lit(""))), YEARS, 1), F.lit("")).cast("int")
+def seniority_of(title: Column, body: Column) -> Column:
+    years = F.nullif(F.regexp_extract(body, YEARS, 1), F.lit("")).cast("int")
     by_years = F.when(years >= 5, "senior").when(years >= 2, "mid").when(years.isNotNull(), "junior")
-    return F.coalesce(_first(fold(title), SENIORITY), by_years, F.lit("unknown"))
+    return F.coalesce(_first(title, SENIORITY), by_years, F.lit("unknown"))
+
+
+def detect_seniority(title: Column, text: Column) -> Column:
+    return seniority_of(fold(title), fold(F.coalesce(text, F.lit(""))))
+
+
+def remote_of(body: Column) -> Column:
+    """On site and hybrid count unless full remote is there too; full remote and hybrid together say nothing."""
+    onsite, hybrid, full = (body.rlike(one_of(p)) for p in (ONSITE, HYBRID, FULL_REMOTE))
+    return F.when(onsite & ~full, "onsite").when(hybrid & ~full, "hybrid").when(full & ~hybrid, "full_remote").otherwise("unknown")
 
 
 def detect_remote(text: Column) -> Column:
-    """Signals that contradict each other say nothing."""
-    body = fold(F.coalesce(text, F.lit("")))
-    onsite, hybrid, full = (body.rlike(p) for p in (ONSITE, HYBRID, FULL_REMOTE))
-    return F.when(onsite & ~full, "onsite").when(hybrid & ~full, "hybrid").when(full & ~hybrid & ~onsite, "full_remote").otherwise("unknown")
+    return remote_of(fold(F.coalesce(text, F.lit(""))))
+
+
+def resolve(structured: Column, found: Column) -> Column:
+    """What a feed says, unless it says nothing or ``unknown``."""
+    return F.coalesce(F.nullif(structured, F.lit("unknown")), found)
 
 
 def resolve_remote(structured: Column, text: Column) -> Column:
-    return F.coalesce(F.nullif(structured, F.lit("unknown")), detect_remote(text))
+    return resolve(structured, detect_remote(text))
 
 
-def detect_scope(location: Column, text: Column) -> Column:
+def scope_of(place: Column, body: Column) -> Column:
     """The location decides first, then the body."""
-    place, body = fold(F.coalesce(location, F.lit(""))), fold(F.coalesce(text, F.lit("")))
-    limited = body.rlike(RESTRICTED)
+    limited = body.rlike(one_of(SCOPE_OTHER))
     return (
-        F.when(place.rlike(RESTRICTED), "other_restricted")
-        .when(place.rlike(FRANCE), "france")
-        .when(place.rlike(EUROPE), "europe")
-        .when(place.rlike(FOREIGN), "other_restricted")
-        .when(place.rlike(WORLDWIDE) & ~limited, "worldwide")
-        .when(limited, "other_restricted")
-        .when(body.rlike(FRANCE), "france")
-        .when(body.rlike(EUROPE), "europe")
-        .when(body.rlike(WORLDWIDE), "worldwide")
+        F.when(place.rlike(one_of(SCOPE_OTHER)), "other")
+        .when(place.rlike(one_of(SCOPE_FRANCE)), "france")
+        .when(place.rlike(one_of(SCOPE_EUROPE)), "europe")
+        .when(place.rlike(one_of(SCOPE_FOREIGN)), "other")
+        .when(place.rlike(one_of(SCOPE_WORLD)) & ~limited, "worldwide")
+        .when(limited, "other")
+        .when(body.rlike(one_of(SCOPE_FRANCE)), "france")
+        .when(body.rlike(one_of(SCOPE_EUROPE)), "europe")
+        .when(body.rlike(one_of(SCOPE_WORLD)), "worldwide")
         .otherwise("unknown")
     )
 
 
+def detect_scope(location: Column, text: Column) -> Column:
+    return scope_of(fold(F.coalesce(location, F.lit(""))), fold(F.coalesce(text, F.lit(""))))
+
+
 def country_code(value: Column) -> Column:
-    """Two letters as they are; else a known name at the end."""
+    """Two letters as they are; else a known name, alone or after other words."""
     trimmed, name = F.trim(value), fold(value)
     found = F.coalesce(*[F.when((name == n) | name.endswith(f" {n}"), F.lit(code)) for n, code in COUNTRIES.items()])
     return F.when(trimmed.rlike("^[A-Za-z]{2}$"), F.upper(trimmed)).otherwise(found)

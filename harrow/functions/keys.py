@@ -10,8 +10,11 @@ from .text import normalize_whitespace
 #: Days that a group stays open for new members, and the similarities for grouping and for suggesting a merge.
 HORIZON_DAYS, GROUPING, SUGGESTING = 45, 0.75, 0.4
 
-# Own vocabulary: words that make two otherwise similar titles different roles.
-QUALIFIERS = r"\b(?:junior|senior|lead|staff|principal|python|java|typescript|php|golang|frontend|backend|fullstack|mobile|data)\b"
+# Words that make two otherwise similar titles different roles.
+QUALIFIERS = (
+    r"\b(?:junior|jr|senior|sr|staff|lead|principal|head|manager|intern|stagiaire|alternant|french|francais|german|allemand|spanish|"
+    r"espagnol|italian|italien|english|anglais|dutch|backend|frontend|fullstack|mobile|ios|android|data|ml|ai|qa)\b"
+)
 
 # Kinds of sources, the most trusted first.
 BOARDS = ("greenhouse", "lever", "ashby", "smartrecruiters", "recruitee", "teamtailor")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import html
-import unicodedata
+import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Letters with a diacritic and the letters without, in the same places.
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ"
@@ -26,21 +23,38 @@ def _chain(value: Column, *steps: tuple[str, str]) -> Column:
 
 
 def decode_entities(value: Column) -> Column:
-    """Named references only; see ``decode_all_entities`` for numeric ones."""
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, value)
+    """Named references, then decimal, then hexadecimal ones; each is read once.
 
+    A reference's number becomes a character by its code point; one that is no code point stays as it is.
+    """
+    pattern = "&(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");"
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+    value = _replaced(value, pattern, lambda m: F.try_element_at(named, m))
+    value = _replaced(value, r"&#\d{1,7};", lambda m: _code_point(F.regexp_extract(m, r"(\d+)", 1), 10))
+    return _replaced(value, r"&#[xX][0-9a-fA-F]{1,6};", lambda m: _code_point(F.regexp_extract(m, r"[xX]([0-9a-fA-F]+)", 1), 16))
 
-@F.pandas_udf(StringType())
-def decode_all_entities(value: pd.Series) -> pd.Series:
-    """Named, decimal and hexadecimal references; a no-break space becomes a plain one."""
-    return value.map(lambda x: None if x is None else html.unescape(x).replace("\xa0", " "))
 
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a code point, from its big-endian UTF-32 form."""
+    code = F.conv(digits, base, 16)
+    fits = (F.length(code) <= 6) & (code.cast("string") != "0") & (F.conv(code, 16, 10).cast("long") <= 0x10FFFF) & ~code.rlike("^D[89A-F]..$")
+    return F.when(fits, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
 
-@F.pandas_udf(StringType())
-def strip_accents_full(value: pd.Series) -> pd.Series:
-    """Any script: decomposes and drops the marks. ``strip_accents`` is the JVM-side form for Latin letters."""
-    drop = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
-    return value.map(lambda x: None if x is None else drop(x))
+
+def _replaced(value: Column, pattern: str, to) -> Column:
+    """``value`` with every match m replaced by ``to(m)``, or kept where that is null. Texts without a match pay one test."""
+
+    def changed(text: Column) -> Column:
+        parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        pairs = F.zip_with(parts, found, lambda part, m: F.concat(part, F.when(m.isNull(), F.lit("")).otherwise(F.coalesce(to(m), m))))
+        return F.when(text.rlike(pattern), F.array_join(pairs, "")).otherwise(text)
+
+    return bound(value, changed)
+
+
+def bound(value: Column, to) -> Column:
+    """``to(value)`` where ``to`` uses its argument more than once: it is evaluated once and the expression stays small."""
+    return F.element_at(F.transform(F.array(value), to), 1)
 
 
 def normalize_whitespace(value: Column) -> Column:
@@ -50,14 +64,13 @@ def normalize_whitespace(value: Column) -> Column:
 
 def html_to_text(value: Column) -> Column:
     """Lines for blocks; scripts, styles and tags go; markup that was escaped as a whole is decoded first."""
-    value = F.coalesce(value, F.lit(""))
-    escaped = ~value.rlike(r"<[a-zA-Z/]") & value.rlike(r"&lt;[a-zA-Z/]")
-    value = F.when(escaped, decode_entities(value)).otherwise(value)
+    escaped = lambda v: ~v.rlike(r"<[a-zA-Z]") & v.rlike(r"&lt;[a-zA-Z]")
+    value = bound(F.coalesce(value, F.lit("")), lambda v: F.when(escaped(v), decode_entities(v)).otherwise(v))
     value = _chain(
         value,
         (r"(?is)<script\b[^>]*>.*?</script>", ""),
         (r"(?is)<style\b[^>]*>.*?</style>", ""),
-        (r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|section|article|table|blockquote)>", "\n"),
+        (r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|section|article|blockquote)\s*>", "\n"),
         (r"<[^>]*>", ""),
     )
     return normalize_whitespace(decode_entities(value))
@@ -72,27 +85,28 @@ def fold(value: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(F.lower(value)), r"[^a-z0-9+#.]+", " "))
 
 
-# Own vocabulary: what is not part of a role's name, and spellings of one word.
+# What is not part of a role's name (on the title as it is), spellings of one word and legal forms (folded).
 TITLE_NOISE = (
-    r"(?i)\((?:h/f|f/h|m/w/d|f/h/x|h/f/x)\)",
-    r"(?i)\b(?:h/f|f/h)\b",
-    r"(?i)\s+-\s+(?:cdi|cdd|full remote|remote|télétravail)\s*$",
-    r"(?i)\((?:cdi|cdd|remote)\)",
+    r"(?i)\((?:h|f)\s*[/|]\s*(?:f|h)(?:\s*[/|]\s*[a-z]+)?\)",
+    r"(?i)\b(?:h|f)\s*[/|]\s*(?:f|h)(?:\s*[/|]\s*[a-z]+)?\b",
+    r"(?i)\((?:m|w)\s*[/|]\s*(?:w|m)(?:\s*[/|]\s*d)?\)",
+    r"(?i)[-–—|/]\s*(?:cdi|full[\s-]?remote|remote|télétravail|teletravail)\s*$",
+    r"(?i)\((?:cdi|full[\s-]?remote|remote)\)",
+    r"[\x{1F1E6}-\x{1F1FF}]",
 )
 TITLE_WORDS = (
     (r"\bfront end\b", "frontend"),
-    (r"\bback end\b", "backend"),
     (r"\bfull stack\b", "fullstack"),
-    (r"\b(?:developpeuse|developper|dev)\b", "developpeur"),
-    (r"\bnext ?js\b", "next.js"),
+    (r"\bback end\b", "backend"),
+    (r"\bdevelopp?(?:eur|euse)(?: euse| se)?\b|\bdevelopper\b", "developpeur"),
+    (r"\bnext js\b|\bnextjs\b", "next.js"),
 )
-LEGAL_FORMS = r"\b(?:sas|sasu|sarl|sa|gmbh|ag|inc|ltd|llc|bv|group|groupe|holding|france|co)\b"
+LEGAL_FORMS = r"\b(?:sas|sasu|sarl|eurl|sa|sca|snc|scop|inc|llc|ltd|limited|gmbh|ag|bv|nv|plc|corp|corporation|co|group|groupe|france)\b"
 
 
 def normalize_title(value: Column) -> Column:
     value = reduce(lambda c, noise: F.regexp_replace(c, noise, " "), TITLE_NOISE, value)
-    value = fold(F.regexp_replace(value, r"[\x{1F1E6}-\x{1F1FF}]", ""))
-    return F.trim(_chain(value, *TITLE_WORDS, (r" {2,}", " ")))
+    return F.trim(_chain(fold(value), *TITLE_WORDS, (r" {2,}", " ")))
 
 
 def normalize_company(value: Column) -> Column:
@@ -111,9 +125,10 @@ def truncated(value: Column, n: int) -> Column:
 
 def slice_description(value: Column, start: Column, end: Column) -> Column:
     """From the first ``start`` marker to the end of the last ``end`` marker; the whole text if that fails."""
-    first = F.locate_(start, value) if hasattr(F, "locate_") else F.instr(value, start)
-    last = F.length(value) - F.instr(F.reverse(value), F.reverse(end)) + 1
-    found = (first > 0) & (F.instr(value, end) > 0) & (last >= first)
+    first = F.when(start != "", F.position(start, value))
+    after = F.position(F.reverse(end), F.reverse(value))  # what follows the last end marker, and one
+    last = F.when((end != "") & (after > 0), F.length(value) - after + 1)
+    found = (first > 0) & (last - F.length(end) + 1 > first)
     return F.when(found, F.substr(value, first, last - first + 1)).otherwise(value)
 
 
@@ -130,8 +145,6 @@ def join_present(sep: str, *values: Column) -> Column:
 
 def render(template: str, **values: Column) -> Column:
     """``{{name}}`` placeholders; a missing or null value is an error."""
-    import re
-
     parts = re.split(r"\{\{(\w+)\}\}", template)
     unknown = [name for name in parts[1::2] if name not in values]
     if unknown:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Days until the next action, by status; the hours at which a window starts.
+# Days until the next action, by status; the hours at which a window starts and their zone; the longest delay.
 NEXT_ACTION_DAYS = {"applied": 7, "followed_up": 10}
 WINDOW_HOURS = (7, 12, 17, 22)
 MAX_DELAY_MINUTES = 1440
+ZONE = "Europe/Paris"
 
 
 def parse_time(value: Column) -> Column:
@@ -31,7 +32,7 @@ def days_before(as_of: Column, n: int) -> Column:
     return as_of - F.make_dt_interval(F.lit(n))
 
 
-def last_window(moment: Column, zone: str = "UTC") -> Column:
+def last_window(moment: Column, zone: str = ZONE) -> Column:
     """The latest window start at or before the moment, as local time in ``zone``."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), moment.cast("timestamp_ntz"))
     day, hour = F.date_trunc("day", local), F.hour(local)
@@ -41,11 +42,12 @@ def last_window(moment: Column, zone: str = "UTC") -> Column:
     return (day + start).cast("timestamp_ntz")
 
 
-def worker_stale(last_tick: Column, as_of: Column, zone: str = "UTC") -> Column:
+def worker_stale(last_tick: Column, as_of: Column, zone: str = ZONE) -> Column:
     """No tick since a window that began more than half an hour ago; a worker without tick is stale."""
     window = last_window(as_of, zone)
-    late = as_of.cast("timestamp_ntz") - window > F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))
-    return F.coalesce(late & (last_tick.cast("timestamp_ntz") < window), F.lit(True))
+    local = lambda x: F.convert_timezone(F.lit("UTC"), F.lit(zone), x.cast("timestamp_ntz"))
+    late = local(as_of) - window > F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))
+    return F.coalesce(late & (local(last_tick) < window), F.lit(True))
 
 
 def overdue(day: Column, today: Column) -> Column:
@@ -61,10 +63,28 @@ def http_backoff_ms(attempt: Column) -> Column:
     return 1000 * F.pow(F.lit(4.0), attempt)
 
 
+def _spoken(minutes: Column) -> Column:
+    """Minutes, hours below two days, or days, each rounded."""
+    hours = F.round(minutes / 60).cast("long")
+    days = F.round(hours / 24).cast("long")
+    say = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"))
+    return F.when(minutes < 60, say(minutes, "min")).when(hours < 48, say(hours, "h")).otherwise(say(days, "j"))
+
+
+def _minutes(later: Column, earlier: Column) -> Column:
+    return F.round((F.unix_micros(later) - F.unix_micros(earlier)) / 60_000_000).cast("long")
+
+
 def ago(moment: Column, as_of: Column) -> Column:
-    minutes = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(moment)) / 60)
-    unit = lambda n, name: F.concat(F.floor(minutes / n).cast("string"), F.lit(f" {name}"))
-    return F.when(minutes < 1, "now").when(minutes < 60, unit(1, "min")).when(minutes < 1440, unit(60, "h")).otherwise(unit(1440, "d"))
+    minutes = _minutes(as_of, moment)
+    return F.when(moment.isNull(), "jamais").when(minutes < 1, "à l'instant").otherwise(F.concat(F.lit("il y a "), _spoken(minutes)))
+
+
+def until(moment: Column, as_of: Column) -> Column:
+    """Time left, or for how long it has been due."""
+    minutes, late = _minutes(moment, as_of), _minutes(as_of, moment)
+    due = F.when(late < 1, "maintenant").otherwise(F.concat(F.lit("dû depuis "), _spoken(late)))
+    return F.when(moment.isNull(), "—").when(moment <= as_of, due).otherwise(F.concat(F.lit("dans "), _spoken(minutes)))
 
 
 def api_time(moment: Column) -> Column:

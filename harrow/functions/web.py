@@ -7,12 +7,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-# Own vocabulary: query parameters that say where a visitor came from, by prefix.
-TRACKING = r"(?i)^(?:utm_|ref|source|gclid|fbclid|mc_|trk|position)"
-# Local parts of addresses that belong to a function and not to a person, the most useful first.
-GENERIC = ("jobs", "careers", "recruitment", "recrutement", "hr", "rh", "talent", "hello", "bonjour", "contact", "info", "team", "office", "welcome", "support", "admin", "sales", "press", "privacy")
-HINTS = r"(?i)contact|legal|mentions|career|jobs|recrut|about|team|privacy|impressum"
-EMAIL = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
+# Query parameters that say where a visitor came from, by prefix; local parts of addresses that belong to a
+# function and not to a person; those that suit an application best, in order; what a contact page's address or label says.
+TRACKING = r"(?i)^(?:utm_|trk|ref|refId|trackingId|lipi|src|source|origin|eBP|position|pageNum|gclid|fbclid)"
+GENERIC = (
+    "jobs", "job", "careers", "career", "carriere", "carrieres", "recrutement", "recruitment", "recruiting", "recrute", "talent", "talents",
+    "rh", "hr", "contact", "hello", "bonjour", "info", "team",
+)
+PREFERRED = (
+    "jobs", "job", "recrutement", "recruitment", "recruiting", "recrute", "careers", "career", "carriere", "carrieres", "talent", "talents",
+    "rh", "hr",
+)
+HINTS = r"(?i)contact|mentions?-?legales?|legal|imprint|carrieres?|careers?|jobs?|recrutement|rejoindre|join|about|a-propos"
+EMAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+#: What counts as an address: no empty label in the host and no dot at the edges of the local part or twice in it.
+ADDRESS = r"^[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,}$"
 
 
 def canonical_url(url: Column) -> Column:
@@ -21,10 +30,11 @@ def canonical_url(url: Column) -> Column:
     base, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.regexp_extract(bare, r"\?(.*)$", 1)
     params = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     posting = F.coalesce(
-        F.nullif(F.regexp_extract(bare, r"[?&]currentJobId=(\d+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(base, r"/jobs/view/(?:[^/]*-)?(\d+)/?$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(bare, r"[?&]currentJobId=([^&]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(base, r"/jobs/view/(?:[^/]*-)?(\d+)", 1), F.lit("")),
     )
-    fixed = F.when(base.rlike(r"^https?://(?:[a-z]+\.)?linkedin\.com/"), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), posting))
+    network = base.rlike(r"^https?://(?:[a-zA-Z0-9-]+\.)*linkedin\.com(?:[:/]|$)")
+    fixed = F.when(network, F.concat(F.lit("https://www.linkedin.com/jobs/view/"), posting, F.lit("/")))
     rest = F.when(F.size(params) > 0, F.concat(base, F.lit("?"), F.array_join(params, "&"))).otherwise(base)
     return F.coalesce(fixed, rest)
 
@@ -40,13 +50,21 @@ def page_key(url: Column) -> Column:
 
 
 def deobfuscate(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?i)\s*[\[({]\s*at\s*[\])}]\s*", "@")
-    return F.regexp_replace(text, r"(?i)\s*[\[({]\s*dot\s*[\])}]\s*", ".")
+    text = F.regexp_replace(text, r"(?i)\s*[\[({]\s*(?:at|arobase)\s*[\])}]\s*", "@")
+    return F.regexp_replace(text, r"(?i)\s*[\[({]\s*(?:dot|point)\s*[\])}]\s*", ".")
 
 
 def emails(text: Column) -> Column:
     """Distinct addresses in lower case, in order of the alphabet."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(deobfuscate(text)), F.lit(EMAIL), F.lit(0))))
+    found = F.transform(F.regexp_extract_all(F.lower(deobfuscate(text)), F.lit(EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"\.$", ""))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda e: e.rlike(ADDRESS))))
+
+
+def mailto_addresses(html: Column) -> Column:
+    """The addresses of a page's mail links, in lower case and in its order."""
+    hrefs = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?mailto:([^"'?>\s]*)"""), F.lit(1))
+    lists = F.transform(hrefs, lambda h: F.split(F.coalesce(F.try_url_decode(h), F.lit("")), ","))
+    return F.filter(F.transform(F.flatten(lists), lambda e: F.lower(F.trim(e))), lambda e: e.rlike(ADDRESS))
 
 
 def local_part(email: Column) -> Column:
@@ -55,19 +73,27 @@ def local_part(email: Column) -> Column:
 
 def same_domain(email: Column, host: Column) -> Column:
     at = F.split_part(email, F.lit("@"), F.lit(2))
-    return (at == host) | at.endswith(F.concat(F.lit("."), host))
+    return (at == F.lower(host)) | at.endswith(F.concat(F.lit("."), F.lower(host)))
+
+
+def is_generic(email: Column) -> Column:
+    return local_part(email).isin(*GENERIC)
 
 
 def contact_priority(email: Column) -> Column:
     """Position in the list of preferred local parts; the list's length for others."""
-    at = F.array_position(F.array(*[F.lit(x) for x in GENERIC]), local_part(email))
-    return F.when(at > 0, at - 1).otherwise(len(GENERIC)).cast("int")
+    at = F.array_position(F.array(*[F.lit(x) for x in PREFERRED]), local_part(email))
+    return F.when(at > 0, at - 1).otherwise(len(PREFERRED)).cast("int")
+
 
+def generic_emails(html: Column, text: Column, host: Column) -> Column:
+    """Addresses of functions at the host or below it, from mail links and then from the text, the most useful first.
 
-def generic_emails(text: Column, host: Column) -> Column:
-    """Addresses of functions at the host or below it, the most useful first."""
-    fit = F.filter(emails(text), lambda e: (contact_priority(e) < len(GENERIC)) & same_domain(e, host))
-    keyed = F.array_sort(F.transform(fit, lambda e: F.struct(contact_priority(e).alias("p"), e.alias("e"))))
+    Addresses of one priority keep their order: mail links in the page's order, then the others by the alphabet.
+    """
+    every = F.array_distinct(F.concat(mailto_addresses(html), emails(text)))
+    fit = F.filter(every, lambda e: is_generic(e) & same_domain(e, host))
+    keyed = F.array_sort(F.transform(fit, lambda e, i: F.struct(contact_priority(e).alias("p"), i.alias("i"), e.alias("e"))))
     return F.transform(keyed, lambda x: x["e"])
 
 
@@ -76,15 +102,38 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a [^>]*href="([^"#]+)'), F.lit(1))
 
 
+def anchors(html: Column) -> Column:
+    """structs (href, label) of a page's links in its order; a label has no markup."""
+    whole = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']+["'][^>]*>.*?</a>"""), F.lit(0))
+    href = lambda a: F.regexp_extract(a, r"""(?i)href\s*=\s*["']([^"']+)["']""", 1)
+    return F.transform(whole, lambda a: F.struct(href(a).alias("href"), F.trim(F.regexp_replace(a, "<[^>]*>", "")).alias("label")))
+
+
 def resolve(href: Column, base: Column) -> Column:
+    """An absolute address: of its own, by scheme, from the host's root or from the base's folder."""
     origin = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
-    return F.when(href.rlike(r"^https?://"), href).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(origin, F.lit("/"), href))
+    folder = F.regexp_extract(base, r"^[a-zA-Z]+://[^/?#]+(/(?:[^?#]*/)?)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .otherwise(F.concat(origin, folder, href))
+    )
 
 
 def candidate_pages(html: Column, url: Column) -> Column:
-    """Pages of the same host whose address hints at contacts; distinct."""
-    full = F.transform(links(html), lambda h: resolve(h, url))
-    return F.array_distinct(F.filter(full, lambda u: (domain(u) == domain(url)) & u.rlike(HINTS)))
+    """Pages of the same host whose address or label hints at contacts; distinct, without fragments."""
+    hinted = F.filter(anchors(html), lambda a: a["href"].rlike(HINTS) | a["label"].rlike(HINTS))
+    full = F.transform(hinted, lambda a: F.split_part(resolve(a["href"], url), F.lit("#"), F.lit(1)))
+    return F.array_distinct(F.filter(full, lambda u: u.rlike(r"^https?://") & (domain(u) == domain(url))))
+
+
+def privacy_notice(template: str, source: Column) -> Column:
+    """The notice that says where an address was found; the mark of one typed in is left out."""
+    from .text import render
+
+    return render(template, source=F.regexp_replace(source, "^manual:", ""))
 
 
 def mailto(to: Column, subject: Column, body: Column, most: int = 1800) -> Column:
@@ -93,31 +142,6 @@ def mailto(to: Column, subject: Column, body: Column, most: int = 1800) -> Colum
     return F.when(F.length(link) <= most, link)
 
 
-# Where vendors host their boards.
-BOARD_HOSTS = (
-    ("greenhouse", r"^https?://(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/([A-Za-z0-9_-]+)"),
-    ("lever", r"^https?://jobs(?:\.eu)?\.lever\.co/([A-Za-z0-9_-]+)"),
-    ("ashby", r"^https?://jobs\.ashbyhq\.com/([A-Za-z0-9_.-]+)"),
-    ("smartrecruiters", r"^https?://(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)"),
-    ("recruitee", r"^https?://([A-Za-z0-9-]+)\.recruitee\.com"),
-    ("teamtailor", r"^https?://([A-Za-z0-9-]+)\.teamtailor\.com"),
-)
-
-
-def detect_source(url: Column) -> Column:
-    """``kind:slug`` of the board that a URL belongs to, or null."""
-    found = [
-        F.when(url.rlike(pattern), F.concat(F.lit(f"{kind}:"), F.lower(F.regexp_extract(url, pattern, 1)))) for kind, pattern in BOARD_HOSTS
-    ]
-    return F.coalesce(*found)
-
-
-def detect_sources(html: Column) -> Column:
-    """Distinct boards that a page's absolute URLs belong to."""
-    urls = F.regexp_extract_all(html, F.lit(r"""(https?://[^\s"'<>]+)"""), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(urls, detect_source), lambda x: x.isNotNull())))
-
-
 def robots_allows(rules: str, path: str, agent: str = "*") -> bool:
     """Groups by agent, a named group before ``*``; the longest prefix decides and allow wins ties."""
     groups: dict[str, list[tuple[str, bool]]] = {}

@@ -30,7 +30,7 @@ class Criteria:
     seniority_exclusions: tuple[str, ...] = (r"\bhead of\b", r"\bdirector\b")
     company_exclusions: tuple[str, ...] = ("Gamma Consulting",)
     local_locations: tuple[str, ...] = (r"\blyon\b",)
-    rejected_scopes: tuple[str, ...] = ("other_restricted",)
+    rejected_scopes: tuple[str, ...] = ("other",)
 
     def __post_init__(self):
         if not self.role_title or not self.required_stack:
@@ -40,9 +40,17 @@ class Criteria:
                 re.compile(pattern)
 
 
+# The names of the lists in a criteria file and here.
+NAMES = {
+    "roleTitlePatterns": "role_title", "requiredStack": "required_stack", "preferredStack": "preferred_stack", "titleExclusions": "title_exclusions",
+    "descriptionExclusions": "description_exclusions", "seniorityTitleExclusions": "seniority_exclusions", "localLocations": "local_locations",
+    "companyExclusions": "company_exclusions", "rejectRemoteScopes": "rejected_scopes",
+}
+
+
 @dataclass
 class CriteriaFile:
-    """Criteria read from JSON, and again when the file's time changes."""
+    """Criteria read from JSON, and again when the file's time changes. Keys that start with ``$`` are notes."""
 
     path: Path
     _seen: float = field(default=-1.0, init=False)
@@ -52,36 +60,54 @@ class CriteriaFile:
         time = Path(self.path).stat().st_mtime
         if self._criteria is None or time != self._seen:
             values = json.loads(Path(self.path).read_text())
-            self._criteria, self._seen = Criteria(**{k: tuple(v) for k, v in values.items()}), time
+            lists = {NAMES.get(k, k): tuple(v) for k, v in values.items() if not k.startswith("$")}
+            self._criteria, self._seen = Criteria(**lists), time
         return self._criteria
 
 
+def _insensitive(pattern: str) -> str:
+    return f"(?i){pattern}"
+
+
 def _hits(text: Column, patterns: tuple[str, ...]) -> Column:
-    return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
+    return sum((text.rlike(_insensitive(p)).cast("int") for p in patterns), F.lit(0))
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return _hits(text, patterns) > 0
+    """One test for all patterns."""
+    return text.rlike(_insensitive("|".join(f"(?:{p})" for p in patterns))) if patterns else F.lit(False)
 
 
 def _first(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lit(None).cast("string"), *[F.when(text.rlike(p), F.lit(p)) for p in patterns])
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(text.rlike(_insensitive(p)), F.lit(p)) for p in patterns])
 
 
 def evaluate(rows: DataFrame, criteria: Criteria = Criteria(), advisory: Column | None = None) -> DataFrame:  # noqa: B008
     """Adds ``reasons``, ``flags``, ``rule_score``, ``matched`` and ``status`` (passed or rejected).
 
     Rows have title, description, company_name, location_raw, remote_policy, remote_scope, contract_type and
-    seniority. Reasons come in a fixed order. An advisory row keeps its reasons and passes.
+    seniority. Reasons come in a fixed order. An advisory row keeps its reasons and passes. Columns ``folded_title``,
+    ``folded_place`` and ``folded_all`` (title and description) are used up if they are there, and made if not. Each
+    pattern is tested once per row.
     """
-    title, place = fold(F.coalesce("title", F.lit(""))), fold(F.coalesce("location_raw", F.lit("")))
-    body = fold(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
-    rows = rows.withColumns({"_title": title, "_place": place, "_all": body})
-    title, place, body = F.col("_title"), F.col("_place"), F.col("_all")
-    local = _any(place, criteria.local_locations)
+    if "folded_all" not in rows.columns:
+        title, place = (fold(F.coalesce(c, F.lit(""))) for c in ("title", "location_raw"))
+        body = fold(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+        rows = rows.withColumns({"folded_title": title, "folded_place": place, "folded_all": body})
+    title, place, body = (F.col(f"folded_{c}") for c in ("title", "place", "all"))
+    wanted = criteria.required_stack + criteria.preferred_stack
+    # what is used more than once is a column of its own
+    rows = rows.withColumns(
+        {
+            "_local": _any(place, criteria.local_locations),
+            "_stack": F.array(*[F.when(body.rlike(_insensitive(p)), F.lit(p)) for p in wanted]),
+        }
+    )
+    local, stack, n = F.col("_local"), F.col("_stack"), len(criteria.required_stack)
+    found = lambda first, count: F.size(F.array_compact(F.slice(stack, first, count)))
     remote, contract, scope = F.col("remote_policy"), F.col("contract_type"), F.col("remote_scope")
     away = remote.isin("hybrid", "onsite")
-    required = _hits(body, criteria.required_stack)
+    required = found(1, n)
     excluded_company = F.coalesce(
         F.lit(None).cast("string"), *[F.when(fold(F.col("company_name")) == fold(F.lit(c)), F.lit(c)) for c in criteria.company_exclusions]
     )
@@ -110,7 +136,7 @@ def evaluate(rows: DataFrame, criteria: Criteria = Criteria(), advisory: Column
     points = (
         F.lit(BASE_SCORE)
         + REQUIRED * F.least(required, F.lit(4))
-        + PREFERRED * F.least(_hits(body, criteria.preferred_stack), F.lit(2))
+        + PREFERRED * F.least(found(n + 1, max(len(criteria.preferred_stack), 1)), F.lit(2))
         + F.when(remote == "full_remote", REMOTE).otherwise(0)
         + F.when(scope == "france", FRANCE).otherwise(0)
         + F.when(local & ~away, LOCAL).otherwise(0)
@@ -118,13 +144,12 @@ def evaluate(rows: DataFrame, criteria: Criteria = Criteria(), advisory: Column
         + F.when(seniority.isin("senior", "lead"), SENIOR).when(seniority == "mid", MID).when(seniority == "junior", JUNIOR).otherwise(0)
         - EXCLUDED * F.least(_hits(body, criteria.description_exclusions), F.lit(4))
     )
-    names = [F.when(body.rlike(p), F.lit(p)) for p in criteria.required_stack + criteria.preferred_stack]
     rows = rows.withColumns(
-        {"reasons": reasons, "flags": flags, "rule_score": F.least(F.greatest(points, F.lit(0)), F.lit(100)), "matched": F.array_compact(F.array(*names))}
+        {"reasons": reasons, "flags": flags, "rule_score": F.least(F.greatest(points, F.lit(0)), F.lit(100)), "matched": F.array_compact(stack)}
     )
     free = F.lit(False) if advisory is None else advisory
     status = F.when((F.size("reasons") > 0) & ~F.coalesce(free, F.lit(False)), "rejected").otherwise("passed")
-    return rows.withColumn("status", status).drop("_title", "_place", "_all")
+    return rows.withColumn("status", status).drop("_local", "_stack", "folded_title", "folded_place", "folded_all")
 
 
 def hidden_by_verdict(remote_verdict: Column, contract_verdict: Column, flags: Column) -> Column:

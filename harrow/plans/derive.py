@@ -1,7 +1,8 @@
 """Domain tables over the driver's tables, deterministic and without state.
 
-The corpus has no postings, so each document becomes one: its first sentence and phrases chosen by its id give
-title, company, location, contract, salary and dates.
+The corpus has no postings, so each document becomes one: its text is the description, its first sentence and phrases
+chosen by a digest of the text give title, company, location, contract, salary and policy, and its id gives the dates.
+So documents with equal texts are postings with equal content.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.functions import classify, keys, numbers
+from harrow.functions import classify, keys
 from harrow.functions.text import normalize_company, normalize_title
 from harrow.operators.rules import evaluate
+from harrow.operators.snapshot import written
 from harrow.session import table
+from harrow.sources.build import build, drafted
 
 AS_OF = datetime(2024, 4, 15)
 PROMPT, MODEL = "v1", "model-a"
@@ -30,74 +33,85 @@ TITLES = (
     "Stage ingénieur Spark", "Junior Back End developer", "Head of Data", "Full stack TypeScript engineer - full remote", "WordPress Designer",
 )
 LOCATIONS = ("Paris, France", "Lyon, France", "Remote, Europe", "Berlin, Germany", "Madrid, Spain", "Worldwide", "US only", "Nantes", "", "Toulouse, FR", "London, United Kingdom", "Brussels, Belgium", "CH")
-CONTRACTS = ("Contrat CDI", "CDD de 6 mois", "Permanent position", "", "Freelance mission", "Alternance possible", "CDI")
-REMOTES = ("Full remote", "Hybrid, 2 days", "Sur site", "", "Remote first", "Teletravail partiel", "Full remote or hybrid", "On site")
-SALARIES = ("45k - 55k EUR", "", "45 000 - 60 000 EUR", "60k", "3000 per month", "52.000 to 58.000", "400 per day", "competitive", "48,5k gross", "38000")
-EXTRAS = ("Docker and Kafka", "5 years of experience", "2 ans minimum, Postgres", "1 years", "", "Python, Spark", "astreinte", "Write to jobs [at] alpha.example.com")
+CONTRACTS = ("Contrat CDI", "CDD de 6 mois", "Permanent position", "", "Mission de 6 mois, TJM 400", "Alternance possible", "CDI", "temporary contract")
+REMOTES = (
+    "Full remote", "Hybride, 2 jours de télétravail", "Sur site uniquement", "", "Remote first", "2 days a week in the office", "Full remote or hybrid",
+    "On site only", "Full remote, no remote work abroad", "100 % télétravail", "US only", "Remote within the CET zone",
+)
+SALARIES = ("45k - 55k EUR", "", "45 000 - 60 000 EUR", "60k", "3000 par mois", "52.000 to 58.000", "400 daily", "competitive", "48,5k gross", "38000")
+EXTRAS = ("Docker and Kafka", "5 years of experience", "2 ans minimum d experience, Postgres", "1 year experience", "", "Python, Spark", "astreinte", "Write to jobs [at] alpha.example.com")
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting per document, with every normalised column."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(
-        F.col("doc_id").alias("external_id"),
+def digits(text: Column) -> Column:
+    """A number below 2**32 from the text's digest."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One draft per document, with ``id``, ``source_id`` and ``source_kind``."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
         F.col("source").alias("source_id"),
         pick(KINDS, F.substr("source", F.lit(4)).cast("int")).alias("source_kind"),
         F.regexp_extract("text", r"^[^.\n]*", 0).alias("s"),
         "text",
+        digits(F.col("text")).alias("k"),
     )
-    n, i = F.length("s"), F.col("external_id")
-    rows = rows.withColumns(
-        {
-            "company_name": F.nullif(pick(COMPANIES, n), F.lit("")),
-            "title": F.concat("s", pick(SUFFIXES, i), F.lit(" "), pick(TITLES, n)),
-            "location_raw": F.nullif(pick(LOCATIONS, i), F.lit("")),
-            "remote_text": pick(REMOTES, F.floor(i / 3)),
-            "contract_text": pick(CONTRACTS, F.floor(i / 2)),
-            "salary_raw": F.nullif(pick(SALARIES, i), F.lit("")),
-            "extra": pick(EXTRAS, F.floor(i / 5)),
-        }
+    n, k = F.length("s"), F.col("k")
+    phrases = [pick(CONTRACTS, F.floor(k / 2)), pick(REMOTES, F.floor(k / 3)), pick(EXTRAS, F.floor(k / 5))]
+    return drafted(
+        rows,
+        ("id", "source_id", "source_kind"),
+        external_id=F.col("id"),
+        url=F.concat(F.lit("https://jobs.example.com/"), F.col("id").cast("string")),
+        title=F.concat("s", pick(SUFFIXES, k), F.lit(" "), pick(TITLES, n)),
+        company_name=pick(COMPANIES, n),
+        location_raw=pick(LOCATIONS, k),
+        salary_raw=pick(SALARIES, F.floor(k / 7)),
+        description=F.concat_ws("\n", "text", *phrases),
     )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of postings as ingestion leaves it: normalised, keyed and judged; pushed ones are advisory."""
+    return written(spark, sf_dir, "jobs", lambda: ingested(drafts(spark, sf_dir)))
+
+
+def ingested(rows: DataFrame) -> DataFrame:
+    """Drafts -> postings with keys, dates and verdicts."""
+    i = F.col("id")
     first = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval((i % 90).cast("int"))
-    rows = rows.withColumns(
+    rows = evaluate(build(rows), advisory=F.col("source_kind") == "capture").withColumns(
         {
-            "facts": F.concat_ws("\n", "contract_text", "remote_text", "extra"),
-            "description": F.concat_ws("\n", "text", "contract_text", "remote_text", "extra"),
+            "external_id": i,
             "first_seen": first,
             "last_seen": first + F.make_dt_interval((i % 40).cast("int")),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "closed_at": F.when(i % 11 == 0, F.col("last_seen")),
             "title_norm": normalize_title(F.col("title")),
             "company_norm": normalize_company(F.col("company_name")),
-            "contract_type": classify.detect_contract(F.col("title"), F.col("facts")),
-            "seniority": classify.detect_seniority(F.col("title"), F.col("facts")),
-            "remote_policy": classify.detect_remote(F.col("facts")),
-            "remote_scope": classify.detect_scope(F.col("location_raw"), F.col("facts")),
-            "country_code": classify.country_code(classify.last_part(F.col("location_raw"))),
-            "salary": numbers.parse_salary(F.col("salary_raw")),
         }
     )
     rows = rows.withColumns(
         {
+            "closed_at": F.when(i % 11 == 0, F.col("last_seen")),
             "content_hash": keys.content_hash(F.col("title_norm"), F.col("company_norm"), F.col("description")),
             "dedup_key": F.coalesce(
                 keys.dedup_key(F.col("company_norm"), F.col("title_norm")), keys.anonymous_key(F.col("source_id"), F.col("external_id"))
             ),
         }
     )
-    return rows.drop("s")
+    return rows.drop("id", "failed")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings after the rule engine; pushed ones are advisory."""
-    return evaluate(postings(spark, sf_dir), advisory=F.col("source_kind") == "capture")
+    return jobs(spark, sf_dir)
 
 
 def scores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -111,7 +125,7 @@ def scores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
             i,
             (40 + 50 * quality - 30 * toxic + i % 10).cast("int").alias("score"),
             F.when(i % 17 == 0, "failed").otherwise("ok").alias("score_state"),
-            F.when(toxic == 1, "hybrid_or_onsite").when(i % 13 == 0, "remote_but_geo_incompatible").when(i % 3 == 0, "remote_ok").alias("remote_verdict"),
+            F.when(toxic == 1, "hybrid_or_onsite").when(i % 13 == 0, "remote_but_geo_incompatible").when(i % 3 == 0, "full_remote_france_ok").alias("remote_verdict"),
             F.when((quality == 0) & (i % 2 == 0), "not_cdi").when(i % 4 == 0, "cdi").alias("contract_verdict"),
             (3000 + i % 1000).alias("input_tokens"),
             (200 + i % 100).alias("output_tokens"),
@@ -123,7 +137,10 @@ def scores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """Adds ``cluster_id`` (the smallest id with the same key) to postings, and the cluster's ``triage``."""
+    """Adds ``cluster_id`` (the smallest id with the same key) to postings, and the cluster's ``triage``.
+
+    The keys are combined before they are shuffled; the join is broadcast if they are few and split where a key is hot.
+    """
     ids = rows.groupBy("dedup_key").agg(F.min("external_id").alias("cluster_id"))
     triage = pick(("new", "new", "dismissed", "interested", "new", "applied"), F.col("cluster_id"))
     return rows.join(ids, "dedup_key").withColumn("triage", triage)
@@ -139,6 +156,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("name"),
         normalize_company(F.col("c_name")).alias("name_norm"),
         F.col("n_name").alias("city"),
+        F.lpad((F.col("c_custkey") * 7919 % 1_000_000_000).cast("string"), 9, "0").alias("siren"),
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example.com")).alias("domain"),
         F.coalesce(classify.label(F.col("c_mktsegment"), {k.lower(): v for k, v in states.items()}), F.lit("none")).alias("outreach"),
         F.col("c_acctbal").alias("balance"),
     )
@@ -173,7 +192,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATUS = {"signup": "to_apply", "view": "applied", "click": "followed_up", "purchase": "interview", "error": "closed"}
+STATUS = {"signup": "to_apply", "view": "applied", "click": "followed_up", "purchase": "interview", "error": "rejected"}
 
 
 def application_events(spark: SparkSession, sf_dir: str) -> DataFrame:

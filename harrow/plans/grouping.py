@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harrow.functions import keys, numbers, times
-from harrow.operators import state
+from harrow.operators import companies, state
 from harrow.session import table
 
 from . import derive
@@ -33,7 +33,7 @@ def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_key_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each posting the newest open one of another source with its key, seen within the horizon."""
     rows = derive.postings(spark, sf_dir).select("external_id", "source_id", "dedup_key", "last_seen", "closed_at")
-    other = rows.filter(F.col("closed_at").isNull() & (F.col("last_seen") > times.days_before(as_of(), 3 * keys.HORIZON_DAYS)))
+    other = rows.filter(F.col("closed_at").isNull() & (F.col("last_seen") > times.days_before(as_of(), keys.HORIZON_DAYS)))
     other = other.select("dedup_key", F.col("source_id").alias("other_source"), F.struct("last_seen", "external_id").alias("seen"))
     # one candidate per key and source is enough, so a hot key is joined with as many rows as it has sources
     other = other.groupBy("dedup_key", "other_source").agg(F.max("seen").alias("seen"))
@@ -110,22 +110,25 @@ def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def republished_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings that continue an earlier one with their key after a gap longer than the horizon's third."""
+    """Postings with the latest earlier one of their key, and whether they start a new, linked cluster after the horizon."""
     order = Window.partitionBy("dedup_key").orderBy("first_seen", "external_id")
-    rows = derive.postings(spark, sf_dir).withColumns({"previous_id": F.lag("external_id").over(order), "_seen": F.lag("last_seen").over(order)})
+    rows = derive.postings(spark, sf_dir).select("external_id", "dedup_key", "first_seen", "last_seen")
+    rows = rows.withColumns({"previous_id": F.lag("external_id").over(order), "_seen": F.lag("last_seen").over(order)})
     gap = F.date_diff("first_seen", "_seen")
-    return rows.filter(gap > keys.HORIZON_DAYS // 3).select("external_id", "previous_id", gap.alias("gap_days"))
+    return rows.filter("previous_id is not null").select("external_id", "previous_id", gap.alias("gap_days"), (gap > keys.HORIZON_DAYS).alias("new_cluster"))
 
 
 def company_priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers found among companies by id, else by name; what the company lacks is filled in."""
-    probe = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("customer#"), F.lpad((F.col("s_suppkey") * 3 % 997).cast("string"), 9, "0")).alias("name_norm"))
-    found = derive.companies(spark, sf_dir)
-    by_id = found.select(F.col("company_id").alias("id1"), F.col("name").alias("n1")).filter("id1 % 4 = 0")
-    by_name = found.groupBy("name_norm").agg(F.min(F.struct("company_id", "name")).alias("m")).select("name_norm", F.col("m.company_id").alias("id2"), F.col("m.name").alias("n2"))
-    rows = probe.join(by_id, F.col("s_suppkey") == F.col("id1"), "left").join(by_name, "name_norm", "left")
-    way = F.when(F.col("id1").isNotNull(), "id").when(F.col("id2").isNotNull(), "name").otherwise("new")
-    return rows.select("s_suppkey", F.coalesce("id1", "id2").cast("double").alias("company_id"), F.coalesce("n1", "n2").alias("name"), way.alias("way"))
+    """Suppliers found among companies by their number, else by domain, else by name."""
+    s = F.col("s_suppkey")
+    probe = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.when(s % 3 == 0, F.lpad((s * 31 * 7919 % 1_000_000_000).cast("string"), 9, "0")).alias("siren"),
+        F.when(s % 3 <= 1, F.concat(F.lit("c"), (s * 17).cast("string"), F.lit(".example.com"))).alias("domain"),
+        F.concat(F.lit("customer#"), F.lpad((s * 3 % 997).cast("string"), 9, "0")).alias("name_norm"),
+    )
+    rows = companies.find(probe, derive.companies(spark, sf_dir))
+    return rows.select("s_suppkey", F.col("found.company_id").cast("double").alias("company_id"), F.col("found.name").alias("name"), "way")
 
 
 def triage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +223,8 @@ def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = derive.applications(spark, sf_dir)
     runs = derive.runs(spark, sf_dir)
     tests = (
-        ("application has a cluster or a title", apps.filter("cluster_id is null and (external_title is null or application_id % 6 = 0)")),
-        ("application is known", apps.filter("status not in ('to_apply', 'applied', 'followed_up', 'interview')")),
+        ("application has a cluster or a title", apps.filter("cluster_id is null and external_title is null")),
+        ("application is known", apps.filter("status not in ('to_apply', 'applied', 'followed_up', 'interview', 'offer', 'withdrawn', 'ghosted')")),
         ("run id is unique", runs.groupBy("run_id").count().filter("count > 1")),
         ("run has a source", runs.join(derive.postings(spark, sf_dir).select("source_id").distinct(), "source_id", "left_anti")),
     )

@@ -1,12 +1,13 @@
-"""DuckDB SQL for the registered queries, written from their meaning: an independent check of the DataFrame code."""
+"""DuckDB SQL for the registered queries, written from their meaning.
 
-from __future__ import annotations
+It shares with the DataFrame code only the phrases from which ``derive`` makes its rows; lists and patterns of the
+rules are in ``oracle_values``, written out again.
+"""
 
-from harrow.functions import classify, keys, numbers, text, web
-from harrow.operators import rules
-from harrow.operators.rules import Criteria
+from __future__ import annotations
 
 from . import derive
+from . import oracle_values as v
 
 _NL = "chr(10)"
 
@@ -48,97 +49,107 @@ def white(value: str) -> str:
 
 
 def title_norm(value: str) -> str:
-    for noise in text.TITLE_NOISE:
+    for noise in v.NOISE:
         value = sub(value, (noise, " "))
-    return f"trim({sub(fold(sub(value, (r'[\x{1F1E6}-\x{1F1FF}]', ''))), *text.TITLE_WORDS, (' {2,}', ' '))})"
+    return f"trim({sub(fold(value), *v.WORDS, (' {2,}', ' '))})"
 
 
 def company_norm(value: str) -> str:
-    return f"trim({sub(f'''replace({fold(value)}, '.', ' ')''', (text.LEGAL_FORMS, ' '), (' {2,}', ' '))})"
+    return f"trim({sub(f'''replace({fold(value)}, '.', ' ')''', (v.LEGAL, ' '), (' {2,}', ' '))})"
 
 
-def first_of(value: str, table: dict[str, str]) -> str:
-    return "CASE " + " ".join(f"WHEN {has(value, p)} THEN {q(n)}" for n, p in table.items()) + " END"
+def first_of(value: str, table) -> str:
+    return "CASE " + " ".join(f"WHEN {has(value, p)} THEN {q(n)}" for n, p in table) + " END"
 
 
 def contract(title: str, body: str) -> str:
-    c = classify.CONTRACTS
-    rest = {"cdi": classify.STRONG_CDI} | {n: c[n] for n in ("internship", "apprenticeship", "freelance", "cdd")}
-    return f"coalesce({first_of(fold(title), c)}, {first_of(fold(body), rest)}, 'unknown')"
+    """Of folded columns."""
+    weak = [("internship", v.INTERNSHIP), ("apprenticeship", v.APPRENTICESHIP), ("freelance", v.FREELANCE), ("cdd", v.CDD)]
+    return f"coalesce({first_of(title, [*weak, ('cdi', v.CDI)])}, {first_of(body, [('cdi', v.CDI_IN_BODY), *weak])}, 'unknown')"
 
 
 def seniority(title: str, body: str) -> str:
-    years = f"TRY_CAST(nullif(regexp_extract({fold(body)}, {rx(classify.YEARS)}, 1), '') AS INTEGER)"
+    years = f"TRY_CAST(nullif(regexp_extract({body}, {rx(v.YEARS)}, 1), '') AS INTEGER)"
     return (
-        f"coalesce({first_of(fold(title), classify.SENIORITY)}, "
+        f"coalesce({first_of(title, v.LEVELS)}, "
         f"CASE WHEN {years} >= 5 THEN 'senior' WHEN {years} >= 2 THEN 'mid' WHEN {years} IS NOT NULL THEN 'junior' END, 'unknown')"
     )
 
 
 def remote(body: str) -> str:
-    on, hy, fu = (has(fold(body), p) for p in (classify.ONSITE, classify.HYBRID, classify.FULL_REMOTE))
-    return f"CASE WHEN {on} AND NOT {fu} THEN 'onsite' WHEN {hy} AND NOT {fu} THEN 'hybrid' WHEN {fu} AND NOT {hy} AND NOT {on} THEN 'full_remote' ELSE 'unknown' END"
+    on, hy, fu = (has(body, p) for p in (v.ONSITE, v.HYBRID, v.FULL))
+    return f"CASE WHEN {on} AND NOT {fu} THEN 'onsite' WHEN {hy} AND NOT {fu} THEN 'hybrid' WHEN {fu} AND NOT {hy} THEN 'full_remote' ELSE 'unknown' END"
 
 
-def scope(place: str, body: str) -> str:
-    p, b = fold(f"coalesce({place}, '')"), fold(body)
-    c = classify
+def scope(p: str, b: str) -> str:
     return (
-        f"CASE WHEN {has(p, c.RESTRICTED)} THEN 'other_restricted' WHEN {has(p, c.FRANCE)} THEN 'france' WHEN {has(p, c.EUROPE)} THEN 'europe' "
-        f"WHEN {has(p, c.FOREIGN)} THEN 'other_restricted' WHEN {has(p, c.WORLDWIDE)} AND NOT {has(b, c.RESTRICTED)} THEN 'worldwide' "
-        f"WHEN {has(b, c.RESTRICTED)} THEN 'other_restricted' WHEN {has(b, c.FRANCE)} THEN 'france' WHEN {has(b, c.EUROPE)} THEN 'europe' "
-        f"WHEN {has(b, c.WORLDWIDE)} THEN 'worldwide' ELSE 'unknown' END"
+        f"CASE WHEN {has(p, v.ELSEWHERE)} THEN 'other' WHEN {has(p, v.IN_FRANCE)} THEN 'france' WHEN {has(p, v.IN_EUROPE)} THEN 'europe' "
+        f"WHEN {has(p, v.ABROAD)} THEN 'other' WHEN {has(p, v.ANYWHERE)} AND NOT {has(b, v.ELSEWHERE)} THEN 'worldwide' "
+        f"WHEN {has(b, v.ELSEWHERE)} THEN 'other' WHEN {has(b, v.IN_FRANCE)} THEN 'france' WHEN {has(b, v.IN_EUROPE)} THEN 'europe' "
+        f"WHEN {has(b, v.ANYWHERE)} THEN 'worldwide' ELSE 'unknown' END"
     )
 
 
 def country(value: str) -> str:
     name = fold(value)
-    cases = " ".join(f"WHEN {name} = {q(n)} OR ends_with({name}, {q(' ' + n)}) THEN {q(code)}" for n, code in classify.COUNTRIES.items())
+    cases = " ".join(f"WHEN {name} = {q(n)} OR ends_with({name}, {q(' ' + n)}) THEN {q(code)}" for n, code in v.COUNTRIES)
     return f"CASE WHEN {has(f'trim({value})', '^[A-Za-z]{2}$')} THEN upper(trim({value})) ELSE CASE {cases} END END"
 
 
 def amounts(raw: str) -> str:
-    value = (
-        r"CAST(replace(regexp_replace(x, '[ k.\x{00A0}\x{202F}]', '', 'g'), ',', '.') AS DOUBLE) * (CASE WHEN ends_with(x, 'k') THEN 1000.0 ELSE 1.0 END)"
-    )
-    found = f"list_transform(regexp_extract_all(lower({raw}), {rx(numbers.AMOUNT)}), lambda x: {value})"
-    return f"CASE WHEN {has(f'lower({raw})', numbers.NOT_YEARLY)} THEN [] ELSE list_filter({found}, lambda v: v >= {numbers.LEAST} AND v <= {numbers.MOST}) END"
+    number = r"regexp_replace(x, '[\s\x{00A0}\x{202F}k]', '', 'g')"
+    plain = f"CASE WHEN regexp_matches({number}, '^\\d{{1,3}}(?:\\.\\d{{3}})+$') THEN replace({number}, '.', '') ELSE replace({number}, ',', '.') END"
+    value = f"round(TRY_CAST({plain} AS DOUBLE) * (CASE WHEN ends_with(x, 'k') THEN 1000.0 ELSE 1.0 END))"
+    found = f"list_transform(regexp_extract_all(lower({raw}), {rx(v.AMOUNT)}), lambda x: {value})"
+    return f"CASE WHEN {has(f'lower({raw})', v.OTHER_PERIOD)} THEN [] ELSE list_filter({found}, lambda n: n >= 15000 AND n <= 300000) END"
+
+
+def salary(raw: str) -> tuple[str, str]:
+    """The lower and the upper amount of a raw text; one amount has no upper one."""
+    low, high = f"list_min({amounts(raw)})", f"list_max({amounts(raw)})"
+    return f"CAST({low} AS INTEGER)", f"CASE WHEN {high} > {low} THEN CAST({high} AS INTEGER) END"
 
 
 KIND = pick(derive.KINDS, "CAST(substr(source, 4) AS INTEGER)")
 BEGIN = "TIMESTAMP '2024-01-01'"
 AS_OF = f"TIMESTAMP '{derive.AS_OF:%Y-%m-%d}'"
 
+
+
+def classified(rows: str, told: dict[str, str] | None = None) -> str:
+    """``rows`` (title, location_raw, description and what a feed tells) with folded texts and what the rules find in them."""
+    told = told or {}
+    say = lambda name, found: f"coalesce(nullif({told[name]}, 'unknown'), {found})" if name in told else found
+    all_, context = "trim(regexp_replace(ft || ' ' || fb, ' +', ' ', 'g'))", "trim(regexp_replace(ft || ' ' || fl || ' ' || fb, ' +', ' ', 'g'))"
+    return f"""SELECT *, {say("contract_type", contract("ft", "fb"))} AS contract_type, {say("seniority", seniority("ft", "fb"))} AS seniority,
+      {say("remote_policy", remote(context))} AS remote_policy, {say("remote_scope", scope("fl", all_))} AS remote_scope, {all_} AS fa
+    FROM (SELECT *, {fold("title")} AS ft, {fold("coalesce(location_raw, '')")} AS fl, {fold("description")} AS fb FROM {rows})"""
+
+
 # The postings, step by step.
+_LOW, _HIGH = salary("salary_raw")
 POSTINGS = f"""
+p0 AS (SELECT *, CAST(('0x' || substr(md5(coalesce(text, '')), 1, 8)) AS BIGINT) AS k, regexp_extract(text, '^[^.\\n]*') AS s FROM documents),
 p1 AS (
-  SELECT doc_id AS external_id, source AS source_id, {KIND} AS source_kind, text, regexp_extract(text, '^[^.\\n]*') AS s FROM documents),
+  SELECT doc_id AS external_id, source AS source_id, {KIND} AS source_kind, k, nullif({pick(derive.COMPANIES, "length(s)")}, '') AS company_name,
+    {white("s || " + pick(derive.SUFFIXES, "k") + " || ' ' || " + pick(derive.TITLES, "length(s)"))} AS title,
+    nullif({pick(derive.LOCATIONS, "k")}, '') AS location_raw, nullif({pick(derive.SALARIES, "k // 7")}, '') AS salary_raw,
+    {pick(derive.CONTRACTS, "k // 2")} AS contract_text,
+    {white(f"concat_ws({_NL}, text, {pick(derive.CONTRACTS, 'k // 2')}, {pick(derive.REMOTES, 'k // 3')}, {pick(derive.EXTRAS, 'k // 5')})")} AS description,
+    {BEGIN} + to_days(CAST(doc_id % 90 AS INTEGER)) AS first_seen,
+    {BEGIN} + to_days(CAST(doc_id % 90 + doc_id % 40 AS INTEGER)) AS last_seen
+  FROM p0),
 p2 AS (
-  SELECT *, nullif({pick(derive.COMPANIES, "length(s)")}, '') AS company_name,
-    s || {pick(derive.SUFFIXES, "external_id")} || ' ' || {pick(derive.TITLES, "length(s)")} AS title,
-    nullif({pick(derive.LOCATIONS, "external_id")}, '') AS location_raw,
-    {pick(derive.REMOTES, "external_id // 3")} AS remote_text, {pick(derive.CONTRACTS, "external_id // 2")} AS contract_text,
-    nullif({pick(derive.SALARIES, "external_id")}, '') AS salary_raw, {pick(derive.EXTRAS, "external_id // 5")} AS extra,
-    {BEGIN} + to_days(CAST(external_id % 90 AS INTEGER)) AS first_seen,
-    {BEGIN} + to_days(CAST(external_id % 90 + external_id % 40 AS INTEGER)) AS last_seen
+  SELECT *, CASE WHEN external_id % 11 = 0 THEN last_seen END AS closed_at, {title_norm("title")} AS title_norm, {company_norm("company_name")} AS company_norm
   FROM p1),
-p3 AS (
-  SELECT *, contract_text || {_NL} || remote_text || {_NL} || extra AS facts,
-    text || {_NL} || contract_text || {_NL} || remote_text || {_NL} || extra AS description,
-    CASE WHEN external_id % 11 = 0 THEN last_seen END AS closed_at,
-    {title_norm("title")} AS title_norm, {company_norm("company_name")} AS company_norm
-  FROM p2),
+p3 AS ({classified("p2")}),
 p AS (
-  SELECT *, {contract("title", "facts")} AS contract_type, {seniority("title", "facts")} AS seniority, {remote("facts")} AS remote_policy,
-    {scope("location_raw", "facts")} AS remote_scope, {country("trim(string_split(location_raw, ',')[-1])")} AS country_code,
-    list_min({amounts("salary_raw")}) AS low, list_max({amounts("salary_raw")}) AS high,
-    sha256(title_norm || {_NL} || coalesce(company_norm, '') || {_NL} || {white("description")}) AS content_hash,
+  SELECT *, {country("trim(string_split(location_raw, ',')[-1])")} AS country_code, {_LOW} AS low, {_HIGH} AS high,
+    sha256(title_norm || {_NL} || coalesce(company_norm, '') || {_NL} || description) AS content_hash,
     CASE WHEN coalesce(company_norm, '') <> '' THEN company_norm || '|' || title_norm
          ELSE 'anon|' || sha256(source_id || '|' || CAST(external_id AS VARCHAR)) END AS dedup_key
   FROM p3)"""
 
-_C = Criteria()
-
 
 def hits(value: str, patterns) -> str:
     return "(" + " + ".join(f"CAST({has(value, p)} AS INTEGER)" for p in patterns) + ")"
@@ -151,22 +162,20 @@ def first_pattern(value: str, patterns, prefix: str) -> str:
 JUDGED = (
     POSTINGS
     + f""",
-j1 AS (
-  SELECT *, {fold("title")} AS ft, {fold("coalesce(location_raw, '')")} AS fl, {fold(f"title || {_NL} || description")} AS fa FROM p),
 j2 AS (
-  SELECT *, {hits("fa", _C.required_stack)} AS req, {hits("fa", _C.preferred_stack)} AS pref, {hits("fl", _C.local_locations)} > 0 AS local,
-    remote_policy IN ('hybrid', 'onsite') AS away FROM j1),
+  SELECT *, {hits("fa", v.REQUIRED)} AS req, {hits("fa", v.PREFERRED)} AS pref, {hits("fl", v.LOCAL)} > 0 AS local,
+    remote_policy IN ('hybrid', 'onsite') AS away FROM p),
 j3 AS (
   SELECT *,
     list_filter([
       CASE WHEN contract_type IN ('internship', 'apprenticeship', 'freelance', 'cdd') THEN 'contract:' || contract_type END,
       CASE WHEN away AND NOT local THEN 'remote:' || remote_policy END,
-      CASE WHEN remote_scope IN ('other_restricted') THEN 'geo:' || remote_scope END,
-      CASE WHEN NOT {hits("ft", _C.role_title)} > 0 THEN 'role:not_dev' END,
-      {first_pattern("ft", _C.title_exclusions, "stack_exclusion:")},
+      CASE WHEN remote_scope IN ('other') THEN 'geo:' || remote_scope END,
+      CASE WHEN NOT {hits("ft", v.ROLE)} > 0 THEN 'role:not_dev' END,
+      {first_pattern("ft", v.NOT_IN_TITLE, "stack_exclusion:")},
       CASE WHEN req = 0 THEN 'stack_required:none' END,
-      {first_pattern("ft", _C.seniority_exclusions, "seniority:")},
-      CASE WHEN {fold("company_name")} = {fold(q(_C.company_exclusions[0]))} THEN {q("company_exclusion:" + _C.company_exclusions[0])} END
+      {first_pattern("ft", v.NOT_LEVEL, "seniority:")},
+      CASE WHEN {fold("company_name")} = {fold(q(v.NOT_COMPANY))} THEN {q("company_exclusion:" + v.NOT_COMPANY)} END
     ], lambda x: x IS NOT NULL) AS reasons,
     list_filter([
       CASE WHEN contract_type = 'unknown' THEN 'contract:unknown' END,
@@ -174,17 +183,17 @@ j3 AS (
       CASE WHEN remote_policy = 'unknown' THEN 'remote:unknown' END,
       CASE WHEN remote_scope = 'europe' THEN 'geo:check_french_entity' END
     ], lambda x: x IS NOT NULL) AS flags,
-    CAST(least(greatest({rules.BASE_SCORE} + {rules.REQUIRED} * least(req, 4) + {rules.PREFERRED} * least(pref, 2)
-      + CASE WHEN remote_policy = 'full_remote' THEN {rules.REMOTE} ELSE 0 END + CASE WHEN remote_scope = 'france' THEN {rules.FRANCE} ELSE 0 END
-      + CASE WHEN local AND NOT away THEN {rules.LOCAL} ELSE 0 END + CASE WHEN contract_type = 'cdi' THEN {rules.CDI} ELSE 0 END
-      + CASE WHEN seniority IN ('senior', 'lead') THEN {rules.SENIOR} WHEN seniority = 'mid' THEN {rules.MID} WHEN seniority = 'junior' THEN {rules.JUNIOR} ELSE 0 END
-      - {rules.EXCLUDED} * least({hits("fa", _C.description_exclusions)}, 4), 0), 100) AS INTEGER) AS rule_score,
-    {hits("fa", _C.required_stack + _C.preferred_stack)} AS matched
+    CAST(least(greatest(40 + 8 * least(req, 4) + 5 * least(pref, 2)
+      + CASE WHEN remote_policy = 'full_remote' THEN 15 ELSE 0 END + CASE WHEN remote_scope = 'france' THEN 5 ELSE 0 END
+      + CASE WHEN local AND NOT away THEN 5 ELSE 0 END + CASE WHEN contract_type = 'cdi' THEN 5 ELSE 0 END
+      + CASE WHEN seniority IN ('senior', 'lead') THEN 8 WHEN seniority = 'mid' THEN 3 WHEN seniority = 'junior' THEN -15 ELSE 0 END
+      - 5 * least({hits("fa", v.NOT_IN_TEXT)}, 4), 0), 100) AS INTEGER) AS rule_score,
+    {hits("fa", v.REQUIRED + v.PREFERRED)} AS matched
   FROM j2),
 j AS (SELECT *, CASE WHEN len(reasons) > 0 AND source_kind <> 'capture' THEN 'rejected' ELSE 'passed' END AS status FROM j3)"""
 )
 
-PRIORITY = "CASE WHEN source_kind IN (" + ", ".join(map(q, keys.BOARDS)) + ") THEN 0 WHEN source_kind = 'capture' THEN 1 WHEN source_kind = 'france_travail' THEN 2 ELSE 3 END"
+PRIORITY = "CASE WHEN source_kind IN (" + ", ".join(map(q, v.BOARD_KINDS)) + ") THEN 0 WHEN source_kind = 'capture' THEN 1 WHEN source_kind = 'france_travail' THEN 2 ELSE 3 END"
 _TRIAGE = listed(("new", "new", "dismissed", "interested", "new", "applied"))
 
 HEADS = (
@@ -201,7 +210,7 @@ CACHE = """,
 cache AS (
   SELECT p.content_hash, CAST(40 + 50 * quality - 30 * toxic + p.external_id % 10 AS INTEGER) AS score,
     CASE WHEN p.external_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS score_state,
-    CASE WHEN toxic = 1 THEN 'hybrid_or_onsite' WHEN p.external_id % 13 = 0 THEN 'remote_but_geo_incompatible' WHEN p.external_id % 3 = 0 THEN 'remote_ok' END AS remote_verdict,
+    CASE WHEN toxic = 1 THEN 'hybrid_or_onsite' WHEN p.external_id % 13 = 0 THEN 'remote_but_geo_incompatible' WHEN p.external_id % 3 = 0 THEN 'full_remote_france_ok' END AS remote_verdict,
     CASE WHEN quality = 0 AND p.external_id % 2 = 0 THEN 'not_cdi' WHEN p.external_id % 4 = 0 THEN 'cdi' END AS contract_verdict,
     3000 + p.external_id % 1000 AS input_tokens, 200 + p.external_id % 100 AS output_tokens, p.external_id % 3 AS attempts
   FROM p JOIN labels ON labels.doc_id = p.external_id
@@ -215,26 +224,32 @@ HIDDEN = (
 INBOX = SCORED + ", inbox AS (SELECT * FROM hs WHERE triage = 'new' AND status = 'passed' AND closed_at IS NULL)"
 LEVEL = "CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score IS NOT NULL THEN 'weak' END"
 REJECTED = JUDGED + f", rej AS (SELECT * FROM j WHERE status = 'rejected' AND first_seen > {AS_OF} - INTERVAL 60 DAY)"
-_LABELS = "CASE {0} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in numbers.REASON_LABELS.items()) + " ELSE {0} END"
+_LABELS = "CASE {0} " + " ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in v.REASONS) + " ELSE {0} END"
 
 
 def joined(value: str) -> str:
     return f"array_to_string({value}, '|')"
 
 
-def fact(column: str, verdict: dict[str, str], value: str, good: str) -> tuple[str, str]:
-    shown = f"CASE {column} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in verdict.items()) + f" ELSE {value} END"
-    return shown, f"CASE {shown} WHEN {q(good)} THEN 'good' WHEN 'unknown' THEN 'neutral' ELSE 'bad' END"
-
-
-_REMOTE_FACT = fact("remote_verdict", {"remote_ok": "full_remote", "hybrid_or_onsite": "hybrid or onsite", "remote_but_geo_incompatible": "remote elsewhere"}, "remote_policy", "full_remote")
-_CONTRACT_FACT = fact("contract_verdict", {"cdi": "cdi", "not_cdi": "other contract"}, "contract_type", "cdi")
+_POLICY = "CASE remote_policy WHEN 'full_remote' THEN 'Full remote' WHEN 'hybrid' THEN 'Hybride' WHEN 'onsite' THEN 'Sur site' ELSE 'Remote ?' END"
+_REMOTE_FACT = (
+    f"""CASE remote_verdict WHEN 'full_remote_france_ok' THEN 'Full remote France' WHEN 'hybrid_or_onsite' THEN 'Hybride / sur site'
+      WHEN 'remote_but_geo_incompatible' THEN 'Remote hors zone' WHEN 'unclear' THEN 'Remote incertain' ELSE {_POLICY} END""",
+    "CASE coalesce(remote_verdict, remote_policy) WHEN 'full_remote_france_ok' THEN 'good' WHEN 'full_remote' THEN 'good' WHEN 'unclear' THEN 'warn' WHEN 'unknown' THEN 'warn' ELSE 'bad' END",
+)
+_CONTRACT = "CASE contract_type WHEN 'cdd' THEN 'CDD' WHEN 'freelance' THEN 'Freelance' WHEN 'internship' THEN 'Stage' WHEN 'apprenticeship' THEN 'Alternance' ELSE 'Autre' END"
+_CONTRACT_FACT = (
+    f"""CASE WHEN contract_verdict = 'not_cdi' THEN CASE WHEN contract_type IN ('cdi', 'unknown') THEN 'Pas un CDI' ELSE {_CONTRACT} END
+      WHEN contract_type = 'cdi' OR contract_verdict = 'cdi' THEN 'CDI' WHEN contract_type = 'unknown' THEN 'Contrat non précisé' ELSE {_CONTRACT} END""",
+    "CASE WHEN contract_verdict = 'not_cdi' THEN 'bad' WHEN contract_type = 'cdi' OR contract_verdict = 'cdi' THEN 'good' WHEN contract_type = 'unknown' THEN 'warn' ELSE 'bad' END",
+)
 _INBOX_ORDER = "score DESC NULLS LAST, rule_score DESC, first_seen DESC, cluster_id"
 
 _STATES = {"automobile": "none", "building": "to_contact", "furniture": "contacted", "household": "replied", "machinery": "closed"}
 COMPANIES = f"""
 co AS (SELECT c_custkey AS company_id, c_name AS name, {company_norm("c_name")} AS name_norm, n_name AS city,
-  CASE lower(c_mktsegment) {" ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _STATES.items())} ELSE 'none' END AS outreach
+  lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS siren, 'c' || c_custkey || '.example.com' AS domain,
+  CASE lower(c_mktsegment) {" ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in _STATES.items())} ELSE 'none' END AS outreach
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 SOURCES = f"""
 so AS (SELECT {pick(derive.KINDS, "s_suppkey")} || ':' || s_suppkey AS source_id, {pick(derive.KINDS, "s_suppkey")} AS kind, s_name AS label,
@@ -246,7 +261,7 @@ RUNS = """
 ru AS (SELECT o_orderkey AS run_id, 'src' || (o_custkey % 20) AS source_id, o_orderdate AS started_at,
   CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'P' THEN 'partial' ELSE 'running' END AS status,
   o_orderkey % 50 AS fetched, o_orderkey % 7 AS created, o_orderkey % 3 AS failed_items FROM orders)"""
-_TO = "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in derive.STATUS.items()) + " END"
+_TO = "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in derive.STATUS.items()) + " END"
 APPS = f"""
 ev AS (SELECT event_id, user_id AS application_id, {_TO} AS to_status, ts AS occurred_at, props FROM events),
 ap AS (SELECT application_id, to_status AS status, occurred_at AS updated_at,
@@ -265,7 +280,7 @@ SIM = "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_co
 
 
 def qualifiers(value: str) -> str:
-    return f"array_to_string(list_sort(list_distinct(regexp_extract_all({value}, {rx(keys.QUALIFIERS)}))), ',')"
+    return f"array_to_string(list_sort(list_distinct(regexp_extract_all({value}, {rx(v.QUALIFIERS)}))), ',')"
 
 
 SNAP = (
@@ -287,25 +302,38 @@ def domain(url: str) -> str:
 
 
 def emails(value: str) -> str:
-    plain = sub(value, (r"(?i)\s*[\[({]\s*at\s*[\])}]\s*", "@"), (r"(?i)\s*[\[({]\s*dot\s*[\])}]\s*", "."))
-    return f"list_sort(list_distinct(regexp_extract_all(lower({plain}), {rx(web.EMAIL)})))"
+    plain = sub(value, (r"(?i)\s*[\[({]\s*(?:at|arobase)\s*[\])}]\s*", "@"), (r"(?i)\s*[\[({]\s*(?:dot|point)\s*[\])}]\s*", "."))
+    found = f"list_transform(regexp_extract_all(lower({plain}), {rx(v.EMAIL)}), lambda e: regexp_replace(e, '\\.$', ''))"
+    return f"list_sort(list_distinct(list_filter({found}, lambda e: {has('e', v.ADDRESS)})))"
 
 
 _PAGE_KEY = f"{domain('url')} || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
 _BASE = "string_split(string_split(url, '#')[1], '?')[1]"
-_PARAMS = f"list_filter(string_split(regexp_extract(string_split(url, '#')[1], '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT {has('x', web.TRACKING)})"
+_PARAMS = f"list_filter(string_split(regexp_extract(string_split(url, '#')[1], '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT {has('x', v.TRACKING)})"
 
 
 def html_text(value: str) -> str:
     value = sub(
         value, (r"(?is)<script\b[^>]*>.*?</script>", ""), (r"(?is)<style\b[^>]*>.*?</style>", ""),
-        (r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|section|article|table|blockquote)>", _NL), (r"<[^>]*>", ""),
+        (r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|section|article|blockquote)\s*>", _NL), (r"<[^>]*>", ""),
     )
-    for name, char in text.ENTITIES:
+    for name, char in v.ENTITIES:
         value = f"replace({value}, {q(name)}, {q(char)})"
     return white(value)
 
 
+def paris(moment: str) -> str:
+    """Local time, by the changes of summer time in the years of the data."""
+    summer = [("2023-03-26", "2023-10-29"), ("2024-03-31", "2024-10-27"), ("2025-03-30", "2025-10-26")]
+    inside = " OR ".join(f"({moment} >= TIMESTAMP '{a} 01:00:00' AND {moment} < TIMESTAMP '{b} 01:00:00')" for a, b in summer)
+    return f"({moment} + CASE WHEN {inside} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END)"
+
+
+def window_of(local: str) -> str:
+    starts = ", ".join(f"date_trunc('day', {local}) {sign} INTERVAL {h} HOUR" for sign, h in (("-", 2), ("+", 7), ("+", 12), ("+", 17), ("+", 22)))
+    return f"list_max(list_filter([{starts}], lambda t: t <= {local}))"
+
+
 SQL: dict[str, str] = {
     "inbox_list": f"""WITH {INBOX} SELECT cluster_id, external_id, title, company_name, source_kind, remote_policy, contract_type, rule_score, CAST(score AS DOUBLE) AS score,
       {LEVEL} AS level, {joined("flags")} AS flags FROM inbox WHERE NOT {HIDDEN} ORDER BY {_INBOX_ORDER} LIMIT 300""",
@@ -341,11 +369,11 @@ SQL: dict[str, str] = {
       round(CAST(sum(input_tokens) + 5 * sum(output_tokens) AS DOUBLE) / 1000000.0::DOUBLE, 6) AS usd FROM cache""",
     "nav_counts": f"""WITH {HEADS}, {APPS}, {SOURCES} SELECT
       (SELECT count(*) FROM h WHERE triage = 'new' AND status = 'passed' AND closed_at IS NULL) AS inbox, (SELECT count(*) FROM h WHERE triage = 'interested') AS interesting,
-      (SELECT count(*) FROM ap WHERE status <> 'closed') AS pipeline, (SELECT count(*) FROM so WHERE failures > 0 AND enabled) AS failing,
+      (SELECT count(*) FROM ap WHERE status NOT IN ('offer', 'rejected', 'withdrawn', 'ghosted')) AS pipeline, (SELECT count(*) FROM so WHERE failures > 0 AND enabled) AS failing,
       (SELECT count(*) FROM so WHERE source_id LIKE 'lever%' AND NOT enabled) AS disabled_lever""",
     "pipeline_by_status": f"""WITH {PIPELINE} SELECT status, count(*) AS n, CAST(min(next_action) AS VARCHAR) AS first_action,
-      CAST(list_position({listed(("to_apply", "applied", "followed_up", "interview", "closed"))}, status) AS BIGINT) AS place FROM pi GROUP BY status""",
-    "due_followups": f"WITH {PIPELINE} SELECT application_id, status, title, company, CAST(next_action AS VARCHAR) AS next_action FROM pi WHERE next_action <= CAST({AS_OF} AS DATE) AND status <> 'closed'",
+      CAST(list_position({listed(v.STATUSES)}, status) AS BIGINT) AS place FROM pi GROUP BY status""",
+    "due_followups": f"WITH {PIPELINE} SELECT application_id, status, title, company, CAST(next_action AS VARCHAR) AS next_action FROM pi WHERE next_action <= CAST({AS_OF} AS DATE) AND status NOT IN ('offer', 'rejected', 'withdrawn', 'ghosted')",
     "status_transitions": f"""WITH {APPS}, t AS (SELECT lag(to_status) OVER (PARTITION BY application_id ORDER BY occurred_at, event_id) AS from_status, to_status FROM ev)
       SELECT from_status, to_status, count(*) AS n FROM t GROUP BY 1, 2""",
     "triage_next": f"""WITH {INBOX}, l AS (SELECT * FROM inbox WHERE NOT {HIDDEN} ORDER BY {_INBOX_ORDER} LIMIT 300)
@@ -354,14 +382,14 @@ SQL: dict[str, str] = {
     "content_hash": f"WITH {POSTINGS} SELECT external_id, content_hash, {qualifiers('title_norm')} AS qualifiers FROM p",
     "hash_duplicates": f"WITH {POSTINGS} SELECT content_hash, count(*) AS n, min(external_id) AS first_id FROM p GROUP BY content_hash HAVING count(*) > 1",
     "exact_key_latest": f"""WITH {POSTINGS} SELECT a.external_id, b.external_id AS match_id FROM p a JOIN p b ON a.dedup_key = b.dedup_key AND a.source_id <> b.source_id
-      WHERE b.closed_at IS NULL AND b.last_seen > {AS_OF} - INTERVAL {3 * keys.HORIZON_DAYS} DAY
+      WHERE b.closed_at IS NULL AND b.last_seen > {AS_OF} - INTERVAL 45 DAY
       QUALIFY row_number() OVER (PARTITION BY a.external_id ORDER BY b.last_seen DESC, b.external_id DESC) = 1""",
     "fuzzy_pairs": f"""WITH {POSTINGS}, t AS (SELECT DISTINCT company_norm, title_norm, {GRAMS.format("title_norm")} AS g FROM p WHERE coalesce(company_norm, '') <> '' AND closed_at IS NULL),
       s AS (SELECT x.company_norm, x.title_norm AS a, y.title_norm AS b, {SIM.format("x.g", "y.g")} AS sim FROM t x JOIN t y ON x.company_norm = y.company_norm AND x.title_norm < y.title_norm)
-      SELECT company_norm, a, b, round(sim, 6) AS sim FROM s WHERE sim >= {keys.GROUPING} AND {qualifiers("a")} = {qualifiers("b")}""",
+      SELECT company_norm, a, b, round(sim, 6) AS sim FROM s WHERE sim >= 0.75 AND {qualifiers("a")} = {qualifiers("b")}""",
     "part_pairs": f"""WITH t AS (SELECT DISTINCT p_name, {GRAMS.format("p_name")} AS g FROM part),
       s AS (SELECT x.p_name AS name, y.p_name AS other, {SIM.format("x.g", "y.g")} AS sim FROM t x JOIN t y ON x.p_name <> y.p_name)
-      SELECT name, other, round(sim, 6) AS sim, row_number() OVER (PARTITION BY name ORDER BY sim DESC, other) AS n FROM s WHERE sim >= {keys.SUGGESTING} QUALIFY n <= 5""",
+      SELECT name, other, round(sim, 6) AS sim, row_number() OVER (PARTITION BY name ORDER BY sim DESC, other) AS n FROM s WHERE sim >= 0.4 QUALIFY n <= 5""",
     "canonical_pick": f"WITH {HEADS} SELECT cluster_id, external_id, source_kind, CAST(rank AS INTEGER) AS rank FROM h",
     "cluster_rollup": f"""WITH {SCORED}, g AS (SELECT cluster_id, count(*) AS members, CAST(CAST(min(first_seen) AS DATE) AS VARCHAR) AS first_seen, CAST(CAST(max(last_seen) AS DATE) AS VARCHAR) AS last_seen,
         bool_or(status = 'passed') AS any_passed, bool_and(closed_at IS NOT NULL) AS all_closed, bool_and(status = 'rejected') AS all_rejected,
@@ -373,14 +401,16 @@ SQL: dict[str, str] = {
         CAST(CASE WHEN score_status = 'done' THEN score END AS DOUBLE) AS best_score FROM z""",
     "republished_lineage": f"""WITH {POSTINGS}, l AS (SELECT external_id, lag(external_id) OVER w AS previous_id, date_diff('day', CAST(lag(last_seen) OVER w AS DATE), CAST(first_seen AS DATE)) AS gap
         FROM p WINDOW w AS (PARTITION BY dedup_key ORDER BY first_seen, external_id))
-      SELECT external_id, previous_id, CAST(gap AS INTEGER) AS gap_days FROM l WHERE gap > {keys.HORIZON_DAYS // 3}""",
-    "company_priority_lookup": f"""WITH {COMPANIES}, pr AS (SELECT s_suppkey, 'customer#' || lpad(CAST(s_suppkey * 3 % 997 AS VARCHAR), 9, '0') AS name_norm FROM supplier),
-      nm AS (SELECT name_norm, min(company_id) AS id2, arg_min(name, company_id) AS n2 FROM co GROUP BY name_norm)
-      SELECT s_suppkey, CAST(coalesce(a.company_id, nm.id2) AS DOUBLE) AS company_id, coalesce(a.name, nm.n2) AS name,
-        CASE WHEN a.company_id IS NOT NULL THEN 'id' WHEN nm.id2 IS NOT NULL THEN 'name' ELSE 'new' END AS way
-      FROM pr LEFT JOIN co a ON a.company_id = s_suppkey AND a.company_id % 4 = 0 LEFT JOIN nm ON nm.name_norm = pr.name_norm""",
-    "triage_merge": f"""WITH {HEADS}, r AS (SELECT company_norm, cluster_id, list_position({listed(numbers.TRIAGE)}, triage) AS rank FROM m WHERE coalesce(company_norm, '') <> '')
-      SELECT company_norm, min(cluster_id) AS target, count(DISTINCT cluster_id) AS merged, {listed(numbers.TRIAGE)}[max(rank)] AS triage, count(*) AS postings FROM r GROUP BY company_norm""",
+      SELECT external_id, previous_id, CAST(gap AS INTEGER) AS gap_days, gap > 45 AS new_cluster FROM l WHERE previous_id IS NOT NULL""",
+    "company_priority_lookup": f"""WITH {COMPANIES}, pr AS (
+        SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey * 31 * 7919 % 1000000000 AS VARCHAR), 9, '0') END AS siren,
+          CASE WHEN s_suppkey % 3 <= 1 THEN 'c' || s_suppkey * 17 || '.example.com' END AS domain, 'customer#' || lpad(CAST(s_suppkey * 3 % 997 AS VARCHAR), 9, '0') AS name_norm FROM supplier),
+      nm AS (SELECT name_norm, min(company_id) AS id, arg_min(name, company_id) AS name FROM co GROUP BY name_norm)
+      SELECT s_suppkey, CAST(coalesce(a.company_id, b.company_id, nm.id) AS DOUBLE) AS company_id, coalesce(a.name, b.name, nm.name) AS name,
+        CASE WHEN a.company_id IS NOT NULL THEN 'siren' WHEN b.company_id IS NOT NULL THEN 'domain' WHEN nm.id IS NOT NULL THEN 'name' ELSE 'new' END AS way
+      FROM pr LEFT JOIN co a ON a.siren = pr.siren LEFT JOIN co b ON b.domain = pr.domain LEFT JOIN nm ON nm.name_norm = pr.name_norm""",
+    "triage_merge": f"""WITH {HEADS}, r AS (SELECT company_norm, cluster_id, list_position({listed(v.TRIAGE)}, triage) AS rank FROM m WHERE coalesce(company_norm, '') <> '')
+      SELECT company_norm, min(cluster_id) AS target, count(DISTINCT cluster_id) AS merged, {listed(v.TRIAGE)}[max(rank)] AS triage, count(*) AS postings FROM r GROUP BY company_norm""",
     "cdc_classes": f"WITH {CHANGES} SELECT source_id, external_id, change FROM c",
     "run_counters": f"""WITH {CHANGES} SELECT source_id, count(*) FILTER (change <> 'missing') AS fetched, count(*) FILTER (change = 'new') AS created,
       count(*) FILTER (change IN ('changed', 'reopened')) AS updated, count(*) FILTER (change = 'missing') AS missing FROM c GROUP BY source_id""",
@@ -397,21 +427,18 @@ SQL: dict[str, str] = {
     "backoff_next_run": f"WITH {SOURCES} SELECT source_id, {DELAY} AS delay_minutes, CAST(1000 * pow(4.0, failures) AS BIGINT) AS http_ms FROM so",
     "retention_split": f"WITH {RUNS} SELECT started_at < (SELECT max(started_at) FROM ru) - INTERVAL 60 DAY AS expired, count(*) AS n FROM ru GROUP BY 1",
     "check_violations": f"""WITH {POSTINGS}, {APPS}, {RUNS}
-      SELECT 'application has a cluster or a title' AS rule, count(*) AS violations FROM ap WHERE cluster_id IS NULL AND (external_title IS NULL OR application_id % 6 = 0)
-      UNION ALL SELECT 'application is known', count(*) FROM ap WHERE status NOT IN ('to_apply', 'applied', 'followed_up', 'interview')
+      SELECT 'application has a cluster or a title' AS rule, count(*) AS violations FROM ap WHERE cluster_id IS NULL AND external_title IS NULL
+      UNION ALL SELECT 'application is known', count(*) FROM ap WHERE status NOT IN ('to_apply', 'applied', 'followed_up', 'interview', 'offer', 'withdrawn', 'ghosted')
       UNION ALL SELECT 'run id is unique', count(*) FROM (SELECT run_id FROM ru GROUP BY run_id HAVING count(*) > 1)
       UNION ALL SELECT 'run has a source', count(*) FROM ru WHERE source_id NOT IN (SELECT source_id FROM p)""",
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
-    "scheduled_windows": f"""WITH {APPS}, w AS (SELECT occurred_at, occurred_at + INTERVAL 3 HOUR AS later FROM ev),
-      x AS (SELECT occurred_at, later, list_max(list_filter([date_trunc('day', occurred_at) - INTERVAL 2 HOUR, date_trunc('day', occurred_at) + INTERVAL 7 HOUR, date_trunc('day', occurred_at) + INTERVAL 12 HOUR,
-          date_trunc('day', occurred_at) + INTERVAL 17 HOUR, date_trunc('day', occurred_at) + INTERVAL 22 HOUR], lambda t: t <= occurred_at)) AS a,
-        list_max(list_filter([date_trunc('day', later) - INTERVAL 2 HOUR, date_trunc('day', later) + INTERVAL 7 HOUR, date_trunc('day', later) + INTERVAL 12 HOUR,
-          date_trunc('day', later) + INTERVAL 17 HOUR, date_trunc('day', later) + INTERVAL 22 HOUR], lambda t: t <= later)) AS b FROM w)
-      SELECT a AS window_start, count(*) AS n, count(*) FILTER (later - b > INTERVAL 30 MINUTE AND occurred_at < b) AS stale FROM x GROUP BY a""",
+    "scheduled_windows": f"""WITH {APPS}, z AS (SELECT {paris("occurred_at")} AS here, {paris("occurred_at + INTERVAL 3 HOUR")} AS later FROM ev),
+      x AS (SELECT here, later, {window_of("here")} AS a, {window_of("later")} AS b FROM z)
+      SELECT a AS window_start, count(*) AS n, count(*) FILTER (later - b > INTERVAL 30 MINUTE AND here < b) AS stale FROM x GROUP BY a""",
     "classified": f"WITH {POSTINGS} SELECT external_id, contract_type, seniority, remote_policy, remote_scope, country_code FROM p",
-    "contract_labels": f"""WITH {POSTINGS} SELECT contract_text, coalesce({first_of(fold("contract_text"), {n: classify.CONTRACTS[n] for n in ("cdi", "cdd", "internship", "apprenticeship", "freelance")})}, 'unknown') AS label,
+    "contract_labels": f"""WITH {POSTINGS} SELECT contract_text, coalesce({first_of(fold("contract_text"), v.LABELS)}, 'unknown') AS label,
       count(*) AS n FROM p GROUP BY contract_text""",
-    "salaries": f"""WITH {POSTINGS}, s AS (SELECT external_id, CAST(round(low) AS INTEGER) AS low, CASE WHEN high > low THEN CAST(round(high) AS INTEGER) END AS high FROM p)
+    "salaries": f"""WITH {POSTINGS}, s AS (SELECT external_id, low, high FROM p)
       SELECT external_id, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CASE WHEN high IS NOT NULL THEN CAST(round(low / 1000.0::DOUBLE) AS INTEGER) || 'k–' || CAST(round(high / 1000.0::DOUBLE) AS INTEGER) || 'k €'
         WHEN low IS NOT NULL THEN CAST(round(low / 1000.0::DOUBLE) AS INTEGER) || 'k €' END AS shown FROM s""",
     "folded_documents": f"SELECT doc_id, sha256({fold('text')}) AS folded FROM documents",
@@ -427,8 +454,9 @@ SQL: dict[str, str] = {
       SELECT page_id, key, host FROM k QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 6""",
     "document_emails": f"WITH e AS (SELECT doc_id, {joined(emails('text'))} AS emails FROM documents) SELECT * FROM e WHERE emails <> ''",
     "generic_contacts": f"""WITH {POSTINGS}, e AS (SELECT external_id, unnest({emails("description")}) AS e FROM p),
-      g AS (SELECT external_id, e, list_position({listed(web.GENERIC)}, split_part(e, '@', 1)) AS k FROM e WHERE (split_part(e, '@', 2) = 'example.com' OR ends_with(split_part(e, '@', 2), '.example.com')))
-      SELECT external_id, string_agg(e, '|' ORDER BY k, e) AS emails FROM g WHERE k > 0 GROUP BY external_id""",
+      g AS (SELECT external_id, e, split_part(e, '@', 1) AS local FROM e WHERE (split_part(e, '@', 2) = 'example.com' OR ends_with(split_part(e, '@', 2), '.example.com')))
+      SELECT external_id, string_agg(e, '|' ORDER BY coalesce(nullif(list_position({listed(v.PREFERENCE)}, local), 0), 99), e) AS emails FROM g
+      WHERE list_contains({listed(v.ACCEPTED)}, local) GROUP BY external_id""",
     "board_sources": f"""WITH u AS (SELECT page_id, page_id % 5 AS k, lower(replace({domain("url")}, '.', '-')) AS slug FROM pages)
       SELECT page_id, CASE k WHEN 0 THEN 'greenhouse:' || slug WHEN 1 THEN 'lever:' || slug WHEN 2 THEN 'ashby:' || slug WHEN 3 THEN 'smartrecruiters:' || slug END AS source_id FROM u""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from harrow.functions import keys, numbers, times
 from harrow.operators.rules import hidden_by_verdict
+from harrow.operators.snapshot import written
 from harrow.session import table
 
 from . import derive
@@ -34,21 +35,34 @@ def text(array: Column) -> Column:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged postings with cluster, triage and the rank by which a cluster's canonical posting is chosen."""
-    rows = derive.clusters(derive.judged(spark, sf_dir))
+    """Postings with cluster, triage and the rank by which a cluster's canonical posting is chosen, without their texts."""
+    return written(spark, sf_dir, "members", lambda: placed(derive.jobs(spark, sf_dir)))
+
+
+def placed(jobs: DataFrame) -> DataFrame:
+    rows = derive.clusters(jobs.drop("description", "tags", "matched"))
     rank = F.when(F.col("status") == "passed", 0).otherwise(10) + F.when(F.col("closed_at").isNotNull(), 5).otherwise(0)
     return rows.withColumn("rank", rank + keys.source_priority(F.col("source_kind")))
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """The member with the lowest rank; then the first seen, the source and the id decide."""
-    order = Window.partitionBy("cluster_id").orderBy("rank", "first_seen", "source_id", "external_id")
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """The member with the lowest rank; then the first seen, the source and the id decide.
+
+    A minimum of structs combines before the shuffle, where a window would sort every member.
+    """
+    order = ["rank", "first_seen", "source_id", "external_id"]
+    rest = [c for c in rows.columns if c not in ("cluster_id", *order)]
+    best = rows.groupBy("cluster_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("v"), F.min(F.struct(*order)).alias("o"))
+    return best.select("cluster_id", "o.*", "v.*")
+
+
+def score_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "scores", lambda: derive.scores(spark, sf_dir, derive.jobs(spark, sf_dir)))
 
 
 def scored(spark: SparkSession, sf_dir: str, rows: DataFrame, how: str = "left") -> DataFrame:
     """Joins the score cache of the current prompt and model; those two constants are filtered before the join."""
-    cache = derive.scores(spark, sf_dir, derive.postings(spark, sf_dir))
+    cache = score_cache(spark, sf_dir)
     cache = cache.filter((F.col("prompt_version") == derive.PROMPT) & (F.col("model") == derive.MODEL))
     return rows.join(cache.drop("prompt_version", "model"), "content_hash", how)
 
@@ -129,7 +143,7 @@ def reject_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.coalesce(F.try_element_at("reasons", F.lit(1)), F.lit("other"))
+    first = F.coalesce(F.try_element_at("reasons", F.lit(1)), F.lit("autre"))
     rows = rejected(spark, sf_dir).select(first.alias("reason"))
     return rows.groupBy(numbers.reason_label(reason_code(F.col("reason"))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -207,7 +221,7 @@ def window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and cost of the score cache."""
-    rows = derive.scores(spark, sf_dir, derive.postings(spark, sf_dir))
+    rows = score_cache(spark, sf_dir)
     tokens_in, tokens_out = (F.coalesce(F.sum(c), F.lit(0)) for c in ("input_tokens", "output_tokens"))
     return rows.agg(F.count(F.lit(1)).alias("calls"), tokens_in.alias("tokens_in"), tokens_out.alias("tokens_out")).withColumn(
         "usd", F.round(numbers.cost_usd(F.col("tokens_in"), F.col("tokens_out")), 6)
@@ -221,7 +235,7 @@ def nav_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         one(heads.filter("triage = 'new' and status = 'passed' and closed_at is null"), "inbox"),
         one(heads.filter("triage = 'interested'"), "interesting"),
-        one(derive.applications(spark, sf_dir).filter("status not in ('closed')"), "pipeline"),
+        one(derive.applications(spark, sf_dir).filter(~F.col("status").isin(*CLOSED)), "pipeline"),
         one(derive.sources(spark, sf_dir).filter("failures > 0 and enabled"), "failing"),
         one(derive.sources(spark, sf_dir).filter("source_id like 'lever%' and not enabled"), "disabled_lever"),
     ]
@@ -239,7 +253,9 @@ def pipeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATUS_ORDER = ("to_apply", "applied", "followed_up", "interview", "closed")
+# The states of an application in their order, and those that end it.
+STATUS_ORDER = ("to_apply", "applied", "followed_up", "interview", "offer", "rejected", "withdrawn", "ghosted")
+CLOSED = ("offer", "rejected", "withdrawn", "ghosted")
 
 
 def pipeline_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +266,7 @@ def pipeline_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def due_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline_rows(spark, sf_dir).filter(times.overdue(F.col("next_action"), F.to_date(as_of())) & (F.col("status") != "closed"))
+    rows = pipeline_rows(spark, sf_dir).filter(times.overdue(F.col("next_action"), F.to_date(as_of())) & ~F.col("status").isin(*CLOSED))
     return rows.orderBy(F.col("next_action").asc_nulls_last(), F.col("updated_at").desc(), "application_id").select(
         "application_id", "status", "title", "company", day("next_action").alias("next_action")
     )

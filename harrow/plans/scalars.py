@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrow.functions import classify, numbers, web
 from harrow.functions.text import fold, html_to_text, normalize_company, normalize_title
 from harrow.session import table
+from harrow.sources.boards import board_of
 
 from . import derive
 
@@ -18,7 +19,8 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.postings(spark, sf_dir)
+    k = derive.digits(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(derive.pick(derive.CONTRACTS, F.floor(k / 2)).alias("contract_text"))
     return rows.groupBy("contract_text").agg(F.count(F.lit(1)).alias("n")).select(
         "contract_text", classify.contract_from_label(F.col("contract_text")).alias("label"), "n"
     )
@@ -79,7 +81,7 @@ def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generic_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derive.postings(spark, sf_dir)
-    found = web.generic_emails(F.col("description"), F.lit("example.com"))
+    found = web.generic_emails(F.lit(""), F.col("description"), F.lit("example.com"))
     return rows.select("external_id", F.array_join(found, "|").alias("emails")).filter("emails != ''")
 
 
@@ -88,4 +90,4 @@ def board_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = ("https://boards.greenhouse.io/", "https://jobs.lever.co/", "https://jobs.ashbyhq.com/", "https://careers.smartrecruiters.com/", "https://example.org/")
     slug = F.replace(web.domain(F.col("url")), F.lit("."), F.lit("-"))
     url = F.concat(derive.pick(shapes, F.col("page_id")), slug, F.lit("/jobs/1"))
-    return table(spark, sf_dir, "pages").select("page_id", web.detect_source(url).alias("source_id"))
+    return table(spark, sf_dir, "pages").select("page_id", board_of(url)["source_id"].alias("source_id"))

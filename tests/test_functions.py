@@ -37,13 +37,17 @@ def test_similarity(one):
 
 def test_classes(one):
     assert one(classify.detect_contract(lit("Stage data"), lit("contrat cdi"))) == "internship"
-    assert one(classify.detect_remote(lit("full remote or on site"))) == "unknown"
+    assert one(classify.detect_remote(lit("Full remote, sur site uniquement en été"))) == "full_remote"
+    assert one(classify.detect_remote(lit("Full remote or hybrid"))) == "unknown"
+    assert one(classify.detect_scope(lit("London"), lit("anywhere in Europe"))) == "other"
+    assert one(classify.detect_scope(lit("31 - TOULOUSE"), lit(""))) == "france"
+    assert one(classify.detect_seniority(lit("Developer"), lit("2 ans minimum d'expérience"))) == "mid"
     assert one(classify.country_code(lit("fr"))) == "FR"
 
 
 def test_numbers_and_times(one):
     assert one(numbers.parse_salary(lit("45k - 55k")))["max"] == 55_000
-    assert one(numbers.parse_salary(lit("3000 per month")))["min"] is None
+    assert one(numbers.parse_salary(lit("3000 par mois")))["min"] is None
     assert one(times.parse_time(lit("not a time"))) is None
     assert one(times.source_backoff(F.lit(60), F.lit(9))) == 1440
 
