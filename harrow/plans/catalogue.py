@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import grouping, read_models, scalars
+from harrow.sources import registry
+
+from . import feed_queries, grouping, oracle, oracle_feeds, read_models, scalars
 
 _NAMED = {
     read_models: (
@@ -19,6 +21,7 @@ _NAMED = {
         "classified contract_labels salaries folded_documents normalized_titles normalized_companies html_texts page_links page_domains "
         "canonical_urls page_keys document_emails generic_contacts board_sources"
     ),
+    feed_queries: "board_configs page_boards seed_sources captured window_halves",
 }
 
 QUERIES = {name: getattr(module, name) for module, names in _NAMED.items() for name in names.split()} | {
@@ -26,3 +29,7 @@ QUERIES = {name: getattr(module, name) for module, names in _NAMED.items() for n
     "closures_full": grouping.closures(complete=True),
     "closures_deferred": grouping.closures(complete=False),
 }
+QUERIES |= {f"feed_{kind}": getattr(feed_queries, kind) for kind in registry.ADAPTERS}
+
+#: DuckDB SQL for the same rows.
+SQL = oracle.SQL | oracle_feeds.SQL
