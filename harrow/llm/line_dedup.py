@@ -31,8 +31,11 @@ LONG_ONLY = {"min_tokens": 4, "unmasked": False}
 
 
 def plain_line(line: Column) -> Column:
-    """The line's tokens with one space between them."""
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+    """The line's tokens with one space between them. Most lines are so but for their ends, which needs no pattern."""
+    other = line.contains("  ")
+    for blank in "\t\x0B\x0C\r":
+        other = other | line.contains(blank)
+    return F.trim(F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
 def masked(plain: Column) -> Column:
@@ -46,8 +49,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the hash is made below the split, once for each text
     texts = texts.select("id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("raw"))
-    rows = texts.select("id", "h", F.posexplode("raw").alias("pos", "raw"))
-    rows = rows.select("id", "h", "pos", plain_line(F.col("raw")).alias("plain")).filter("plain != ''")
+    # a text has one line at least; the outer form spares Spark a test that splits every text once more
+    rows = texts.select("id", "h", F.posexplode_outer("raw").alias("pos", "raw"))
+    # blank lines are told by their first character that is not blank, before any line is rewritten
+    rows = rows.filter(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("id", "h", "pos", plain_line(F.col("raw")).alias("plain"))
     rows = rows.select("id", "h", "pos", "plain", masked(F.col("plain")).alias("line"))
     n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1
     rows = rows.select(
@@ -60,7 +65,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
         F.xxhash64(n, F.substring_index("line", " ", depth)).alias("leaf"),
         n.alias("n"),
     )
-    return rows.filter(F.col("n") >= min_tokens).drop("n")
+    # without the test the rewriting of a line is not repeated in a filter below it
+    return (rows.filter(F.col("n") >= min_tokens) if min_tokens > 1 else rows).drop("n")
 
 
 def _shared(rows: DataFrame, name: str, min_docs: int) -> DataFrame:
