@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,11 @@ def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Data
         make().write.mode("overwrite").option("compression", "zstd").parquet(path)
         _paths[key] = path
     return spark.read.parquet(_paths[key])
+
+
+def cut(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written and read back: what uses them more than once does not make them again, and plans stay small."""
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/harrow-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

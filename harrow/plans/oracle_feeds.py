@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import derive, feed_queries
 from . import oracle_values as v
-from .oracle import _NL, classified, contract, country, first_of, fold, has, joined, listed, pick, q, salary, white, window_of  # noqa: F401
+from .oracle import _NL, classified, country, first_of, fold, has, listed, pick, q, salary, white
 
 BASE = f"""
 b0 AS (SELECT doc_id AS id, source AS source_id, translate(text, '<>&', '   ') AS t, CAST(('0x' || substr(md5(coalesce(text, '')), 1, 8)) AS BIGINT) AS k FROM documents),
