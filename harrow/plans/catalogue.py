@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from harrow.sources import registry
 
-from . import feed_queries, grouping, oracle, oracle_feeds, oracle_state, read_models, scalars, state_queries
+from . import feed_queries, grouping, oracle, oracle_feeds, oracle_helpers, oracle_state, read_models, scalars, state_queries
 
 _NAMED = {
     read_models: (
@@ -19,7 +19,7 @@ _NAMED = {
     ),
     scalars: (
         "classified contract_labels salaries folded_documents normalized_titles normalized_companies html_texts page_links page_domains "
-        "canonical_urls page_keys document_emails generic_contacts board_sources"
+        "canonical_urls page_keys document_emails generic_contacts board_sources text_helpers time_helpers contact_pages mail_links"
     ),
     state_queries: state_queries.NAMES,
     feed_queries: "board_configs page_boards seed_sources captured window_halves",
@@ -33,4 +33,4 @@ QUERIES = {name: getattr(module, name) for module, names in _NAMED.items() for n
 QUERIES |= {f"feed_{kind}": getattr(feed_queries, kind) for kind in registry.ADAPTERS}
 
 #: DuckDB SQL for the same rows.
-SQL = oracle.SQL | oracle_feeds.SQL | oracle_state.SQL
+SQL = oracle.SQL | oracle_feeds.SQL | oracle_state.SQL | oracle_helpers.SQL
