@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
     "run_outcomes": f"""WITH {SOURCES}, u AS (SELECT *, company_id % 3 AS k, CASE WHEN company_id % 3 = 0 THEN 0 ELSE failures END + CASE WHEN company_id % 3 = 1 AND company_id % 9 <> 1 THEN 1 ELSE 0 END AS fails FROM so)
       SELECT source_id, enabled AND NOT (k = 1 AND company_id % 2 = 0 AND list_contains({listed(v.BOARD_KINDS)}, kind)) AS enabled, CAST(fails AS INTEGER) AS failures,
         CASE k WHEN 0 THEN {AS_OF} + to_minutes(CAST(greatest({_FLOOR}, interval_minutes) AS INTEGER)) WHEN 1 THEN {AS_OF} + to_minutes({_DELAY}) ELSE last_run END AS next_run,
-        CASE WHEN k = 0 THEN CASE WHEN company_id % 2 > 0 THEN 'partial' ELSE 'ok' END END AS last_status, CASE WHEN k = 1 THEN 500 END AS error_length FROM u""",
+        CASE WHEN k = 0 THEN CASE WHEN company_id % 2 > 0 THEN 'partial' ELSE 'ok' END END AS last_status, CASE WHEN k = 1 THEN 500::DOUBLE END AS error_length FROM u""",
     "cursors": f"""WITH u AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 4 <> 0 THEN TIMESTAMP '2024-04-01' + to_hours(CAST(s_suppkey % 48 AS INTEGER)) END AS last FROM supplier),
       w AS (SELECT *, coalesce(last - INTERVAL 1 DAY, {AS_OF} - INTERVAL 14 DAY) AS since FROM u)
       SELECT 'ft:' || i AS source_id, since, CASE WHEN i % 3 <> 0 THEN {AS_OF} ELSE coalesce(last, since) END AS last_creation FROM w""",

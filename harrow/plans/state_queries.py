@@ -307,7 +307,7 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.succeeded(rows, good, as_of())
     bad = asked(rows.filter(i % 3 == 1), source_id=F.col("source_id"), status_code=F.when(i % 2 == 0, 404).otherwise(503), error=F.repeat(F.lit("x"), F.lit(600)), aborted=i % 9 == 1)
     rows = ingest.failed(rows, bad, as_of(), F.col("kind").isin(*registry.BOARDS))
-    return rows.select("source_id", "enabled", F.col("failures").cast("int").alias("failures"), F.col("next_run").cast("timestamp_ntz").alias("next_run"), "last_status", F.length("last_error").alias("error_length"))
+    return rows.select("source_id", "enabled", F.col("failures").cast("int").alias("failures"), F.col("next_run").cast("timestamp_ntz").alias("next_run"), "last_status", F.length("last_error").cast("double").alias("error_length"))
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
