@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, media, mixing, near_dedup, packing, quality, repeats, token_counts
+from . import exact_dedup, html_text, line_dedup, media, mixing, near_dedup, packing, piece_coding, quality, repeats, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.code_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_piece_coding": op12_piece_coding,
     "line_dedup_long": line_dedup_long,
 }
 
