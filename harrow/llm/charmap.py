@@ -93,7 +93,7 @@ class Normaliser:
             keep = ~(blank & np.append(True, blank[:-1]))
             found = "".join(np.array(list(found), object)[keep]) if keep.any() else ""
             places = places[np.append(keep, True)]
-            if not found:
+            if not found and front == sources[-1]:
                 return "", np.zeros(1, np.int64)
         if self._prefix:
             found, places = " " + found, np.append(front, places)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_names: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,8 +51,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:
+    """Like ``stored``, as a table with ``buckets`` by ``columns``: grouping by them needs no shuffle of what is read.
+
+    Rows should come with this partitioning, so that each task writes one bucket.
+    """
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_folder(spark)}/harrow/{spark.sparkContext.applicationId}/{own}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *columns).saveAsTable(own)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(own)
+    _paths[out], _names[out] = path, own
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` has written and that nothing reads any more."""
+    """Deletes tables that ``stored`` or ``stored_in_buckets`` has written and that nothing reads any more."""
     for table in tables:
         system, target = _file_system(table.sparkSession, _paths.pop(table))
+        if name := _names.pop(table, None):
+            table.sparkSession.sql(f"DROP TABLE {name}")
         system.delete(target, True)

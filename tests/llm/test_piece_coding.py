@@ -45,8 +45,7 @@ def test_any_ids_decode_as_in_the_library(library, own):
         assert own.decode(np.array(ids, int)) == library.decode(ids), ids
 
 
-@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
-def test_longest_prefix_normalisation_keeps_offsets(rule):
+def test_longest_prefix_normalisation_keeps_offsets(rule="nmt_nfkc"):
     """The compiled maps of the library itself, with its own offsets."""
     rng = random.Random(3)
     for prefix in (True, False):
@@ -57,7 +56,7 @@ def test_longest_prefix_normalisation_keeps_offsets(rule):
             keys = read_map(proto.normalizer_spec.precompiled_charsmap)
             ours = Normaliser(keys, prefix, squeeze)
             signs = [*"  \t　aÅｱﾞﷺﬁ①é́̈½漢▁¨\x01​한", *rng.sample(sorted(keys), 100)]
-            for _ in range(1500):
+            for _ in range(1000):
                 text = "".join(rng.choices(signs, k=rng.randrange(12)))
                 found, places = ours(text)
                 expected, offsets = theirs.normalize(text, with_offsets=True)
