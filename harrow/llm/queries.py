@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, media, mixing, near_dedup, packing, piece_coding, quality, repeats, token_counts
+from . import (
+    clustering,
+    exact_dedup,
+    html_text,
+    line_dedup,
+    media,
+    mixing,
+    near_dedup,
+    packing,
+    piece_coding,
+    quality,
+    repeats,
+    token_counts,
+    vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +71,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coding.code_digests(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +94,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_vector_codes": op11_vector_codes,
     "op12_piece_coding": op12_piece_coding,
+    "op13_clusters": op13_clusters,
     "line_dedup_long": line_dedup_long,
 }
 
