@@ -56,7 +56,8 @@ class PieceCoder:
         self.end_id = next(i for i, p in enumerate(model.pieces) if p.type == CONTROL and p.piece == training.eos_piece)
         self.normalise = Normaliser(read_map(rules.precompiled_charsmap), rules.add_dummy_prefix, rules.remove_extra_whitespaces)
         self._ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self._scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        order = {score: i for i, score in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
+        self._ranks = {p.piece: order[p.score] for p in model.pieces if p.type == NORMAL}
         self._bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         alone = "" if any("\n" in piece for piece in self._ids) else "\n"
         crossed = any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self._ids)
@@ -73,15 +74,31 @@ class PieceCoder:
         self._starts_word = np.array([p.type == NORMAL and p.piece.startswith(MARK) for p in model.pieces])
 
     def _joined(self, text: str) -> list[str]:
-        """The segments of a cut after all joins."""
+        """The segments of a cut after all joins: the best pair first, of equal ones the left one."""
+        if len(text) > CACHE_LENGTH:
+            return self._joined_long(text)
+        parts, rank, none = list(text), self._ranks.get, len(self._ranks)
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _joined_long(self, text: str) -> list[str]:
+        """The same with a heap and links, for cuts in which a search of all pairs for each join would take long."""
         parts: list[str] = list(text)
         before, after = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
-        scores, waiting = self._scores, []
+        ranks, waiting = self._ranks, []
 
         def offer(left: int, right: int) -> None:
             made = parts[left] + parts[right]
-            if (score := scores.get(made)) is not None:
-                heapq.heappush(waiting, (-score, left, right, len(made)))
+            if (rank := ranks.get(made)) is not None:
+                heapq.heappush(waiting, (rank, left, right, len(made)))
 
         for i in range(len(text) - 1):
             offer(i, i + 1)
@@ -101,16 +118,19 @@ class PieceCoder:
 
     def _cut_pieces(self, text: str) -> tuple[bytes, bytes]:
         """Ids and characters of the pieces of a cut, as 32-bit numbers; bytes of a character but the last have none."""
-        ids: list[int] = []
-        widths: list[int] = []
-        for part in self._joined(text):
-            if (known := self._ids.get(part)) is not None:
-                ids.append(known)
-                widths.append(len(part))
-            else:
-                raw = part.encode("utf-8")
-                ids += (self._bytes[b] for b in raw)
-                widths += [0] * (len(raw) - 1) + [len(part)]
+        parts = self._joined(text)
+        try:
+            ids, widths = list(map(self._ids.__getitem__, parts)), list(map(len, parts))
+        except KeyError:
+            ids, widths = [], []
+            for part in parts:
+                if (known := self._ids.get(part)) is not None:
+                    ids.append(known)
+                    widths.append(len(part))
+                else:
+                    raw = part.encode("utf-8")
+                    ids += (self._bytes[b] for b in raw)
+                    widths += [0] * (len(raw) - 1) + [len(part)]
         return array("i", ids).tobytes(), array("i", widths).tobytes()
 
     def _looked_up(self, text: str) -> tuple[bytes, bytes]:
