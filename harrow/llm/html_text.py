@@ -1,6 +1,7 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree. Menus, scripts, forms, hidden elements and the like leave it by their element names and roles.
+A page becomes a tree. Scripts, menus, hidden elements and the like leave it by their element names. Elements that forms,
+roles or class names set apart leave it after scoring, but one that holds nearly all of the page's prose stays.
 Each paragraph passes points for its length and commas to its ancestors, fewer the farther they are; an ancestor's
 points are discounted by the share of its text that is inside links. The best container leads to the article:
 
@@ -36,6 +37,7 @@ BLOCKS = _words(
 )
 PARAGRAPHS = _words("p pre td blockquote li dd figcaption")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
+LISTS = _words("dl ol ul")
 NEVER = _words(
     "aside audio button canvas datalist dialog embed footer head iframe input link map menu meta nav noembed noframes "
     "noscript object optgroup option script select style svg template textarea title video"
@@ -78,6 +80,8 @@ FILLERS = _words(
     "section site slot stories story strip tools top topbar unit wrap wrapper zone"
 )
 ARTICLE = _words("article body content entry main post story text")
+#: Words that name what readers have written, with whatever word in front.
+COMMENTS = _words("comments commentlist disqus")
 #: What words of UNSURE leave of an element's score, and the score from which it stays.
 LOWERED, ENOUGH = 0.3, 3.0
 #: An element with a larger share of its text inside links is not mostly text.
@@ -203,32 +207,61 @@ def _named(node: Node, names: frozenset[str]) -> bool:
     return False
 
 
-def _apart(node: Node, inside: bool) -> bool:
-    """Is it beside the article? ``inside``: it is in an article or main element."""
-    if node.name in NEVER or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
+def _gone(node: Node) -> bool:
+    """Is it no text of the page, or hidden?"""
+    if node.name in NEVER - {"header"} or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
         return True
+    return bool(re.search(r"display\s*:\s*none", node.attributes.get("style", "")))
+
+
+def _comments(node: Node) -> bool:
+    """Is it named after what readers have written: ``comments``, ``reader-comments``, ``comments-area``?"""
+    return any(1 < len(words) < 3 and words[-1] in COMMENTS for words in _names(node)) or _named(node, COMMENTS)
+
+
+def _apart(node: Node, inside: bool) -> bool:
+    """Do its name, role or class set it beside the article? ``inside``: it is in an article or main element."""
     if node.name == "form":  # some pages are one form
         return not node.holds
     if node.name == "header" and not inside:
         return not node.holds & {"article", "main"}
-    if re.search(r"display\s*:\s*none", node.attributes.get("style", "")):
-        return True
     if node.name in ("html", "body", "main", "article") or node.holds & {"main", "h1"}:
         return False
-    return node.attributes.get("role", "").lower() in ROLES or _named(node, APART)
+    return node.attributes.get("role", "").lower() in ROLES or _comments(node) or _named(node, APART)
+
+
+def _doubtful(node: Node, root: Node) -> bool:
+    """Is it set apart by a form, a role or a compound name only, on a page without articles, and holds most of the prose?"""
+    if node.worth < MOST * root.worth or not root.worth or root.holds & {"article", "main"} - node.holds or _comments(node):
+        return False
+    return not any(len(words) == 1 and words[0] in APART for words in _names(node))
 
 
 def _prune(root: Node) -> None:
+    """Drops what is gone, scores the rest, then drops what is apart; no page with prose is left without any."""
+    for node in reversed(_in_order(root)):
+        node.children = [c for c in node.children if isinstance(c, str) or not _gone(c)]
     for node in reversed(_in_order(root)):
         found = node.holds | ({node.name} & TITLED)
         if found and node.parent is not None:
             node.parent.holds |= found
-    stack = [(root, False)]
+    _score(root)
+    stack, apart = [(root, False)], []
     while stack:
         node, inside = stack.pop()
         inside = inside or node.name in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _apart(c, inside)]
-        stack.extend((c, inside) for c in node.inner())
+        for child in node.inner():
+            if _apart(child, inside):
+                apart.append((node, child))
+            if not apart or apart[-1][1] is not child or _doubtful(child, root):
+                stack.append((child, inside))
+    taken = [c for _, c in apart if not _doubtful(c, root)]
+    if root.worth - sum(c.worth for c in taken) <= 0 < root.worth and not root.holds & {"article", "main"}:
+        richest = max(taken, key=lambda c: c.worth)  # all prose is in elements set apart
+        taken = [c for c in taken if c is not richest]
+    gone = {id(c) for c in taken}
+    for node, _ in apart:
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -357,10 +390,15 @@ def _kept(best: Node, root: Node) -> list[Node]:
     fair = max(10.0, 0.2 * _rank(best))
     here = best
     while here.parent is not None and here.name != "body":
+        before = None
         for node in here.parent.inner():
             text = node.length and node.density() < LINKS
-            near = node.name in HEADINGS or text
-            if (near and here is best) or (text and "h1" in node.holds | {node.name}) or _rank(node) >= fair:
+            # references: a list under a heading, with text besides its links
+            listed = node.name in LISTS and before is not None and before.name in HEADINGS and node.density() < 0.9
+            near = node.name in HEADINGS or text or listed
+            before = node
+            prose = text and node.worth >= 1 and node.name in BLOCKS  # a paragraph at least, however far it stands
+            if (near and here is best) or (text and "h1" in node.holds | {node.name}) or prose or _rank(node) >= fair:
                 if node is not here:
                     kept.add(id(node))
         here = here.parent
