@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .vectors import quoted
 
 #: Deleted before comparing: space and the control characters tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -79,12 +80,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     It is the row that ``exact_duplicates`` keeps; of several rows with its id, length and normalised text, any one.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_marks(F.col(id_col), F.col(text_col))).select("*", *_digests())
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), *_marks(F.col(id_col), F.col(text_col))).select("*", *_digests())
     # a string of the rank, so that null ids are equal
     mark = lambda rank: F.concat_ws(":", f"{rank}.length", f"{rank}.none", F.coalesce(F.col(f"{rank}.id").cast("string"), F.lit("")))
     key = ["digest", "second", "mark"]
     best = _groups(rows.drop("row"), salts).withColumn("mark", mark("rank")).filter("group_size > 0").select(*key)
     # few rows have the mark of their group's best, so a hot group is spread by it
     found = rows.select("row", "digest", "second", mark("rank").alias("mark")).join(best, key)
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("mark"))
-    return found.select("row", first.alias("nth")).filter("nth = 1").select("row.*")
+    # merged in each task first, so rows that are equal in id and text do not meet in one task
+    return found.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")

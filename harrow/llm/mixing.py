@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import stored
+from .vectors import quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in their order, repeating.
@@ -109,7 +110,7 @@ def mixed_documents(
 
     Each row has its own verdict, whatever its id. A document without words is repeated in complete epochs only.
     """
-    drawn = _drawn(docs, F.struct(*docs.columns), id_col, text_col, source_col, seed, cycle, most, weight)
+    drawn = _drawn(docs, F.struct(*map(quoted, docs.columns)), id_col, text_col, source_col, seed, cycle, most, weight)
     times = (F.col("epochs") + F.col("sampled").cast("long")).cast("int")
     repeated = drawn.filter(times > 0).select("carried", F.explode(F.sequence(F.lit(1), times)))
     return repeated.select("carried.*")

@@ -133,5 +133,17 @@ def test_empty_and_awkward_tables(spark, tmp_path, rows):
     assert (corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).count() > 0) == bool(rows)
 
 
-def test_ten_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")) == list(range(1, 11))
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    extra = [c for c in ("a.b", "carried", "rank", "_id", "mark", "c`d", "target") if c not in COLUMNS]
+    rows = [(*r, *("x" * len(extra))) for r in fixture()[:12]]
+    spark.createDataFrame(rows, ", ".join([SCHEMA, *("`" + c.replace("`", "``") + "` string" for c in extra)])).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == [*COLUMNS, *extra], name
+    assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_all_queries():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")) == list(range(1, 14))
