@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harrow.functions import keys, numbers, times
-from harrow.operators import companies, state
+from harrow.operators import companies, similar, state
 from harrow.session import table
 
 from . import derive
@@ -22,52 +22,31 @@ def dedupe_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.postings(spark, sf_dir).select("external_id", "content_hash", keys.title_qualifiers(F.col("title_norm")).alias("qualifiers"))
+    return derive.jobs(spark, sf_dir).select("external_id", "content_hash", keys.title_qualifiers(F.col("title_norm")).alias("qualifiers"))
 
 
 def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.postings(spark, sf_dir).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("external_id").alias("first_id"))
+    rows = derive.jobs(spark, sf_dir).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("external_id").alias("first_id"))
     return rows.filter("n > 1")
 
 
 def exact_key_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each posting the newest open one of another source with its key, seen within the horizon."""
-    rows = derive.postings(spark, sf_dir).select("external_id", "source_id", "dedup_key", "last_seen", "closed_at")
-    other = rows.filter(F.col("closed_at").isNull() & (F.col("last_seen") > times.days_before(as_of(), keys.HORIZON_DAYS)))
-    other = other.select("dedup_key", F.col("source_id").alias("other_source"), F.struct("last_seen", "external_id").alias("seen"))
-    # one candidate per key and source is enough, so a hot key is joined with as many rows as it has sources
-    other = other.groupBy("dedup_key", "other_source").agg(F.max("seen").alias("seen"))
-    pairs = rows.join(other, "dedup_key").filter("source_id != other_source")
-    best = pairs.groupBy("external_id").agg(F.max("seen").alias("seen"))
-    return best.select("external_id", F.col("seen.external_id").alias("match_id"))
-
-
-def title_pairs(rows: DataFrame, block: str, text: str, least: float) -> DataFrame:
-    """Pairs (a < b) of distinct texts of one block with trigram similarity of ``least`` or more.
-
-    An inverted index over each text's rarest grams replaces the block's pairs: two sets this similar share one of
-    the first ``n - ceil(least * n) + 1`` grams in any fixed order, and the rarest come first.
-    """
-    texts = rows.select(block, text).distinct().withColumn("grams", keys.grams(F.col(text)))
-    texts = texts.filter(F.size("grams") > 0)
-    each = texts.select(block, text, F.explode("grams").alias("gram"))
-    common = each.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(common, [block, "gram"]).groupBy(block, text).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    kept = F.size("g") - F.ceil(F.lit(least) * F.size("g")).cast("int") + 1
-    index = ranked.select(block, text, F.size("g").alias("n"), F.transform("g", lambda x: x["gram"]).alias("grams"), F.explode(F.slice("g", 1, kept)).alias("x"))
-    index = index.select(block, text, "n", "grams", F.col("x.gram").alias("gram"))
-    a, b = (index.select(block, "gram", *[F.col(c).alias(f"{c}_{side}") for c in (text, "n", "grams")]) for side in "ab")
-    pairs = a.join(b, [block, "gram"]).filter(F.col(f"{text}_a") < F.col(f"{text}_b"))
-    pairs = pairs.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    pairs = pairs.dropDuplicates([block, f"{text}_a", f"{text}_b"])
-    pairs = pairs.withColumn("sim", keys.similarity_of_grams(F.col("grams_a"), F.col("grams_b"))).filter(F.col("sim") >= least)
-    return pairs.select(block, F.col(f"{text}_a").alias("a"), F.col(f"{text}_b").alias("b"), "sim")
+    """For each posting the newest other open one with its key, whatever its source, seen within the horizon."""
+    rows = derive.jobs(spark, sf_dir).select("external_id", "source_id", "dedup_key", "last_seen", "closed_at")
+    fresh = rows.filter(F.col("closed_at").isNull() & (F.col("last_seen") > times.days_before(as_of(), keys.HORIZON_DAYS)))
+    fresh = fresh.select("dedup_key", F.struct("last_seen", "external_id").alias("seen"))
+    # the newest two are enough, so a hot key is joined with one row
+    newest = fresh.groupBy("dedup_key").agg(F.max("seen").alias("one"))
+    second = fresh.join(newest, "dedup_key").filter("seen < one").groupBy("dedup_key").agg(F.max("seen").alias("two"))
+    found = rows.join(newest, "dedup_key").join(second, "dedup_key", "left")
+    best = F.when(F.col("one.external_id") != F.col("external_id"), F.col("one.external_id")).otherwise(F.col("two.external_id"))
+    return found.select("external_id", best.alias("match_id")).filter("match_id is not null")
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of one company that are similar and agree in their qualifiers."""
-    rows = derive.postings(spark, sf_dir).filter("company_norm is not null and company_norm != '' and closed_at is null")
-    pairs = title_pairs(rows, "company_norm", "title_norm", keys.GROUPING)
+    rows = derive.jobs(spark, sf_dir).filter("company_norm is not null and company_norm != '' and closed_at is null")
+    pairs = similar.similar_pairs(rows, None, "company_norm", "title_norm", keys.GROUPING)
     same = keys.title_qualifiers(F.col("a")) == keys.title_qualifiers(F.col("b"))
     return pairs.filter(same).select("company_norm", "a", "b", F.round("sim", 6).alias("sim"))
 
@@ -75,11 +54,8 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar five names for each part name, of those above the suggesting threshold."""
     names = table(spark, sf_dir, "part").select(F.lit("part").alias("block"), F.col("p_name").alias("name")).distinct()
-    pairs = title_pairs(names, "block", "name", keys.SUGGESTING)
-    both = pairs.unionByName(pairs.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    order = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    top = both.withColumn("n", F.row_number().over(order)).filter("n <= 5")
-    return top.select(F.col("a").alias("name"), F.col("b").alias("other"), F.round("sim", 6).alias("sim"), F.col("n").cast("long").alias("n"))
+    pairs = similar.similar_pairs(names, names, "block", "name", keys.SUGGESTING).filter("a <> b")
+    return similar.top(pairs, 5).select(F.col("a").alias("name"), F.col("b").alias("other"), F.round("sim", 6).alias("sim"), F.col("n").cast("long").alias("n"))
 
 
 def canonical_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +88,7 @@ def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def republished_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with the latest earlier one of their key, and whether they start a new, linked cluster after the horizon."""
     order = Window.partitionBy("dedup_key").orderBy("first_seen", "external_id")
-    rows = derive.postings(spark, sf_dir).select("external_id", "dedup_key", "first_seen", "last_seen")
+    rows = derive.jobs(spark, sf_dir).select("external_id", "dedup_key", "first_seen", "last_seen")
     rows = rows.withColumns({"previous_id": F.lag("external_id").over(order), "_seen": F.lag("last_seen").over(order)})
     gap = F.date_diff("first_seen", "_seen")
     return rows.filter("previous_id is not null").select("external_id", "previous_id", gap.alias("gap_days"), (gap > keys.HORIZON_DAYS).alias("new_cluster"))
@@ -133,7 +109,7 @@ def company_priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merging all clusters of a company keeps the furthest triage state and moves the members."""
-    rows = derive.clusters(derive.postings(spark, sf_dir)).filter("company_norm is not null and company_norm != ''")
+    rows = derive.clusters(derive.jobs(spark, sf_dir)).filter("company_norm is not null and company_norm != ''")
     per = rows.groupBy("company_norm").agg(
         F.min("cluster_id").alias("target"), F.count_distinct("cluster_id").alias("merged"), F.max(numbers.triage_rank(F.col("triage"))).alias("rank"), F.count(F.lit(1)).alias("postings")
     )
@@ -145,7 +121,7 @@ def triage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """What was stored (no ids of 5k + 4) and what is fetched now (no 7k; every 6k has changed)."""
-    rows = derive.postings(spark, sf_dir).select("source_id", "external_id", "content_hash", "last_seen", "closed_at")
+    rows = derive.jobs(spark, sf_dir).select("source_id", "external_id", "content_hash", "last_seen", "closed_at")
     old = rows.filter("external_id % 5 != 4")
     changed = F.when(F.col("external_id") % 6 == 0, F.sha2(F.concat("content_hash", F.lit("*")), 256)).otherwise(F.col("content_hash"))
     return old, rows.filter("external_id % 7 != 0").withColumn("content_hash", changed).select("source_id", "external_id", "content_hash")
@@ -226,7 +202,7 @@ def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("application has a cluster or a title", apps.filter("cluster_id is null and external_title is null")),
         ("application is known", apps.filter("status not in ('to_apply', 'applied', 'followed_up', 'interview', 'offer', 'withdrawn', 'ghosted')")),
         ("run id is unique", runs.groupBy("run_id").count().filter("count > 1")),
-        ("run has a source", runs.join(derive.postings(spark, sf_dir).select("source_id").distinct(), "source_id", "left_anti")),
+        ("run has a source", runs.join(derive.jobs(spark, sf_dir).select("source_id").distinct(), "source_id", "left_anti")),
     )
     out = None
     for rule, bad in tests:

@@ -381,7 +381,7 @@ SQL: dict[str, str] = {
     "dedupe_first_seen": "SELECT min(doc_id) AS doc_id, sha256(text) AS external_id FROM documents GROUP BY sha256(text)",
     "content_hash": f"WITH {POSTINGS} SELECT external_id, content_hash, {qualifiers('title_norm')} AS qualifiers FROM p",
     "hash_duplicates": f"WITH {POSTINGS} SELECT content_hash, count(*) AS n, min(external_id) AS first_id FROM p GROUP BY content_hash HAVING count(*) > 1",
-    "exact_key_latest": f"""WITH {POSTINGS} SELECT a.external_id, b.external_id AS match_id FROM p a JOIN p b ON a.dedup_key = b.dedup_key AND a.source_id <> b.source_id
+    "exact_key_latest": f"""WITH {POSTINGS} SELECT a.external_id, b.external_id AS match_id FROM p a JOIN p b ON a.dedup_key = b.dedup_key AND a.external_id <> b.external_id
       WHERE b.closed_at IS NULL AND b.last_seen > {AS_OF} - INTERVAL 45 DAY
       QUALIFY row_number() OVER (PARTITION BY a.external_id ORDER BY b.last_seen DESC, b.external_id DESC) = 1""",
     "fuzzy_pairs": f"""WITH {POSTINGS}, t AS (SELECT DISTINCT company_norm, title_norm, {GRAMS.format("title_norm")} AS g FROM p WHERE coalesce(company_norm, '') <> '' AND closed_at IS NULL),

@@ -70,6 +70,25 @@ _FLOOR = "CASE kind WHEN 'france_travail' THEN 120 WHEN 'jobicy' THEN 360 WHEN '
 _STACK = [r"\bpython\b", r"\bspark\b"]
 _TITLES = [r"\bphp\b", r"\bwordpress\b", r"\bsales\b"]
 
+#: Postings one after the other: each row of r is one, and sees the clusters of those before.
+ASSIGNED = f"""WITH RECURSIVE {PLACED}, c AS ({clustered("e")}), fr AS MATERIALIZED (SELECT * FROM c WHERE open AND last_seen > {AS_OF} - INTERVAL 45 DAY),
+      n AS MATERIALIZED (SELECT external_id, source_id, dedup_key, coalesce(company_norm, '') AS company_norm, title_norm, row_number() OVER (ORDER BY external_id, source_id) AS i FROM p WHERE external_id % 3 = 0),
+      t AS MATERIALIZED (SELECT *, {GRAMS.format("title_norm")} AS g, {qualifiers("title_norm")} AS q FROM (SELECT company_norm, title_norm FROM n UNION SELECT company_norm, title_norm FROM fr) WHERE company_norm <> ''),
+      sm AS MATERIALIZED (SELECT x.company_norm, x.title_norm AS a, y.title_norm AS b, {SIM.format("x.g", "y.g")} AS sim, x.q = y.q AS same FROM t x JOIN t y ON x.company_norm = y.company_norm WHERE {SIM.format("x.g", "y.g")} >= 0.75),
+      r(i, external_id, source_id, dedup_key, company_norm, title_norm, cluster_id, way) USING KEY (i) AS (
+        SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR
+        UNION (WITH cur AS (SELECT * FROM n WHERE i = (SELECT max(i) + 1 FROM recurring.r)),
+          al AS (SELECT cluster_id, dedup_key, company_norm, title_norm, sources FROM fr UNION ALL SELECT cluster_id, dedup_key, company_norm, title_norm, NULL FROM recurring.r WHERE way = 'new'),
+          ex AS (SELECT min(al.cluster_id) AS c FROM al JOIN cur ON al.dedup_key = cur.dedup_key),
+          nr AS (SELECT al.cluster_id, sm.same, row_number() OVER (ORDER BY sm.sim DESC, al.cluster_id) AS pos FROM cur JOIN sm ON sm.company_norm = cur.company_norm AND sm.a = cur.title_norm
+            JOIN al ON al.company_norm = cur.company_norm AND al.title_norm = sm.b WHERE NOT coalesce(list_contains(al.sources, cur.source_id), false)
+            AND NOT EXISTS (SELECT 1 FROM recurring.r z WHERE z.cluster_id = al.cluster_id AND z.source_id = cur.source_id)),
+          si AS (SELECT arg_min(cluster_id, pos) AS c FROM nr WHERE pos <= 5 AND same)
+          SELECT cur.i, cur.external_id, cur.source_id, cur.dedup_key, cur.company_norm, cur.title_norm, coalesce(ex.c, si.c, cur.external_id),
+            CASE WHEN ex.c IS NOT NULL THEN 'exact' WHEN si.c IS NOT NULL THEN 'similar' ELSE 'new' END FROM cur, ex, si)),
+      pv AS (SELECT dedup_key, cluster_id FROM c QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY last_seen DESC, cluster_id DESC) = 1)
+      SELECT r.external_id, r.cluster_id, r.way, CASE WHEN r.way = 'new' THEN CAST(pv.cluster_id AS DOUBLE) END AS previous_id FROM r LEFT JOIN pv USING (dedup_key) WHERE r.i > 0"""
+
 SQL: dict[str, str] = {
     "act_triage": f"""WITH {STATE}, rq AS (SELECT cluster_id, {pick(("applied", "dismissed", "interested"), "cluster_id // 5")} AS triage FROM cl WHERE cluster_id % 5 = 0),
       {opened("SELECT cluster_id, 'applied' AS status FROM rq WHERE triage = 'applied'")},
@@ -146,21 +165,7 @@ SQL: dict[str, str] = {
       c2 AS (SELECT cl.cluster_id, CASE WHEN nw.cluster_id IS NOT NULL THEN 'interested' ELSE cl.triage END AS triage FROM cl LEFT JOIN nw USING (cluster_id)),
       ev2 AS ({_OPEN_EVENTS} UNION ALL SELECT application_id, 'note', NULL, NULL, 'Lettre de motivation générée' FROM al WHERE cluster_id % 10 = 0)
       {facts(("cluster", "c2", "cluster_id", "triage"), ("letter", "le", "application_id", told("status", "subject", "body")), ("event", "ev2", "application_id", EVENT))}""",
-    "assigned": f"""WITH {PLACED}, c AS ({clustered("e")}), fr AS (SELECT *, {GRAMS.format("title_norm")} AS g FROM c WHERE open AND last_seen > {AS_OF} - INTERVAL 45 DAY),
-      n AS (SELECT *, {GRAMS.format("title_norm")} AS g FROM p WHERE external_id % 3 = 0),
-      x0 AS (SELECT n.external_id, n.source_id, fr.cluster_id FROM n JOIN fr USING (dedup_key) WHERE NOT list_contains(fr.sources, n.source_id)
-        QUALIFY row_number() OVER (PARTITION BY n.external_id ORDER BY fr.last_seen DESC, fr.cluster_id DESC) = 1),
-      x AS (SELECT * FROM x0 QUALIFY row_number() OVER (PARTITION BY cluster_id, source_id ORDER BY external_id) = 1),
-      l AS (SELECT * FROM n WHERE external_id NOT IN (SELECT external_id FROM x)),
-      s0 AS (SELECT l.external_id, l.source_id, fr.cluster_id, l.title_norm AS a, fr.title_norm AS b, {SIM.format("l.g", "fr.g")} AS sim FROM l JOIN fr ON l.company_norm = fr.company_norm AND l.company_norm <> ''
-        WHERE NOT list_contains(fr.sources, l.source_id) AND {SIM.format("l.g", "fr.g")} >= 0.75 AND NOT EXISTS (SELECT 1 FROM x WHERE x.cluster_id = fr.cluster_id AND x.source_id = l.source_id)
-        QUALIFY row_number() OVER (PARTITION BY l.external_id ORDER BY sim DESC, fr.cluster_id) <= 5),
-      s1 AS (SELECT * FROM s0 WHERE {qualifiers("a")} = {qualifiers("b")} QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY sim DESC, cluster_id) = 1),
-      s AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY cluster_id, source_id ORDER BY external_id) = 1),
-      r AS (SELECT *, row_number() OVER (PARTITION BY dedup_key, source_id ORDER BY external_id) AS slot FROM l WHERE external_id NOT IN (SELECT external_id FROM s)),
-      pv AS (SELECT dedup_key, cluster_id FROM c QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY last_seen DESC, cluster_id DESC) = 1)
-      SELECT external_id, cluster_id, 'exact' AS way, NULL::DOUBLE AS previous_id FROM x UNION ALL SELECT external_id, cluster_id, 'similar', NULL FROM s
-      UNION ALL SELECT r.external_id, min(r.external_id) OVER (PARTITION BY r.dedup_key, slot), 'new', CAST(pv.cluster_id AS DOUBLE) FROM r LEFT JOIN pv USING (dedup_key)""",
+    "assigned": ASSIGNED,
     "ingest_step": f"""WITH {FETCH}, z AS (SELECT *, change = 'missing' AND was_closed IS NULL AND last_seen < {AS_OF} - INTERVAL 30 DAY AS closing FROM st)
       SELECT source_id, change, closing, CASE WHEN here THEN true WHEN closing THEN false ELSE was_closed IS NULL END AS open, count(*) AS n FROM z GROUP BY ALL""",
     "refresh_set": f"WITH {FETCH} SELECT DISTINCT cluster_id FROM st WHERE cluster_id IS NOT NULL AND (change IN ('changed', 'reopened') OR (change = 'missing' AND was_closed IS NULL))",

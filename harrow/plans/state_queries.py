@@ -248,7 +248,7 @@ def act_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placed_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored postings (two of three) with clusters by key, and the others."""
     rows = derive.jobs(spark, sf_dir)
-    names = ["source_id", "external_id", "source_kind", "title_norm", "company_norm", "dedup_key", "content_hash", "status", "first_seen", "last_seen", "closed_at"]
+    names = ["source_id", "external_id", "source_kind", "title_norm", "company_name", "company_norm", "dedup_key", "content_hash", "status", "first_seen", "last_seen", "closed_at"]
     stored = rows.filter("external_id % 3 != 0").select(*names)
     ids = stored.groupBy("dedup_key").agg(F.min("external_id").alias("cluster_id"))
     return stored.join(ids, "dedup_key"), rows.filter("external_id % 3 = 0").select(*names)
@@ -266,7 +266,7 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derive.jobs(spark, sf_dir).filter(i % 7 != 0)
     title = F.when(i % 12 == 0, F.concat("title_norm", F.lit(" two"))).otherwise(F.col("title_norm"))
     rows = rows.select(
-        "source_id", "external_id", "source_kind", title.alias("title_norm"), "company_norm", "status",
+        "source_id", "external_id", "source_kind", title.alias("title_norm"), "company_name", "company_norm", "status",
         F.when(i % 12 == 0, F.coalesce(keys.dedup_key(F.col("company_norm"), title), F.col("dedup_key"))).otherwise(F.col("dedup_key")).alias("dedup_key"),
         F.when(i % 6 == 0, F.sha2(F.concat("content_hash", F.lit("*")), 256)).otherwise(F.col("content_hash")).alias("content_hash"),
         F.explode(F.when(i % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("at"),
@@ -283,11 +283,11 @@ def ingest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refresh_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters that a step leaves to be refreshed because a member of theirs changed, was closed or reopened."""
+    """All clusters that a step leaves to be refreshed, those that new postings join or start included, and their postings afterwards."""
     old, _ = placed_state(spark, sf_dir)
     done = ingest.step(old, fetched(spark, sf_dir), as_of(), complete=True)
-    own = done.changes.filter("closing or change in ('changed', 'reopened')").join(old.select("source_id", "external_id", "cluster_id"), ["source_id", "external_id"])
-    return done.refresh.join(own.select("cluster_id"), "cluster_id", "left_semi")
+    members = done.jobs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("closed_at").isNull()).alias("open"))
+    return done.refresh.join(members, "cluster_id", "left").select("cluster_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("members", "open")))
 
 
 def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:

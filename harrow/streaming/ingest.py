@@ -15,7 +15,7 @@ from harrow.sources.registry import clamped_interval
 
 KEY = ["source_id", "external_id"]
 #: Columns by which a posting is identified again: where they change, so may its cluster.
-IDENTITY = ("title_norm", "company_norm")
+IDENTITY = ("title_norm", "company_name")
 
 
 @dataclass(frozen=True)
