@@ -64,35 +64,6 @@ def set_triage(clusters: DataFrame, apps: DataFrame, requests: DataFrame, as_of:
     return open_applications(clusters, apps, wanted, as_of)
 
 
-def merge_clusters(jobs: DataFrame, clusters: DataFrame, apps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(jobs, clusters, applications, refused) after pairs (source, target).
-
-    Refused are pairs with themselves, with unknown clusters, and those where both have an application. A target keeps the
-    furthest state of triage; no target may be a source of another pair.
-    """
-    known = clusters.select("cluster_id", "triage")
-    has = apps.filter("cluster_id is not null").select("cluster_id").distinct()
-    side = lambda name: known.select(F.col("cluster_id").alias(name), F.col("triage").alias(f"{name}_triage")).join(
-        has.select(F.col("cluster_id").alias(name), F.lit(True).alias(f"{name}_has")), name, "left"
-    )
-    rows = pairs.join(side("source"), "source", "left").join(side("target"), "target", "left")
-    reason = (
-        F.when(F.col("source") == F.col("target"), "VALIDATION")
-        .when(F.col("source_triage").isNull() | F.col("target_triage").isNull(), "NOT_FOUND")
-        .when(F.col("source_has") & F.col("target_has"), "CONFLICT")
-    )
-    rows = rows.withColumn("reason", reason)
-    good = rows.filter("reason is null")
-    moves = good.select(F.col("source").alias("cluster_id"), F.col("target").alias("_to"))
-    moved = lambda table: table.join(moves, "cluster_id", "left").select(
-        *[F.coalesce("_to", "cluster_id").alias("cluster_id") if c == "cluster_id" else F.col(c) for c in table.columns]
-    )
-    rank = F.greatest(F.max(numbers.triage_rank(F.col("source_triage"))), F.max(numbers.triage_rank(F.col("target_triage"))))
-    triage = good.groupBy(F.col("target").alias("cluster_id")).agg(rank.alias("rank")).select("cluster_id", numbers.triage_of_rank(F.col("rank")).alias("triage"))
-    left = clusters.join(moves, "cluster_id", "left_anti")
-    return moved(jobs), patched(left, triage, "cluster_id"), moved(apps), rows.filter("reason is not null").select("source", "target", "reason")
-
-
 def rescue(jobs: DataFrame, clusters: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs, clusters): all postings of the clusters pass whatever the rules say, and the clusters are new again."""
     ids = wanted.select("cluster_id").distinct()

@@ -70,40 +70,62 @@ _FLOOR = "CASE kind WHEN 'france_travail' THEN 120 WHEN 'jobicy' THEN 360 WHEN '
 _STACK = [r"\bpython\b", r"\bspark\b"]
 _TITLES = [r"\bphp\b", r"\bwordpress\b", r"\bsales\b"]
 
-#: Postings one after the other: each row of r is one, and sees the clusters of those before.
-ASSIGNED = f"""WITH RECURSIVE {PLACED}, c AS ({clustered("e")}), fr AS MATERIALIZED (SELECT * FROM c WHERE open AND last_seen > {AS_OF} - INTERVAL 45 DAY),
-      n AS MATERIALIZED (SELECT external_id, source_id, dedup_key, coalesce(company_norm, '') AS company_norm, title_norm, row_number() OVER (ORDER BY external_id, source_id) AS i FROM p WHERE external_id % 3 = 0),
+def in_order(new: str) -> str:
+    """CTEs that place the rows of ``new`` in clusters c one after the other: each row of r is one, and sees the clusters of those before."""
+    return f"""fr AS MATERIALIZED (SELECT * FROM c WHERE open AND last_seen > {AS_OF} - INTERVAL 45 DAY),
+      n AS MATERIALIZED (SELECT external_id, source_id, dedup_key, coalesce(company_norm, '') AS company_norm, title_norm, row_number() OVER (ORDER BY external_id, source_id) AS i FROM ({new})),
       t AS MATERIALIZED (SELECT *, {GRAMS.format("title_norm")} AS g, {qualifiers("title_norm")} AS q FROM (SELECT company_norm, title_norm FROM n UNION SELECT company_norm, title_norm FROM fr) WHERE company_norm <> ''),
       sm AS MATERIALIZED (SELECT x.company_norm, x.title_norm AS a, y.title_norm AS b, {SIM.format("x.g", "y.g")} AS sim, x.q = y.q AS same FROM t x JOIN t y ON x.company_norm = y.company_norm WHERE {SIM.format("x.g", "y.g")} >= 0.75),
       r(i, external_id, source_id, dedup_key, company_norm, title_norm, cluster_id, way) USING KEY (i) AS (
         SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR
         UNION (WITH cur AS (SELECT * FROM n WHERE i = (SELECT max(i) + 1 FROM recurring.r)),
           al AS (SELECT cluster_id, dedup_key, company_norm, title_norm, sources FROM fr UNION ALL SELECT cluster_id, dedup_key, company_norm, title_norm, NULL FROM recurring.r WHERE way = 'new'),
-          ex AS (SELECT min(al.cluster_id) AS c FROM al JOIN cur ON al.dedup_key = cur.dedup_key),
+          ex AS (SELECT min(al.cluster_id) AS c FROM al JOIN cur ON al.dedup_key = cur.dedup_key AND cur.company_norm <> ''),
           nr AS (SELECT al.cluster_id, sm.same, row_number() OVER (ORDER BY sm.sim DESC, al.cluster_id) AS pos FROM cur JOIN sm ON sm.company_norm = cur.company_norm AND sm.a = cur.title_norm
             JOIN al ON al.company_norm = cur.company_norm AND al.title_norm = sm.b WHERE NOT coalesce(list_contains(al.sources, cur.source_id), false)
             AND NOT EXISTS (SELECT 1 FROM recurring.r z WHERE z.cluster_id = al.cluster_id AND z.source_id = cur.source_id)),
           si AS (SELECT arg_min(cluster_id, pos) AS c FROM nr WHERE pos <= 5 AND same)
           SELECT cur.i, cur.external_id, cur.source_id, cur.dedup_key, cur.company_norm, cur.title_norm, coalesce(ex.c, si.c, cur.external_id),
-            CASE WHEN ex.c IS NOT NULL THEN 'exact' WHEN si.c IS NOT NULL THEN 'similar' ELSE 'new' END FROM cur, ex, si)),
-      pv AS (SELECT dedup_key, cluster_id FROM c QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY last_seen DESC, cluster_id DESC) = 1)
+            CASE WHEN ex.c IS NOT NULL THEN 'exact' WHEN si.c IS NOT NULL THEN 'similar' ELSE 'new' END FROM cur, ex, si))"""
+
+
+ASSIGNED = f"""WITH RECURSIVE {PLACED}, c AS ({clustered("e")}), {in_order("SELECT * FROM p WHERE external_id % 3 = 0")},
+      pv AS (SELECT dedup_key, cluster_id FROM c WHERE company_norm <> '' QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY last_seen DESC, cluster_id DESC) = 1)
       SELECT r.external_id, r.cluster_id, r.way, CASE WHEN r.way = 'new' THEN CAST(pv.cluster_id AS DOUBLE) END AS previous_id FROM r LEFT JOIN pv USING (dedup_key) WHERE r.i > 0"""
+REFRESHED = f"""WITH RECURSIVE {FETCH}, c AS ({clustered("e")}),
+      g AS (SELECT st.*, f.title_norm, f.company_norm, CASE WHEN coalesce(f.company_norm, '') <> '' THEN f.company_norm || '|' || f.title_norm END AS dedup_key,
+        change = 'new' OR change IN ('changed', 'reopened') AND f.title_norm <> e.title_norm AS moved, change = 'missing' AND was_closed IS NULL AS closing
+        FROM st LEFT JOIN f USING (external_id, source_id) LEFT JOIN e USING (external_id, source_id)),
+      {in_order("SELECT * FROM g WHERE moved")},
+      z AS (SELECT g.cluster_id AS before, CASE WHEN g.moved THEN r.cluster_id ELSE g.cluster_id END AS now_in, moved OR closing OR change IN ('changed', 'reopened') AS touched, here OR NOT closing AND was_closed IS NULL AS open
+        FROM g LEFT JOIN r USING (external_id, source_id)),
+      rf AS (SELECT now_in AS cluster_id FROM z WHERE touched AND now_in IS NOT NULL UNION SELECT before FROM z WHERE touched AND before IS NOT NULL)
+      SELECT rf.cluster_id, count(z.now_in) AS members, count(z.now_in) FILTER (z.open) AS open FROM rf LEFT JOIN z ON z.now_in = rf.cluster_id GROUP BY rf.cluster_id"""
+
 
 SQL: dict[str, str] = {
     "act_triage": f"""WITH {STATE}, rq AS (SELECT cluster_id, {pick(("applied", "dismissed", "interested"), "cluster_id // 5")} AS triage FROM cl WHERE cluster_id % 5 = 0),
       {opened("SELECT cluster_id, 'applied' AS status FROM rq WHERE triage = 'applied'")},
       c2 AS (SELECT cl.cluster_id, coalesce(rq.triage, cl.triage) AS triage FROM cl LEFT JOIN rq USING (cluster_id)), al AS (SELECT * FROM ap UNION ALL BY NAME SELECT * FROM nw), ev2 AS ({_OPEN_EVENTS})
       {facts(("cluster", "c2", "cluster_id", "triage"), ("application", "al", "application_id", APP), ("event", "ev2", "application_id", EVENT))}""",
-    "act_merge": f"""WITH {STATE}, pr AS (SELECT cluster_id AS source, CASE WHEN cluster_id % 21 = 0 THEN cluster_id ELSE cluster_id + 1 END AS target FROM cl WHERE cluster_id % 7 = 0),
-      jd AS (SELECT pr.*, s.triage AS st, t.triage AS tt, CASE WHEN source = target THEN 'VALIDATION' WHEN t.cluster_id IS NULL THEN 'NOT_FOUND'
-          WHEN source IN (SELECT cluster_id FROM ap WHERE cluster_id IS NOT NULL) AND target IN (SELECT cluster_id FROM ap WHERE cluster_id IS NOT NULL) THEN 'CONFLICT' END AS reason
-        FROM pr JOIN cl s ON s.cluster_id = source LEFT JOIN cl t ON t.cluster_id = target),
-      mv AS (SELECT * FROM jd WHERE reason IS NULL),
-      c2 AS (SELECT cl.cluster_id, coalesce({_TRIAGED}[greatest(list_position({_TRIAGED}, mv.st), list_position({_TRIAGED}, mv.tt))], cl.triage) AS triage FROM cl LEFT JOIN mv ON mv.target = cl.cluster_id
-        WHERE cl.cluster_id NOT IN (SELECT source FROM mv)),
-      jx AS (SELECT external_id, coalesce(mv.target, m.cluster_id) AS cluster_id FROM m LEFT JOIN mv ON mv.source = m.cluster_id),
-      al AS (SELECT application_id, coalesce(mv.target, ap.cluster_id) AS cluster_id FROM ap LEFT JOIN mv ON mv.source = ap.cluster_id), rf AS (SELECT * FROM jd WHERE reason IS NOT NULL)
-      {facts(("cluster", "c2", "cluster_id", "triage"), ("posting", "jx", "external_id", "cluster_id"), ("application", "al", "application_id", "cluster_id"), ("refused", "rf", "source", "reason"))}""",
+    "act_merge": f"""WITH RECURSIVE {STATE},
+      pr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq, source, target) AS i FROM (
+        SELECT cluster_id * 37 % 1009 AS seq, cluster_id AS source, CASE WHEN cluster_id % 21 = 0 THEN cluster_id ELSE cluster_id + 1 END AS target FROM cl WHERE cluster_id % 7 < 2
+        UNION ALL SELECT 1009 + cluster_id * 41 % 997, cluster_id, cluster_id - cluster_id % 60 + 1 FROM cl WHERE cluster_id % 5 = 0)),
+      -- a row per cluster (k >= 0), one for each refused request (k < -1), and the number of requests seen (k = -1)
+      w(k, i, apps, rank, dest, source, target, reason) USING KEY (k) AS (
+        SELECT CAST(cl.cluster_id AS BIGINT), 0::BIGINT, (SELECT count(*) FROM ap WHERE ap.cluster_id = cl.cluster_id), CAST(list_position({_TRIAGED}, cl.triage) AS BIGINT), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM cl
+        UNION ALL SELECT -1, 0, 0, 0, NULL, NULL, NULL, NULL
+        UNION (WITH cur AS (SELECT pr.* FROM pr JOIN recurring.w z ON z.k = -1 AND pr.i = z.i + 1),
+          jd AS (SELECT cur.*, s.apps AS sa, t.apps AS ta, s.rank AS sr, t.rank AS tr, CASE WHEN cur.source = cur.target THEN 'VALIDATION' WHEN s.k IS NULL OR t.k IS NULL THEN 'NOT_FOUND' WHEN s.apps + t.apps > 1 THEN 'CONFLICT' END AS reason
+            FROM cur LEFT JOIN recurring.w s ON s.k = cur.source AND s.dest IS NULL LEFT JOIN recurring.w t ON t.k = cur.target AND t.dest IS NULL)
+          SELECT -1, i, 0, 0, NULL, NULL, NULL, NULL FROM jd UNION ALL SELECT -1 - i, 0, 0, 0, NULL, source, target, reason FROM jd WHERE reason IS NOT NULL
+          UNION ALL SELECT source, 0, 0, sr, target, NULL, NULL, NULL FROM jd WHERE reason IS NULL UNION ALL SELECT target, 0, sa + ta, greatest(sr, tr), NULL, NULL, NULL, NULL FROM jd WHERE reason IS NULL)),
+      tr(cluster_id, root) AS (SELECT k, k FROM w WHERE k >= 0 AND dest IS NULL UNION ALL SELECT w.k, tr.root FROM tr JOIN w ON w.dest = tr.cluster_id AND w.k >= 0),
+      c2 AS (SELECT k AS cluster_id, {_TRIAGED}[rank] AS triage FROM w WHERE k >= 0 AND dest IS NULL),
+      jx AS (SELECT external_id, tr.root AS cluster_id FROM m LEFT JOIN tr USING (cluster_id)),
+      al AS (SELECT application_id, tr.root AS cluster_id FROM ap LEFT JOIN tr USING (cluster_id)), rf AS (SELECT * FROM w WHERE k < -1)
+      {facts(("cluster", "c2", "cluster_id", "triage"), ("posting", "jx", "external_id", "cluster_id"), ("application", "al", "application_id", "cluster_id"), ("refused", "rf", "source", told("target", "reason")))}""",
     "act_rescue": f"""WITH {CLUSTERS}, c2 AS (SELECT cluster_id, CASE WHEN cluster_id % 6 = 0 THEN 'new' ELSE triage END AS triage FROM cl),
       jx AS (SELECT external_id, CASE WHEN cluster_id % 6 = 0 THEN 'passed' ELSE status END AS status, cluster_id % 6 = 0 AS forced FROM m)
       {facts(("cluster", "c2", "cluster_id", "triage"), ("posting", "jx", "external_id", told("status", "forced")))}""",
@@ -168,7 +190,7 @@ SQL: dict[str, str] = {
     "assigned": ASSIGNED,
     "ingest_step": f"""WITH {FETCH}, z AS (SELECT *, change = 'missing' AND was_closed IS NULL AND last_seen < {AS_OF} - INTERVAL 30 DAY AS closing FROM st)
       SELECT source_id, change, closing, CASE WHEN here THEN true WHEN closing THEN false ELSE was_closed IS NULL END AS open, count(*) AS n FROM z GROUP BY ALL""",
-    "refresh_set": f"WITH {FETCH} SELECT DISTINCT cluster_id FROM st WHERE cluster_id IS NOT NULL AND (change IN ('changed', 'reopened') OR (change = 'missing' AND was_closed IS NULL))",
+    "refresh_set": REFRESHED,
     "ingest_twice": "SELECT 0::BIGINT AS differing",
     "run_outcomes": f"""WITH {SOURCES}, u AS (SELECT *, company_id % 3 AS k, CASE WHEN company_id % 3 = 0 THEN 0 ELSE failures END + CASE WHEN company_id % 3 = 1 AND company_id % 9 <> 1 THEN 1 ELSE 0 END AS fails FROM so)
       SELECT source_id, enabled AND NOT (k = 1 AND company_id % 2 = 0 AND list_contains({listed(v.BOARD_KINDS)}, kind)) AS enabled, CAST(fails AS INTEGER) AS failures,

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from harrow.functions import keys
 from harrow.functions.text import normalize_company
-from harrow.operators import actions, assign, companies, state
+from harrow.operators import actions, assign, companies, merges, state
 from harrow.operators.rules import Criteria
 from harrow.session import table
 from harrow.sources import registry
@@ -116,10 +116,13 @@ def act_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def act_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clusters(spark, sf_dir)
     c = F.col("cluster_id")
-    pairs = asked(rows.filter(c % 7 == 0), source=c, target=F.when(c % 21 == 0, c).otherwise(c + 1))
+    # chains of neighbours, rounds and repeats among them, and many clusters into one
+    chained = asked(rows.filter(c % 7 < 2), at=c * 37 % 1009, source=c, target=F.when(c % 21 == 0, c).otherwise(c + 1))
+    starred = asked(rows.filter(c % 5 == 0), at=1009 + c * 41 % 997, source=c, target=c - c % 60 + 1)
+    pairs = chained.unionByName(starred)
     placed = members(spark, sf_dir).select("cluster_id", "source_id", "external_id")
-    jobs, left, apps, refused = actions.merge_clusters(placed, rows, applications(spark, sf_dir), pairs)
-    return facts(cluster=_triage(left), posting=(jobs, F.col("external_id"), F.col("cluster_id")), application=(apps, F.col("application_id"), F.col("cluster_id")), refused=(refused, F.col("source"), F.col("reason")))
+    jobs, left, apps, refused = merges.merge_clusters(placed, rows, applications(spark, sf_dir), pairs, ("at", "source", "target"))
+    return facts(cluster=_triage(left), posting=(jobs, F.col("external_id"), F.col("cluster_id")), application=(apps, F.col("application_id"), F.col("cluster_id")), refused=(refused, F.col("source"), told(F.col("target"), F.col("reason"))))
 
 
 def act_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
