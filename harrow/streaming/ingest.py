@@ -13,6 +13,8 @@ from harrow.operators import assign, rules
 from harrow.operators.snapshot import cut
 from harrow.sources.registry import clamped_interval
 
+from .table import BucketTable
+
 KEY = ["source_id", "external_id"]
 #: Columns by which a posting is identified again: where they change, so may its cluster.
 IDENTITY = ("title_norm", "company_name")
@@ -33,14 +35,15 @@ def first_of_each(items: DataFrame, order: str) -> DataFrame:
     return items.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("v")).select(*KEY, "v.*")
 
 
-def step(old: DataFrame, fetched: DataFrame, as_of: Column, complete: bool, days: int = 30) -> Step:
-    """The snapshot after a fetch.
+def step(old: DataFrame, fetched: DataFrame, as_of: Column, complete: bool, days: int = 30, clusters: DataFrame | None = None) -> Step:
+    """The snapshot after a fetch of all sources of ``old``.
 
     ``fetched`` has one row per posting, judged, with the columns of ``old`` but ``cluster_id``, ``first_seen``,
     ``last_seen`` and ``closed_at``. New, changed and reopened postings are written over; unchanged ones are only seen
     again, so a change outside the content hash does not reach them. Postings that a complete listing lacks are closed,
     or that no listing had for ``days`` days. A posting keeps its cluster unless it is new or its title or company changed.
-    The same fetch again changes nothing but ``last_seen``.
+    The same fetch again changes nothing but ``last_seen``. ``clusters`` are those that new postings may join, if there
+    are others than those of ``old``.
     """
     names = [c for c in old.columns if c not in (*KEY, "cluster_id", "first_seen", "last_seen", "closed_at")]
     was = old.select(*KEY, F.struct(*[c for c in old.columns if c not in KEY]).alias("was"))
@@ -76,7 +79,7 @@ def step(old: DataFrame, fetched: DataFrame, as_of: Column, complete: bool, days
     )
     rows = cut(merged, "merged")
     # a posting that is identified again still stands in its old cluster, which so has its source already
-    places = assign.assign(rows.filter("moved"), assign.cluster_table(old), as_of)
+    places = assign.assign(rows.filter("moved"), assign.cluster_table(old) if clusters is None else clusters, as_of)
     placed = rows.join(places.select(*KEY, F.col("cluster_id").alias("_place")), KEY, "left").withColumn("cluster_id", F.coalesce("cluster_id", "_place"))
     placed = cut(placed, "placed")
     touched = placed.filter("moved or closing or change in ('changed', 'reopened')")
@@ -138,62 +141,32 @@ def refilter(jobs: DataFrame, criteria: rules.Criteria) -> tuple[DataFrame, Data
 
 
 def run_stream(
-    spark: SparkSession, folder: str, schema: str, checkpoint: str, read: Callable[[DataFrame], DataFrame], snapshot: Snapshot, as_of: Callable[[], Column], complete: bool
+    spark: SparkSession, folder: str, schema: str, checkpoint: str, read: Callable[[DataFrame], DataFrame], jobs: BucketTable, as_of: Callable[[], Column], complete: bool
 ) -> None:
     """Runs ``step`` for every batch of payload files that are new in ``folder``, then stops.
 
-    A batch that is replayed after a failure finds its version written and leaves it.
+    ``jobs`` is in buckets by source. A batch reads and writes the buckets of its sources; of the others it reads what
+    clusters need. Only postings of its sources can be closed. A batch that is replayed after a failure finds its version
+    published and leaves it.
     """
 
     def batch(payloads: DataFrame, number: int) -> None:
-        if not snapshot.has(number):
-            # the position of an item in its fetch decides between repeats
-            fetched = first_of_each(read(payloads), "at")
-            snapshot.write(step(snapshot.read(number - 1), fetched, as_of(), complete).jobs, number)
+        if jobs.has(number):
+            return
+        # the position of an item in its fetch decides between repeats
+        fetched = cut(first_of_each(read(payloads), "at"), "fetched")
+        listed = payloads.select("source_id").filter("source_id is not null").distinct()
+        touched = jobs.touched(listed)
+        old = jobs.read(only=touched)
+        own, rest = (old.join(listed, "source_id", how).select(*old.columns) for how in ("left_semi", "left_anti"))
+        done = step(own, fetched, as_of(), complete, clusters=assign.cluster_table(jobs.read()))
+        jobs.commit(number, done.jobs.unionByName(rest), touched)
+        jobs.vacuum()
 
     stream = spark.readStream.schema(schema).json(folder)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-@dataclass(frozen=True)
-class Snapshot:
-    """Versions of a table as folders; Parquet has no row updates, so a step writes the next version whole.
-
-    A version counts once Spark has committed all its files (``_SUCCESS``), so a reader never sees half of one. Versions
-    before the last ``keep`` are removed.
-    """
-
-    spark: SparkSession
-    path: str
-    empty: DataFrame
-    keep: int = 8
-
-    def _fs(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def _version(self, number: int) -> str:
-        return f"{self.path}/v{number:010d}"
-
-    def has(self, number: int) -> bool:
-        fs, target = self._fs(f"{self._version(number)}/_SUCCESS")
-        return fs.exists(target)
-
-    def read(self, number: int) -> DataFrame:
-        return self.spark.read.schema(self.empty.schema).parquet(self._version(number)) if number >= 0 and self.has(number) else self.empty
-
-    def write(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(self._version(number))
-        fs, target = self._fs(self._version(number - self.keep))
-        if number >= self.keep and fs.exists(target):
-            fs.delete(target, True)
-
-    def size(self) -> int:
-        """Bytes of all versions."""
-        fs, target = self._fs(self.path)
-        return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
-
-
 def refreshed(jobs: DataFrame, refresh: DataFrame, rank: Column) -> DataFrame:
     """Canonical posting, dates and states of the clusters to be refreshed, from all their members. Clusters without members are gone."""
     rows = jobs.join(refresh, "cluster_id", "left_semi").withColumn("rank", rank)

@@ -11,6 +11,7 @@ from harrow.operators.rules import CriteriaFile
 from harrow.sources import feeds, registry
 from harrow.sources.build import build
 from harrow.streaming import ingest
+from harrow.streaming.table import BucketTable
 
 
 
@@ -39,24 +40,59 @@ def payload(folder, name, source, *jobs):
     (folder / name).write_text(json.dumps({"source_id": source, "company": "Acme", "slug": "acme", "body": body}))
 
 
+SCHEMA = "source_id string, company string, slug string, body string"
+
+
+def bucket_table(spark, path, **options):
+    schema = spark.createDataFrame([], JOBS).schema
+    return BucketTable(spark, f"{path}/jobs", schema, ("source_id",), ("external_id",), buckets=16, **options)
+
+
 def test_stream(spark, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()
-    snapshot = ingest.Snapshot(spark, f"{tmp_path}/jobs", spark.createDataFrame([], JOBS))
-    run = lambda: ingest.run_stream(
-        spark, str(feed), "source_id string, company string, slug string, body string", f"{tmp_path}/check", read, snapshot, now, complete=True
-    )
+    jobs = bucket_table(spark, tmp_path)
+    run = lambda: ingest.run_stream(spark, str(feed), SCHEMA, f"{tmp_path}/check", read, jobs, now, complete=True)
     payload(feed, "a.json", "a", (1, "Data engineer", "one"), (2, "Python developer", "two"), (None, "No id", "three"))
+    payload(feed, "z.json", "z", *((i, f"Sales manager {i}", "text") for i in range(200)))
     run()
-    first = {r["external_id"]: r for r in snapshot.read(0).collect()}
+    first = {r["external_id"]: r for r in jobs.read(0).filter("source_id = 'a'").collect()}
     assert set(first) == {"1", "2"} and all(r["closed_at"] is None for r in first.values())
     payload(feed, "b.json", "a", (2, "Python developer", "changed"), (3, "Data engineer", "other"))
     run()
-    second = {r["external_id"]: r for r in snapshot.read(1).collect()}
+    second = {r["external_id"]: r for r in jobs.read(1).filter("source_id = 'a'").collect()}
     assert second["1"]["closed_at"] is not None and second["2"]["cluster_id"] == first["2"]["cluster_id"]
     assert second["3"]["cluster_id"] == first["1"]["cluster_id"]  # the exact key has no test of sources
+    others = jobs.read(1).filter("source_id = 'z'")
+    assert others.count() == 200 and others.filter("closed_at is not null").isEmpty()  # no source of the second batch
+    # the second version shares the buckets of z with the first, and has written a's alone
+    before, after = jobs.manifest(0), jobs.manifest(1)
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert jobs.size(next(f for b, f in after.items() if before[b] != f)) < jobs.size(next(iter(before.values()))) / 2
     run()  # nothing new: no further version
-    assert not snapshot.has(2) and snapshot.size() > 0
+    assert not jobs.has(2) and jobs.size() > 0
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    jobs = bucket_table(spark, tmp_path, keep=2)
+    rows = lambda source, *ids: spark.createDataFrame([(source, str(i), *[None] * 10) for i in ids], JOBS)
+    read = lambda *v: sorted((r["source_id"], r["external_id"]) for r in jobs.read(*v).collect())
+    assert read() == [] and jobs.versions() == []
+    jobs.commit(0, rows("a", 1, 2).unionByName(rows("b", 3)), jobs.touched(rows("a", 1).unionByName(rows("b", 1))))
+    only = jobs.touched(rows("a", 1))
+    with pytest.raises(ValueError, match="does not replace"):  # files are written, but nothing is published
+        jobs.commit(1, rows("b", 9), only)
+    assert read() == [("a", "1"), ("a", "2"), ("b", "3")] and jobs.versions() == [0]
+    jobs.commit(1, rows("a", 2), only)
+    assert read() == [("a", "2"), ("b", "3")] and read(0) == [("a", "1"), ("a", "2"), ("b", "3")]
+    with pytest.raises(RuntimeError, match="there already"):
+        jobs.commit(1, rows("a", 5), only)
+    jobs.commit(2, rows("a"), only)  # an empty bucket
+    assert read() == [("b", "3")]
+    jobs.vacuum()
+    assert jobs.versions() == [1, 2] and read(1) == [("a", "2"), ("b", "3")]
+    used = {f for v in (1, 2) for f in jobs.manifest(v).values()}
+    assert {f"data/{n}" for n in jobs._names("data")} == used  # what died or is too old is gone
 
 
 def test_step_keeps_what_the_hash_leaves_out(spark):
