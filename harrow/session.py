@@ -18,11 +18,13 @@ def get_session(master: str = "local[8]", app: str = "harrow", **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
-    } | conf
+    }
+    if master.startswith("local"):  # a cluster keeps its own number, which grows with its data
+        settings["spark.sql.shuffle.partitions"] = "8"
+    settings |= conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
