@@ -188,6 +188,9 @@ SQL: dict[str, str] = {
       ev2 AS ({_OPEN_EVENTS} UNION ALL SELECT application_id, 'note', NULL, NULL, 'Lettre de motivation générée' FROM al WHERE cluster_id % 10 = 0)
       {facts(("cluster", "c2", "cluster_id", "triage"), ("letter", "le", "application_id", told("status", "subject", "body")), ("event", "ev2", "application_id", EVENT))}""",
     "assigned": ASSIGNED,
+    "merge_candidates": f"""WITH {PLACED}, c AS ({clustered("e")}), g AS MATERIALIZED (SELECT cluster_id, coalesce(company_norm, '') AS company, {GRAMS.format("coalesce(title_norm, '')")} AS g, open FROM c),
+      s AS (SELECT x.cluster_id, y.cluster_id AS other_id, x.company, coalesce({SIM.format("x.g", "y.g")}, 0) AS sim FROM g x JOIN g y ON x.cluster_id <> y.cluster_id AND y.open AND (x.company = '' OR x.company = y.company))
+      SELECT cluster_id, other_id, round(CASE WHEN isnan(sim) THEN 0 ELSE sim END, 6) AS sim, row_number() OVER (PARTITION BY cluster_id ORDER BY sim DESC, other_id) AS n FROM s WHERE company <> '' OR sim > 0.4 QUALIFY n <= 20""",
     "ingest_step": f"""WITH {FETCH}, z AS (SELECT *, change = 'missing' AND was_closed IS NULL AND last_seen < {AS_OF} - INTERVAL 30 DAY AS closing FROM st)
       SELECT source_id, change, closing, CASE WHEN here THEN true WHEN closing THEN false ELSE was_closed IS NULL END AS open, count(*) AS n FROM z GROUP BY ALL""",
     "refresh_set": REFRESHED,

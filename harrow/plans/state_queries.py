@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from harrow.functions import keys
 from harrow.functions.text import normalize_company
-from harrow.operators import actions, assign, companies, merges, state
+from harrow.operators import actions, assign, candidates, companies, merges, state
 from harrow.operators.rules import Criteria
 from harrow.session import table
 from harrow.sources import registry
@@ -263,6 +263,12 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("external_id", "cluster_id", "way", F.col("previous_id").cast("double").alias("previous_id"))
 
 
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters that each cluster of stored postings may be merged with."""
+    old, _ = placed_state(spark, sf_dir)
+    return candidates.merge_candidates(assign.cluster_table(old)).withColumn("sim", F.round("sim", 6))
+
+
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a fetch brings: no ids of 7k, changed contents for 6k, changed titles for 12k, some items twice."""
     i = F.col("external_id")
@@ -481,7 +487,7 @@ def rejected_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "act_triage act_merge act_rescue act_apply act_status act_notes act_find_or_create act_companies act_contacts act_sources act_drafts act_letters "
-    "assigned ingest_step refresh_set ingest_twice run_outcomes cursors refiltered scores_accumulated contacts_added touched sources_deleted contacts_erased "
+    "assigned merge_candidates ingest_step refresh_set ingest_twice run_outcomes cursors refiltered scores_accumulated contacts_added touched sources_deleted contacts_erased "
     "heartbeat backups_kept write_batches companies_filled orphans_attached company_search company_detail cluster_detail application_log pending_drafts "
     "pending_scores score_outcomes usage_recent rejected_page"
 )
