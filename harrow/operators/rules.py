@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,12 @@ class Criteria:
                 re.compile(pattern)
 
 
+    @property
+    def stamp(self) -> str:
+        """A digest of all lists: verdicts with another stamp are not these criteria's."""
+        return hashlib.sha256(repr(astuple(self)).encode()).hexdigest()[:16]
+
+
 # The names of the lists in a criteria file and here.
 NAMES = {
     "roleTitlePatterns": "role_title", "requiredStack": "required_stack", "preferredStack": "preferred_stack", "titleExclusions": "title_exclusions",

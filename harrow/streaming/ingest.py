@@ -131,23 +131,35 @@ def advance(cursors: DataFrame, windows: DataFrame, as_of: Column, overlap_days:
     return rows.select("source_id", since.alias("since"), F.when(F.col("complete"), as_of).otherwise(F.coalesce("last_creation", since)).alias("last_creation"))
 
 
-def refilter(jobs: DataFrame, criteria: rules.Criteria) -> tuple[DataFrame, DataFrame]:
-    """(jobs, clusters to refresh): the rules again over open postings with a description; all their clusters are refreshed."""
+def stale(jobs: DataFrame, criteria: rules.Criteria) -> Column:
+    """Is a posting to be judged again? Open, with a description and, where verdicts are stamped, with another stamp."""
     again = F.col("closed_at").isNull() & (F.coalesce("description", F.lit("")) != "")
+    return again & ~F.col("criteria_stamp").eqNullSafe(F.lit(criteria.stamp)) if "criteria_stamp" in jobs.columns else again
+
+
+def refilter(jobs: DataFrame, criteria: rules.Criteria) -> tuple[DataFrame, DataFrame]:
+    """(jobs, clusters to refresh): the rules again over postings that are ``stale``; all their clusters are refreshed.
+
+    With a column ``criteria_stamp`` a posting is judged once by each version of the criteria.
+    """
+    again = stale(jobs, criteria)
     base = jobs.drop("reasons", "flags", "rule_score", "matched", "status")
     new = rules.evaluate(base.filter(again), criteria, advisory=(F.col("source_kind") == "capture") | F.col("forced_pass"))
-    rest = jobs.filter(~again)
-    return new.select(*jobs.columns).unionByName(rest), jobs.filter(again).select("cluster_id").distinct()
+    if "criteria_stamp" in jobs.columns:
+        new = new.withColumn("criteria_stamp", F.lit(criteria.stamp))
+    return new.select(*jobs.columns).unionByName(jobs.filter(~again)), jobs.filter(again).select("cluster_id").distinct()
 
 
 def run_stream(
-    spark: SparkSession, folder: str, schema: str, checkpoint: str, read: Callable[[DataFrame], DataFrame], jobs: BucketTable, as_of: Callable[[], Column], complete: bool
-) -> None:
+    spark: SparkSession, folder: str, schema: str, checkpoint: str, read: Callable[[DataFrame], DataFrame], jobs: BucketTable, as_of: Callable[[], Column], complete: bool,
+    criteria: Callable[[], rules.Criteria] | None = None,
+) -> None:
     """Runs ``step`` for every batch of payload files that are new in ``folder``, then stops.
 
     ``jobs`` is in buckets by source. A batch reads and writes the buckets of its sources; of the others it reads what
     clusters need. Only postings of its sources can be closed. A batch that is replayed after a failure finds its version
-    published and leaves it.
+    published and leaves it. With ``criteria``, asked for at each batch, stored postings with another stamp are judged
+    again in the same version; buckets without such ones are left.
     """
 
     def batch(payloads: DataFrame, number: int) -> None:
@@ -156,11 +168,15 @@ def run_stream(
         # the position of an item in its fetch decides between repeats
         fetched = cut(first_of_each(read(payloads), "at"), "fetched")
         listed = payloads.select("source_id").filter("source_id is not null").distinct()
-        touched = jobs.touched(listed)
-        old = jobs.read(only=touched)
+        wanted = criteria() if criteria else None
+        touched = set(jobs.touched(listed))
+        if wanted:
+            touched |= set(jobs.touched(jobs.read().filter(stale(jobs.read(), wanted))))
+        old = jobs.read(only=sorted(touched))
         own, rest = (old.join(listed, "source_id", how).select(*old.columns) for how in ("left_semi", "left_anti"))
         done = step(own, fetched, as_of(), complete, clusters=assign.cluster_table(jobs.read()))
-        jobs.commit(number, done.jobs.unionByName(rest), touched)
+        rows = done.jobs.unionByName(rest)
+        jobs.commit(number, refilter(rows, wanted)[0] if wanted else rows, touched)
         jobs.vacuum()
 
     stream = spark.readStream.schema(schema).json(folder)

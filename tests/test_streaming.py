@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from harrow.functions import keys
 from harrow.functions.text import normalize_company, normalize_title
-from harrow.operators.rules import CriteriaFile
+from harrow.operators.rules import Criteria, CriteriaFile
+from harrow.operators.snapshot import cut
+from harrow.plans import derive
 from harrow.sources import feeds, registry
 from harrow.sources.build import build
 from harrow.streaming import ingest
@@ -114,6 +116,23 @@ def test_registry(spark):
     assert len(known) == 8 and known["jobicy"]["least_minutes"] == 360 and not known["france_travail"]["complete"]
 
 
+def test_nothing_is_judged_twice_by_one_version_of_the_criteria(spark):
+    one, two = Criteria(), Criteria(title_exclusions=("engineer",))
+    assert one.stamp == Criteria().stamp != two.stamp
+    jobs = derive.jobs(spark, "/root/testdata/sf0.001").withColumns({"forced_pass": F.lit(False), "cluster_id": F.col("external_id"), "criteria_stamp": F.lit(None).cast("string")})
+    judged = lambda rows, criteria: rows.filter(ingest.stale(rows, criteria)).count()
+    able = jobs.filter("closed_at is null and description <> ''").count()
+    assert able == judged(jobs, one) > 0
+    first, refresh = ingest.refilter(jobs, one)
+    first = cut(first, "first")
+    assert judged(first, one) == 0 and judged(first, two) == able and refresh.count() > 0
+    again, refresh = ingest.refilter(first, one)
+    assert refresh.count() == 0 and again.exceptAll(first).count() == 0
+    changed = cut(ingest.refilter(first, two)[0], "changed")
+    fresh = ingest.refilter(jobs.drop("criteria_stamp"), two)[0]
+    assert changed.drop("criteria_stamp").exceptAll(fresh).count() == 0 and changed.count() == jobs.count()
+
+
 def test_criteria_file(tmp_path):
     path = tmp_path / "criteria.json"
     path.write_text(json.dumps({"$comment": "x", "roleTitlePatterns": ["dev"], "requiredStack": ["spark"], "rejectRemoteScopes": ["other"]}))
