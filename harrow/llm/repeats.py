@@ -1,10 +1,9 @@
-"""Repeated byte strings by a distributed difference-cover algorithm.
+"""Repeated byte strings by content-defined sampling and grouping of hashes, in place of a difference-cover sort.
 
 Wanted is every start i whose ``length`` bytes also start anywhere else: in a suffix array, those whose ``length``-byte
 prefix equals that of a neighbour. A suffix array over all positions needs a record of 16 bytes or more for every
-byte of the corpus and sorts them several times. Like the difference-cover algorithm, this one groups only sampled
-positions, names them, recurses on what the names leave open, and merges the positions between the samples; positions
-whose name is unique are discarded at once, since no repeat can cover them.
+byte of the corpus and sorts them several times. This algorithm groups only sampled positions by their hashes; positions
+whose hash is unique are discarded at once, since no repeat can cover them. There are no triples, ranks or merges.
 
 *Sampling.* A cover of fixed residues (modulo 3) meets two equal strings at common offsets because it is dense. This
 cover is content-defined: start i is represented by its anchor, the position of the smallest hash among the first
