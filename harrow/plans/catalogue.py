@@ -22,7 +22,7 @@ _NAMED = {
         "canonical_urls page_keys document_emails generic_contacts board_sources text_helpers time_helpers contact_pages mail_links"
     ),
     state_queries: state_queries.NAMES,
-    feed_queries: "board_configs page_boards seed_sources captured window_halves",
+    feed_queries: "board_configs page_boards seed_sources captured window_halves quarantined",
 }
 
 QUERIES = {name: getattr(module, name) for module, names in _NAMED.items() for name in names.split()} | {

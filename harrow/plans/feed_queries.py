@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import keys, web
 from harrow.session import table
-from harrow.sources import boards, capture, feeds, registry
+from harrow.sources import boards, capture, feeds, quarantine, registry
 from harrow.sources.build import build
 
 from . import derive
@@ -238,3 +238,11 @@ def window_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = log.count()
     rows = registry.half_windows(log, "at", F.lit("2024-01-01"), F.lit("2024-01-31"), max(total // 6, 1))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each source's items: every thirteenth has no title, and some pages arrive cut off."""
+    item = F.struct("id", F.when(F.col("id") % 13 != 0, F.col("name")).alias("title"), F.col("url").alias("absolute_url"), F.col("t").alias("content"))
+    pages = bodies(base(spark, sf_dir), item, "jobs")
+    broken = F.when(F.col("page") % 7 == 3, F.left("body", F.length("body") - 3)).otherwise(F.col("body"))
+    return quarantine.counts(quarantine.listing(pages.withColumn("body", broken), "greenhouse"))

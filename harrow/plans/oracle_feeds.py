@@ -141,4 +141,7 @@ SQL: dict[str, str] = {
           SELECT CASE side WHEN 0 THEN a ELSE a + to_microseconds((epoch_us(z) - epoch_us(a)) // 2) END AS a, CASE side WHEN 0 THEN a + to_microseconds((epoch_us(z) - epoch_us(a)) // 2) ELSE z END AS z, depth + 1 AS depth
           FROM w, (VALUES (0), (1)) AS s(side) WHERE n > greatest((SELECT count(*) FROM events) // 6, 1) AND depth < 4) h)
       SELECT a AS start, z AS "end", n FROM w WHERE n <= greatest((SELECT count(*) FROM events) // 6, 1) OR depth = 4""",
+    "quarantined": f"""WITH {BASE}, p AS (SELECT source_id, id, (id // 50) % 7 = 3 AS broken, id // 50 AS page FROM b)
+      SELECT source_id, count(*) FILTER (NOT broken) AS fetched, count(*) FILTER (NOT broken AND id % 13 <> 0) AS written, count(*) FILTER (NOT broken AND id % 13 = 0) AS rejected,
+        count(DISTINCT page) FILTER (broken) AS unreadable FROM p GROUP BY source_id""",
 }
