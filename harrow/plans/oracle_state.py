@@ -149,11 +149,19 @@ SQL: dict[str, str] = {
       c2 AS (SELECT cluster_id, CASE WHEN cluster_id % 18 = 0 THEN 'interested' ELSE triage END AS triage FROM cl),
       ev2 AS (SELECT application_id, 'note' AS type, NULL AS from_status, NULL AS to_status, 'called' AS note FROM ap WHERE cluster_id % 9 = 0)
       {facts(("cluster", "c2", "cluster_id", "triage"), ("application", "al", "application_id", APP), ("event", "ev2", "application_id", EVENT))}""",
-    "act_find_or_create": f"""WITH {COMPANIES}, pr AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'c' || s_suppkey * 17 || '.example.com' END AS domain, 'customer#' || lpad(CAST(s_suppkey * 3 % 1997 AS VARCHAR), 9, '0') AS name_norm FROM supplier),
-      kn AS (SELECT company_id, name_norm, CASE WHEN company_id % 3 = 0 THEN domain END AS domain FROM co), nm AS (SELECT name_norm, arg_min(company_id, company_id) AS company_id, arg_min(coalesce(domain, ''), company_id) AS domain FROM kn GROUP BY name_norm)
-      SELECT s_suppkey, CASE WHEN d.company_id IS NOT NULL THEN 'domain' WHEN nm.company_id IS NOT NULL THEN 'name' ELSE 'new' END AS way, CAST(coalesce(d.company_id, nm.company_id) AS DOUBLE) AS company_id,
-        coalesce(CASE WHEN d.company_id IS NOT NULL THEN d.domain ELSE nullif(nm.domain, '') END, CASE WHEN coalesce(d.company_id, nm.company_id) IS NOT NULL THEN pr.domain END) AS domain
-      FROM pr LEFT JOIN kn d ON d.domain = pr.domain LEFT JOIN nm ON nm.name_norm = pr.name_norm""",
+    "act_find_or_create": f"""WITH RECURSIVE {COMPANIES},
+      pr AS MATERIALIZED (SELECT CAST(s_suppkey AS BIGINT) AS request, CASE WHEN s_suppkey % 2 = 0 THEN 'c' || s_suppkey % 90 * 17 || '.example.com' END AS domain,
+        'customer#' || lpad(CAST(s_suppkey % 70 * 30 % 1997 AS VARCHAR), 9, '0') AS name_norm, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier),
+      -- a row per company (k >= 0), one for each answer (k < -1), and the number of requests seen (k = -1)
+      w(k, i, name_norm, domain, request, way, company_id) USING KEY (k) AS (
+        SELECT CAST(company_id AS BIGINT), 0::BIGINT, name_norm, CASE WHEN company_id % 3 = 0 THEN domain END, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM co UNION ALL SELECT -1, 0, NULL, NULL, NULL, NULL, NULL
+        UNION (WITH cur AS (SELECT pr.* FROM pr JOIN recurring.w z ON z.k = -1 AND pr.i = z.i + 1),
+          fd AS (SELECT cur.*, (SELECT min(k) FROM recurring.w z, cur c WHERE z.k >= 0 AND z.domain = c.domain) AS by_domain, (SELECT min(k) FROM recurring.w z, cur c WHERE z.k >= 0 AND z.name_norm = c.name_norm) AS by_name FROM cur),
+          an AS (SELECT fd.*, coalesce(by_domain, by_name, (SELECT max(company_id) + 1 FROM co) + request) AS cid, CASE WHEN by_domain IS NOT NULL THEN 'domain' WHEN by_name IS NOT NULL THEN 'name' ELSE 'new' END AS way FROM fd),
+          fi AS (SELECT an.*, coalesce(z.domain, an.domain) AS dom, coalesce(z.name_norm, an.name_norm) AS nam FROM an LEFT JOIN recurring.w z ON z.k = an.cid)
+          SELECT -1, i, NULL, NULL, NULL, NULL, NULL FROM fi UNION ALL SELECT -1 - i, 0, NULL, dom, request, way, cid FROM fi UNION ALL SELECT cid, 0, nam, dom, NULL, NULL, NULL FROM fi)),
+      an2 AS (SELECT * FROM w WHERE k < -1), fr2 AS (SELECT * FROM w WHERE k >= 0)
+      {facts(("answer", "an2", "request", told("way", "company_id", "domain")), ("company", "fr2", "k", told("name_norm", "domain")))}""",
     "act_companies": f"""WITH {CLUSTERS}, {COMPANIES}, rq AS (SELECT company_id, CASE WHEN company_id % 16 = 0 THEN 'New SARL ' || name ELSE name END AS name, company_id % 24 = 0 AS cleared, company_id % 24 <> 0 AND company_id % 3 = 1 AS moved,
           CASE WHEN company_id % 32 = 0 THEN 'closed' ELSE outreach END AS outreach FROM co WHERE company_id % 8 = 0),
       u AS (SELECT co.company_id, coalesce(rq.name, co.name) AS name, CASE WHEN cleared THEN NULL WHEN moved THEN 'new.example' ELSE co.domain END AS domain, coalesce(rq.outreach, co.outreach) AS outreach FROM co LEFT JOIN rq USING (company_id))

@@ -168,16 +168,15 @@ def act_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as companies: those found are filled in, the others are new."""
+    """Suppliers as companies, one after the other: those found are filled in, the others are created and found by later ones."""
     s = F.col("s_suppkey")
     probe = table(spark, sf_dir, "supplier").select(
-        s, F.lit(None).cast("string").alias("siren"), F.when(s % 2 == 0, F.concat(F.lit("c"), (s * 17).cast("string"), F.lit(".example.com"))).alias("domain"),
-        F.concat(F.lit("customer#"), F.lpad((s * 3 % 1997).cast("string"), 9, "0")).alias("name_norm"),
+        s.alias("request"), F.lit(None).cast("string").alias("siren"), F.when(s % 2 == 0, F.concat(F.lit("c"), (s % 90 * 17).cast("string"), F.lit(".example.com"))).alias("domain"),
+        F.concat(F.lit("customer#"), F.lpad((s % 70 * 30 % 1997).cast("string"), 9, "0")).alias("name_norm"),
     )
     known = derive.companies(spark, sf_dir).select("company_id", "name", "name_norm", F.when(F.col("company_id") % 3 == 0, F.col("domain")).alias("domain"), F.lit(None).cast("string").alias("siren"))
-    found = companies.find(probe, known)
-    filled = F.coalesce("found.domain", F.when(F.col("found").isNotNull(), F.col("domain")))
-    return found.select("s_suppkey", "way", F.col("found.company_id").cast("double").alias("company_id"), filled.alias("domain"))
+    answers, firms = companies.find_or_create(probe, known)
+    return facts(answer=(answers, F.col("request"), told(F.col("way"), F.col("company_id"), F.col("domain"))), company=(firms, F.col("company_id"), told(F.col("name_norm"), F.col("domain"))))
 
 
 def act_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
