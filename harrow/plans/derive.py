@@ -106,14 +106,6 @@ def ingested(rows: DataFrame) -> DataFrame:
     return rows.drop("id", "failed")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir)
-
-
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir)
-
-
 def scores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """The score cache by (content_hash, prompt_version, model); of equal keys the one of the largest id."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "external_id")

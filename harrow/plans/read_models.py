@@ -125,7 +125,7 @@ def score_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected postings first seen in the last sixty days."""
     recent = F.col("first_seen") > times.days_before(as_of(), 60)
-    return derive.judged(spark, sf_dir).filter((F.col("status") == "rejected") & recent)
+    return derive.jobs(spark, sf_dir).filter((F.col("status") == "rejected") & recent)
 
 
 def rejected_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.judged(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     return rows.select("external_id", "status", "rule_score", text(F.col("reasons")).alias("reasons"), text(F.col("flags")).alias("flags"), F.size("matched").alias("matched"))
 
 
@@ -169,7 +169,7 @@ def score_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: fetched and passed postings and the titles of the best three."""
-    rows = derive.judged(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     totals = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("status") == "passed").alias("passed"))
     best = Window.partitionBy("source_id").orderBy(F.col("rule_score").desc(), "external_id")
     top = rows.filter("status = 'passed'").withColumn("n", F.row_number().over(best)).filter("n <= 3")
@@ -200,7 +200,7 @@ def companies_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passed = derive.judged(spark, sf_dir).filter("status = 'passed' and closed_at is null").groupBy("source_kind").agg(F.count(F.lit(1)).alias("passed"))
+    passed = derive.jobs(spark, sf_dir).filter("status = 'passed' and closed_at is null").groupBy("source_kind").agg(F.count(F.lit(1)).alias("passed"))
     rows = derive.sources(spark, sf_dir).join(derive.companies(spark, sf_dir).select("company_id", "name"), "company_id", "left")
     rows = rows.join(passed, F.col("kind") == F.col("source_kind"), "left")
     order = [(F.col("kind") == "capture").desc(), F.col("failures").desc(), F.col("label")]

@@ -15,7 +15,7 @@ from . import derive
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["contract_type", "seniority", "remote_policy", "remote_scope", "country_code"]
-    return derive.postings(spark, sf_dir).select("external_id", *names)
+    return derive.jobs(spark, sf_dir).select("external_id", *names)
 
 
 def contract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def contract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("salary")
-    rows = derive.postings(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     return rows.select("external_id", s["min"].cast("double").alias("low"), s["max"].cast("double").alias("high"), numbers.format_salary(s["min"], s["max"]).alias("shown"))
 
 
@@ -37,7 +37,7 @@ def folded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.postings(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     return rows.select("external_id", F.col("title_norm"), normalize_title(F.concat("title", F.lit(" - CDI"))).alias("with_noise"))
 
 
@@ -80,7 +80,7 @@ def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generic_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.postings(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     found = web.generic_emails(F.lit(""), F.col("description"), F.lit("example.com"))
     return rows.select("external_id", F.array_join(found, "|").alias("emails")).filter("emails != ''")
 
@@ -95,7 +95,7 @@ def board_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimming, cutting, slicing, titles of pages, templates and joins, on postings."""
-    rows = derive.postings(spark, sf_dir)
+    rows = derive.jobs(spark, sf_dir)
     i = F.col("external_id").cast("string")
     marked = F.concat(F.lit("menu <<"), "title", F.lit(" a>> b>> end"))
     page = F.concat("title", derive.pick((" | Site", " – Site", " - Site", "-Site", ""), F.col("external_id")))
