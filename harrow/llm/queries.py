@@ -18,6 +18,7 @@ from . import (
     repeats,
     token_counts,
     vector_codes,
+    vector_sql,
 )
 
 
@@ -226,4 +227,11 @@ SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines,
 FROM docs d LEFT JOIN drops x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
 """
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "line_dedup_long": LINES_LONG_SQL}
+ORACLE_SQL = {
+    "op2_mixing": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op10_exact_dedup": OP10_SQL,
+    "op11_vector_codes": vector_sql.codes(),
+    "op13_clusters": vector_sql.clusters(),
+    "line_dedup_long": LINES_LONG_SQL,
+}

@@ -5,10 +5,12 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from harrow.llm import queries
 from harrow.llm.clustering import VantageTree, cluster
 from harrow.llm.storage import discard
 from harrow.llm.vector_codes import OWNER, entry_sums, migrated, nearest, owners, vector_codes
@@ -121,3 +123,14 @@ def test_tree_search_equals_a_full_search():
         assert (label == far.argmin(1)).all() and (best == far.min(1)).all()
         assert taken <= 2000 * k
     assert taken < 2000 * k / 4  # most of a large tree is not looked at
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_clusters"])
+def test_against_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    got = queries.QUERIES[name](spark, folder).select(*names).collect()
+    assert Counter(tuple(r) for r in got) == Counter(found.fetchall())
