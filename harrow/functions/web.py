@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 # Query parameters that say where a visitor came from, by prefix; local parts of addresses that belong to a
 # function and not to a person; those that suit an application best, in order; what a contact page's address or label says.
@@ -142,29 +140,36 @@ def mailto(to: Column, subject: Column, body: Column, most: int = 1800) -> Colum
     return F.when(F.length(link) <= most, link)
 
 
-def robots_allows(rules: str, path: str, agent: str = "*") -> bool:
-    """Groups by agent, a named group before ``*``; the longest prefix decides and allow wins ties."""
-    groups: dict[str, list[tuple[str, bool]]] = {}
-    current: list[str] = []
-    open_group = False
-    for line in rules.splitlines():
-        name, _, value = line.split("#", 1)[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if name == "user-agent":
-            current = [*current, value.lower()] if open_group else [value.lower()]
-            open_group = True
-            for one in current:
-                groups.setdefault(one, [])
-        elif name in ("allow", "disallow"):
-            open_group = False
-            if value:
-                for one in current:
-                    groups[one].append((value.split("*", 1)[0], name == "allow"))
-    mine = next((g for g in groups if g != "*" and g in agent.lower()), "*")
-    hits = [(len(prefix), allow) for prefix, allow in groups.get(mine, []) if path.startswith(prefix)]
-    return max(hits)[1] if hits else True
-
-
-@F.pandas_udf(BooleanType())
-def robots_allowed(rules: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([robots_allows(r or "", p or "/") for r, p in zip(rules, path, strict=True)])
+_RULE = "struct<agent:string,prefix:string,allow:boolean>"
+
+
+def robots_allowed(rules: Column, path: Column, agent: str = "*") -> Column:
+    """May ``agent`` read ``path``? A group that names it goes before ``*``; the longest prefix decides and allow wins ties.
+
+    The lines are folded into (agent, prefix, allow) of each group. Null rules allow all, and a null path is the root.
+    """
+    lines = F.filter(
+        F.transform(
+            F.split(F.coalesce(rules, F.lit("")), r"\r\n|\n|\r"),
+            lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:#]*):", 1))).alias("name"), F.trim(F.regexp_extract(x, "^[^:#]*:([^#]*)", 1)).alias("value")),
+        ),
+        lambda x: x["name"].isin("user-agent", "allow", "disallow"),
+    )
+    nothing = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("naming"), F.array().cast(f"array<{_RULE}>").alias("rules"))
+
+    def step(at: Column, x: Column) -> Column:
+        names = x["name"] == "user-agent"
+        value = F.lower(x["value"])
+        agents = F.when(names & at["naming"], F.concat(at["agents"], F.array(value))).when(names, F.array(value)).otherwise(at["agents"])
+        # a group without rules is a group, too: its prefix is null
+        rule = lambda a, prefix: F.struct(a.alias("agent"), prefix.alias("prefix"), (x["name"] == "allow").alias("allow"))
+        prefix = F.when(~names, F.split_part(x["value"], F.lit("*"), F.lit(1)))
+        added = F.when(names, F.array(rule(value, prefix))).when(x["value"] != "", F.transform(at["agents"], lambda a: rule(a, prefix))).otherwise(F.array().cast(f"array<{_RULE}>"))
+        return F.struct(agents.alias("agents"), names.alias("naming"), F.concat(at["rules"], added).alias("rules"))
+
+    found = F.aggregate(lines, nothing, step)["rules"]
+    named = F.filter(found, lambda r: (r["agent"] != "*") & F.contains(F.lit(agent.lower()), r["agent"]))
+    mine = F.coalesce(F.try_element_at(named, F.lit(1))["agent"], F.lit("*"))
+    hits = F.filter(found, lambda r: (r["agent"] == mine) & r["prefix"].isNotNull() & F.startswith(F.coalesce(path, F.lit("/")), r["prefix"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
+    return F.coalesce(best["allow"], F.lit(True))

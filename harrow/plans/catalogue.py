@@ -19,7 +19,7 @@ _NAMED = {
     ),
     scalars: (
         "classified contract_labels salaries folded_documents normalized_titles normalized_companies html_texts page_links page_domains "
-        "canonical_urls page_keys document_emails generic_contacts board_sources text_helpers time_helpers contact_pages mail_links"
+        "canonical_urls page_keys document_emails generic_contacts board_sources text_helpers time_helpers contact_pages mail_links robots"
     ),
     state_queries: state_queries.NAMES,
     feed_queries: "board_configs page_boards seed_sources captured window_halves quarantined",

@@ -41,6 +41,11 @@ REMOTES = (
 SALARIES = ("45k - 55k EUR", "", "45 000 - 60 000 EUR", "60k", "3000 par mois", "52.000 to 58.000", "400 daily", "competitive", "48,5k gross", "38000")
 EXTRAS = ("Docker and Kafka", "5 years of experience", "2 ans minimum d experience, Postgres", "1 year experience", "", "Python, Spark", "astreinte", "Write to jobs [at] alpha.example.com")
 
+#: Robots files that sites may have.
+ROBOTS = (
+    "User-agent: *\nDisallow: /a\nAllow: /a/b", "User-agent: JobBot\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow:", "# none", "User-agent: *\nDisallow: /\nAllow: /p # some\nSitemap: x",
+    "User-agent: jobbot\nAllow: /\nUser-agent: *\nDisallow: /",
+)
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)

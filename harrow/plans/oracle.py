@@ -448,6 +448,15 @@ SQL: dict[str, str] = {
     "page_links": """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#]+)', 1)) AS href FROM pages)
       SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href
         ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/' || href END AS link FROM l""",
+    "robots": f"""WITH p AS (SELECT page_id, '/' || {pick(("", "a", "a/b/", "p"), "page_id")} || regexp_extract(url, '([^/]*)$', 1) AS path, {pick(derive.ROBOTS, "page_id // 4")} AS rules FROM pages),
+      l AS (SELECT rules, unnest(string_split(rules, chr(10))) AS line, generate_subscripts(string_split(rules, chr(10)), 1) AS n FROM (SELECT DISTINCT rules FROM p)),
+      x AS (SELECT rules, n, lower(trim(regexp_extract(line, '^([^:#]*):', 1))) AS name, trim(regexp_extract(line, '^[^:#]*:([^#]*)', 1)) AS value FROM l),
+      y AS (SELECT *, CASE WHEN name = 'user-agent' AND lag(name) OVER (PARTITION BY rules ORDER BY n) IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END AS opens FROM x WHERE name IN ('user-agent', 'allow', 'disallow')),
+      g AS (SELECT *, sum(opens) OVER (PARTITION BY rules ORDER BY n) AS grp FROM y),
+      a AS (SELECT rules, grp, n, lower(value) AS agent FROM g WHERE name = 'user-agent'),
+      m AS (SELECT rules, coalesce(arg_min(agent, n) FILTER (agent <> '*' AND contains('jobbot/1.0', agent)), '*') AS mine FROM a GROUP BY rules),
+      h AS (SELECT a.rules, string_split(g.value, '*')[1] AS prefix, g.name = 'allow' AS allow FROM m JOIN a ON a.rules = m.rules AND a.agent = m.mine JOIN g ON g.rules = a.rules AND g.grp = a.grp AND g.name <> 'user-agent' AND g.value <> '')
+      SELECT page_id, path, coalesce((SELECT arg_max(allow, [length(prefix), CAST(allow AS INTEGER)]) FROM h WHERE h.rules = p.rules AND starts_with(p.path, h.prefix)), true) AS allowed FROM p""",
     "page_domains": f"SELECT {domain('url')} AS domain, count(*) AS n FROM pages GROUP BY 1",
     "canonical_urls": f"SELECT page_id, CASE WHEN len({_PARAMS}) > 0 THEN {_BASE} || '?' || array_to_string({_PARAMS}, '&') ELSE {_BASE} END AS url FROM pages",
     "page_keys": f"""WITH k AS (SELECT {_PAGE_KEY} AS key, {domain("url")} AS host, min(page_id) AS page_id FROM pages GROUP BY 1, 2)

@@ -148,3 +148,10 @@ def mail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.repeat(F.lit("a b"), (F.col("c_custkey") % 500).cast("int"))
     notice = web.privacy_notice("From: {{source}}.", F.concat(derive.pick(("manual:", "https://"), F.col("c_custkey")), F.lit("page")))
     return rows.select("c_custkey", web.mailto(F.col("to"), F.lit("Hello there & more"), body).alias("link"), notice.alias("notice"))
+
+
+def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages may be read, by the robots file of their site."""
+    k = F.col("page_id")
+    path = F.concat(F.lit("/"), derive.pick(("", "a", "a/b/", "p"), k), F.regexp_extract("url", "([^/]*)$", 1))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), web.robots_allowed(derive.pick(derive.ROBOTS, F.floor(k / 4)), path, "jobbot/1.0").alias("allowed"))

@@ -1,5 +1,7 @@
 """Scalar functions and state steps on small cases of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def test_numbers_and_times(one):
 
 def test_urls():
     rules = "User-agent: *\nDisallow: /private\nAllow: /private/open\n"
-    assert web.robots_allows(rules, "/private/open/x") and not web.robots_allows(rules, "/private/x")
+    assert robots_allows(rules, "/private/open/x") and not robots_allows(rules, "/private/x")
 
 
 def test_criteria_need_patterns():
@@ -69,3 +71,36 @@ def test_state_steps(spark):
     assert found == {1: "unchanged", 2: "changed", 3: "reopened", 4: "new"}
     kept = state.insert_missing(new.limit(0), new, ["id"])
     assert kept.count() == 4
+
+
+def robots_allows(rules: str, path: str, agent: str = "*") -> bool:
+    """Groups by agent, a named group before ``*``; the longest prefix decides and allow wins ties."""
+    groups: dict[str, list[tuple[str, bool]]] = {}
+    current: list[str] = []
+    open_group = False
+    for line in rules.splitlines():
+        name, _, value = line.split("#", 1)[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if name == "user-agent":
+            current = [*current, value.lower()] if open_group else [value.lower()]
+            open_group = True
+            for one in current:
+                groups.setdefault(one, [])
+        elif name in ("allow", "disallow"):
+            open_group = False
+            if value:
+                for one in current:
+                    groups[one].append((value.split("*", 1)[0], name == "allow"))
+    mine = next((g for g in groups if g != "*" and g in agent.lower()), "*")
+    hits = [(len(prefix), allow) for prefix, allow in groups.get(mine, []) if path.startswith(prefix)]
+    return max(hits)[1] if hits else True
+
+
+def test_robots_rules_as_columns(spark):
+    rng = random.Random(4)
+    lines = ["User-agent: *", "user-agent: JobBot", "User-Agent: other # x", "Disallow: /a", "Allow: /a/b", "disallow: /a/b*c", "Disallow:", "Sitemap: x", "", "allow: /", "Disallow: /p"]
+    rows = [("\n".join(rng.choices(lines, k=rng.randrange(9))), rng.choice(["/", "/a", "/a/b/c", "/p/q"])) for _ in range(200)] + [(None, "/a"), ("Disallow: /", None)]
+    df = spark.createDataFrame(rows, "rules string, path string")
+    for agent in ("*", "jobbot/1.0"):
+        got = [r[0] for r in df.select(web.robots_allowed(F.col("rules"), F.col("path"), agent)).collect()]
+        assert got == [robots_allows(r or "", p or "/", agent) for r, p in rows]
