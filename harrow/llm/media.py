@@ -430,6 +430,9 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``media_bytes``, ``media_sha256``,
     ``feature``. Equal texts have equal values. Null and empty texts are one frame of padding.
+    Null ids and repeated rows stay rows of their own; other columns are ignored, whatever their names; an empty table
+    gives an empty result. A very long text is one row, whose file and frames a task holds at once: tens of bytes for
+    each byte of it.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

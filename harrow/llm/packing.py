@@ -220,7 +220,8 @@ def pack(
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     Null and empty texts are one piece that holds the end id. Repeated rows are packed each. Null ids are
-    ids like others. An empty table gives an empty result; other columns are ignored.
+    ids like others. A very long text is cut into pieces, all of which are packed; pieces of one length are alike, so ties
+    between them are settled by their order in the table of pieces. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, id_col, text_col, limit, end_id, vocabulary), "pieces")

@@ -272,7 +272,8 @@ def remove_repeats(
     Every byte covered by a ``length``-byte string that also starts anywhere else, in any document, is removed; all
     occurrences go. Matches do not cross documents. Null and short texts lose nothing. Repeated rows are copies of
     each other, so a repeated row of ``length`` bytes or more is removed whole. Null ids are ids like others; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A very long text is one row, read whole; strings are
+    judged on the input, so there are no ties to settle.
     """
     if not GRAIN <= length - window + 1:
         raise ValueError(f"length must be at least window + {GRAIN - 1}")

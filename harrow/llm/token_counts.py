@@ -131,7 +131,8 @@ def token_counts(
 ) -> DataFrame:
     """One row per input row: id, ``n_chars`` (code points) and ``n_tokens``.
 
-    Null and empty texts have no tokens. Null ids and repeated rows stay rows of their own; other columns are
+    Null and empty texts have no tokens. A text of any length is counted whole; paths with equal scores are
+    settled as the module says. The model file's own normaliser is left out. Null ids and repeated rows stay rows of their own; other columns are
     ignored; an empty table gives an empty result. There is no shuffle: a row needs only itself.
     """
 
