@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions import keys, web
+from harrow.operators.snapshot import spread
 from harrow.session import table
 from harrow.sources import boards, capture, feeds, quarantine, registry
 from harrow.sources.build import build
@@ -23,7 +24,7 @@ LEVELS = ("senior", "mid_senior_level", "entry_level", "director", "associate",
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with what the payloads are made of; markup characters of the texts become blanks."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet", "doc_id", "text").select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.translate("text", "<>&", "   ").alias("t"), derive.digits(F.col("text")).alias("k")
     )
     s, k = F.regexp_extract("t", r"^[^.\n]*", 0), F.col("k")
