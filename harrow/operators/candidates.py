@@ -1,27 +1,22 @@
 """Which open clusters a cluster may be merged with, by the similarity of titles.
 
 Clusters of a known company are offered all others of it, the most similar first; one without is offered whatever is
-similar enough. Work is done for titles, not for clusters: of one title only the first ids can be among the best. A
-company's titles are searched at falling thresholds, and only those that have not found enough go on to the next, so
-common titles never meet all others.
+similar enough. Work is done for titles, not for clusters: of one title only the first ids can be among the best, and
+only the best few titles of each pair of parts leave a task, so no step holds or writes all pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harrow.functions import keys
 
-from .similar import similar_pairs
+from .similar import nearest
 from .snapshot import cut
 
 MOST = 20
-#: Thresholds at which a company's titles are searched; the last is any common gram.
-LEVELS = (keys.GROUPING, keys.SUGGESTING, 1e-9)
 
 
 def _first(rows: DataFrame, most: int, by: list[str], *order) -> DataFrame:
@@ -40,22 +35,11 @@ def merge_candidates(clusters: DataFrame, most: int = MOST) -> DataFrame:
     targets = cut(_first(rows.filter("open"), most + 1, ["block", "title"], "cluster_id").select("block", "title", "cluster_id"), "targets")
     anywhere = _first(targets, most + 1, ["title"], "cluster_id").select(F.lit("").alias("block"), "title", "cluster_id")
 
-    def best(probes: DataFrame, of: DataFrame, least: float) -> DataFrame:
-        pairs = similar_pairs(probes, of, "block", "title", least)
-        found = pairs.join(of.withColumnRenamed("title", "b"), ["block", "b"])
-        return _first(found, most + 1, ["block", "a"], F.col("sim").desc(), "cluster_id").select("block", F.col("a").alias("title"), F.col("cluster_id").alias("other_id"), "sim")
-
-    known, titles, parts = targets.filter(own), rows.filter(own).select("block", "title").distinct(), []
-    for least in LEVELS:
-        found = cut(best(titles, known, least), "found")
-        full = found.groupBy("block", "title").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-        parts.append(found.join(full.select("block", "title"), ["block", "title"]) if least != LEVELS[-1] else found)
-        titles = cut(titles.join(full.select("block", "title"), ["block", "title"], "left_anti"), "titles")
-    # where even the last finds too few, all that it has found are in, and the company's smallest ids with nothing in common fill up
-    spare = _first(known, 2 * most + 2, ["block"], "cluster_id").select("block", F.col("cluster_id").alias("other_id"))
-    fill = titles.join(spare, "block").join(parts[-1].select("block", "title", "other_id"), ["block", "title", "other_id"], "left_anti").withColumn("sim", F.lit(0.0))
-    unknown = best(rows.filter(~own).select("block", "title").distinct(), anywhere, keys.SUGGESTING).filter(F.col("sim") > keys.SUGGESTING)
-    offered = reduce(DataFrame.unionByName, [*parts, fill.select("block", "title", "other_id", "sim"), unknown])
+    # of the titles before a title in (similarity, smallest id) each has a cluster before its own, so the best titles have the best clusters
+    known = targets.filter(own).unionByName(anywhere)
+    ids = known.withColumn("to", F.min("cluster_id").over(Window.partitionBy("block", "title"))).select("block", "to", F.col("cluster_id").alias("other_id"))
+    near = nearest(rows, known, "block", "title", "cluster_id", most + 1).filter(own | (F.col("sim") > keys.SUGGESTING))
+    offered = cut(_first(near.join(ids, ["block", "to"]), most + 1, ["block", "title"], F.col("sim").desc(), "other_id").drop("to"), "offered")
     mine = rows.select("cluster_id", "block", "title").join(offered, ["block", "title"]).filter("cluster_id <> other_id")
     order = Window.partitionBy("cluster_id").orderBy(F.col("sim").desc(), "other_id")
     return mine.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("cluster_id", "other_id", "sim", F.col("n").cast("long").alias("n"))

@@ -24,3 +24,17 @@ def test_equal_all_pairs(spark):
     df = spark.createDataFrame(rows, "cluster_id long, company_norm string, title_norm string, open boolean")
     got = {(r.cluster_id, r.other_id, r.sim, r.n) for r in candidates.merge_candidates(df).collect()}
     assert got == {(i, j, abs(s), n) for i, j, s, n in expected}
+
+
+def test_parts_give_what_one_part_gives(spark, monkeypatch):
+    """Texts dealt into many parts: the best of each text and all pairs above a threshold."""
+    from harrow.operators import similar
+
+    rng = random.Random(8)
+    words = ["data", "engineer", "dataset", "platform", "senior", "sales", "x", "web"]
+    df = spark.createDataFrame([(i, "acme", " ".join(rng.choices(words, k=rng.randrange(1, 5)))) for i in range(120)] + [(200, "acme", "")], "n long, block string, title string")
+    best = lambda: sorted(map(tuple, similar.nearest(df, df, "block", "title", "n", 5).collect()))
+    near = lambda: sorted(map(tuple, similar.similar_pairs(df, None, "block", "title", 0.4).collect()))
+    one = best(), near()
+    monkeypatch.setattr(similar, "PART", 16)
+    assert (best(), near()) == one and len(one[0]) > 100
