@@ -32,8 +32,6 @@ from .storage import stored
 ORDER, BITS = 5, 11
 SYMBOLS = 1 << BITS
 FIRST = SYMBOLS // 2
-#: Labelled rows that the model is fitted on at most; their ids (8 bytes each) are broadcast.
-TRAINING_ROWS = 500_000
 #: One in so many trusted rows is held out to set the thresholds.
 HELD_OUT = 4
 #: Held-out rows below which a language takes the distances of its limits from its median from all languages.
@@ -282,10 +280,10 @@ def bits_per_character(docs: DataFrame, model: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"id {id_type.simpleString()}, {_SCORES}")
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRAINING_ROWS) -> DataFrame:
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
     """``id`` and ``part`` (0: held out) of rows that every label calls good and none toxic.
 
-    All held-out rows are there; beyond ``most`` others, about ``most`` are chosen by their hash.
+    All of them are there, unless a caller asks for ``most``: of the rows that are not held out, about so many are then chosen by their hash.
     """
     good = (
         labels.filter(F.col(id_col).isNotNull())
@@ -295,9 +293,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRAINING_
         .select("id", F.xxhash64("id").alias("hash"))
         .withColumn("part", F.pmod(F.shiftright("hash", 24), F.lit(HELD_OUT)))
     )
-    n = good.filter("part > 0").count()
-    slots = 1 << 20
-    if n > most:
+    if most is not None and (n := good.filter("part > 0").count()) > most:
+        slots = 1 << 20
         good = good.filter((F.col("part") == 0) | (F.pmod("hash", F.lit(slots)) < int(slots * 0.98 * most / n)))
     return good.select("id", "part")
 
@@ -311,11 +308,11 @@ def classify(
     outer: float = OUTER,
     reach: float = REACH,
     doubt: float = DOUBT,
-    training_rows: int = TRAINING_ROWS,
+    training_rows: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, ``lang``, ``n_chars``, ``perplexity`` (per character), ``limit`` and ``kept``.
 
-    The model is fitted on the texts of trusted labelled rows; every fourth of them is held out and gives each
+    The model is fitted on the texts of all trusted labelled rows (``training_rows``: about so many of them); every fourth of them is held out and gives each
     language its quantiles of bits per character: the median m and, at ``outer``, b. A document is rejected if its
     bits are above m + reach * (b - m) by more than ``doubt`` standard errors of its own mean. With fewer than
     ``OWN_SPREAD`` held-out rows, m is the language's own and b - m is that of all rows. A language without held-out rows keeps its documents, as the
@@ -329,17 +326,15 @@ def classify(
 
 
 def _verdict(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, outer: float, reach: float, doubt: float, training_rows: int
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, outer: float, reach: float, doubt: float, training_rows: int | None
 ) -> DataFrame:
     """id, ``h`` (hash of the text) and the columns of ``classify``."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     trusted = stored(trusted_ids(labels, most=training_rows), "trusted")
-    # at most about training_rows ids of 8 bytes
-    fit = F.broadcast(trusted.filter("part > 0").select("id"))
-    model = kneser_ney(rows.join(fit, "id", "left_semi").select("text"))
+    # the ids grow with the input, so Spark chooses the joins
+    model = kneser_ney(rows.join(trusted.filter("part > 0").select("id"), "id", "left_semi").select("text"))
     scores = stored(bits_per_character(rows, model), "scores")
-    # the held-out ids grow with the input, so Spark chooses the join
     held = scores.join(trusted.filter("part = 0").select("id"), "id", "left_semi").filter("bits is not null")
     # rounded, so that exact quantiles need no more than a few thousand distinct values for each language
     at = F.percentile(F.round("bits", 3), F.array(F.lit(0.5), F.lit(outer)))
@@ -364,7 +359,7 @@ def keep_good(
     outer: float = OUTER,
     reach: float = REACH,
     doubt: float = DOUBT,
-    training_rows: int = TRAINING_ROWS,
+    training_rows: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns and nothing else.
 

@@ -27,3 +27,8 @@ def test_rare_languages(spark):
     got = {r["doc_id"]: r for r in rows_of(quality.classify(frame, labels))}
     assert held and got[405]["kept"] and got[405]["limit"] != got[0]["limit"]
     assert got[900]["kept"] and got[900]["limit"] is None
+
+
+def test_every_trusted_row_is_fitted(spark):
+    labels = spark.range(800_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 800_000
