@@ -24,13 +24,14 @@ LEVELS = ("senior", "mid_senior_level", "entry_level", "director", "associate",
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with what the payloads are made of; markup characters of the texts become blanks."""
-    rows = spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet", "doc_id", "text").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.translate("text", "<>&", "   ").alias("t"), derive.digits(F.col("text")).alias("k")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.floor(F.col("doc_id") / PAGE).alias("page"), "text")
+    # dealt by page, so that a page's payload is made, read and built in one task without another shuffle
+    rows = spread(rows, f"{sf_dir}/documents.parquet", "source_id", "page").select(
+        "id", "source_id", "page", F.translate("text", "<>&", "   ").alias("t"), derive.digits(F.col("text")).alias("k")
     )
     s, k = F.regexp_extract("t", r"^[^.\n]*", 0), F.col("k")
     return rows.withColumns(
         {
-            "page": F.floor(F.col("id") / PAGE),
             "name": F.concat(s, F.lit(" "), pick(derive.TITLES, F.length(s))),
             "place": F.nullif(pick(derive.LOCATIONS, k), F.lit("")),
             "phrase": pick(derive.CONTRACTS, F.floor(k / 2)),
