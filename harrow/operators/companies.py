@@ -119,7 +119,7 @@ def find_or_create(requests: DataFrame, known: DataFrame) -> tuple[DataFrame, Da
     edges = rows.select(own.alias("a"), F.explode(F.array_compact(F.array(*tag))).alias("b")).filter("a is not null")
     groups = components(edges).withColumnRenamed("node", "own")
     out = good.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("request"), F.lit("").alias("way"), F.col("company_id").cast("long").alias("company_id"), *KEYS).schema
-    placed = rows.withColumn("own", own).join(groups, "own").repartition("component").sortWithinPartitions("component", "kind", "request", "company_id")
+    placed = rows.withColumn("own", own).join(groups.hint("merge"), "own").repartition("component").sortWithinPartitions("component", "kind", "request", "company_id")
     done = cut(placed.select("component", *rows.columns).mapInArrow(_replay(to_arrow_schema(out)), out.simpleString()[7:-1].replace(":", " ")), "firms")
     refused = asked.filter("name_norm is null").select(F.col("request").cast("long").alias("request"), F.lit("refused").alias("way"), F.lit(None).cast("long").alias("company_id"), *KEYS)
     answers = done.filter("kind = 1").select("request", "way", "company_id", *KEYS).unionByName(refused)
