@@ -15,7 +15,7 @@ copies, have fewer bits than others because of that.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -38,6 +38,9 @@ HELD_OUT = 4
 OWN_SPREAD = 50
 #: Bytes of text scored together.
 BLOCK = 16 << 20
+#: Bytes of text whose grams a worker holds at once (a character takes about a hundred bytes there), or one longer text;
+#: and grams of several runs that are held before equal ones are put together.
+RUN, MERGE = 256 << 10, 1 << 19
 #: A document may be so many times as far from its language's median as the outer quantile is.
 OUTER, REACH = 0.98, 2.0
 #: Standard errors that a document's mean must be beyond the threshold.
@@ -49,12 +52,12 @@ _START = ord("\n")
 
 
 def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of texts (about 1 MiB each): the first row, the gram that ends at each character, the texts' bounds.
+    """For runs of texts (about RUN bytes each): the first row, the gram that ends at each character, the texts' bounds.
 
     A text starts after ORDER - 1 line ends; null counts as empty.
     """
     data, at = text_buffer(column)
-    for first, last in chunks(at):
+    for first, last in chunks(at, RUN):
         part = data[at[first] : at[last]]
         characters = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         symbols = np.where(characters < FIRST, characters, FIRST + characters % FIRST)
@@ -74,12 +77,31 @@ def _low(code: Column, order: int) -> Column:
     return code.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
 
+def _tallies(columns: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams, rising, and their numbers; of all texts, or of as many as have MERGE distinct ones in their runs."""
+    found, times, waiting = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        codes, place = np.unique(np.concatenate(found), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate(times)).astype(np.int64)
+
+    for column in columns:
+        for _, codes, _ in grams(column):
+            one, n = np.unique(codes, return_counts=True)
+            found.append(one)
+            times.append(n)
+            waiting += len(one)
+            if waiting >= MERGE:
+                yield merged()
+                found, times, waiting = [], [], 0
+    if found:
+        yield merged()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of texts -> (code, n) for each run of texts."""
-    for batch in batches:
-        for _, codes, _ in grams(batch.column(0)):
-            found, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["code", "n"])
+    """Batches of texts -> (code, n) for runs of texts."""
+    for codes, n in _tallies(batch.column(0) for batch in batches):
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
 
 def kneser_ney(texts: DataFrame) -> DataFrame:
@@ -179,6 +201,21 @@ def gram_bits(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.nda
     return -np.log2(p)
 
 
+def _remembered_bits(keys: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """``gram_bits`` of distinct grams in rising order; those asked for before are not looked up again."""
+    known, bits = np.zeros(0, np.int64), np.zeros(0)
+
+    def look(codes: np.ndarray) -> np.ndarray:
+        nonlocal known, bits
+        new = np.setdiff1d(codes, known, assume_unique=True)
+        if len(new):
+            at = np.searchsorted(known, new)
+            known, bits = np.insert(known, at, new), np.insert(bits, at, gram_bits(new, keys, values))
+        return bits[np.searchsorted(known, codes)]
+
+    return look
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows -> (block, rows): about BLOCK bytes of text as a compressed Arrow stream, which takes less disk than rows do.
 
@@ -224,7 +261,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
             distinct = np.zeros(0, np.int64)
-            for _, codes, _ in grams(_unpack(rows.as_py())[1]):
+            for codes, _ in _tallies([_unpack(rows.as_py())[1]]):
                 distinct = np.union1d(distinct, codes)
             keys = wanted_contexts(distinct)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys)], names=["block", "key"])
@@ -235,6 +272,7 @@ _SCORES = "h long, lang string, n long, bits double, error double"
 
 def _score(blocks: pa.Table, answers: pa.Table, kind: pa.DataType, empty: bool) -> pa.Table:
     keys, values = looked_up(answers)
+    bits_of = _remembered_bits(keys, values)
     if len(keys) and not blocks.num_rows:
         raise RuntimeError("answers for a block that is not there: its rows were put together in another way when it asked")
     names = ["id", "h", "lang", "n", "bits", "error"]
@@ -244,7 +282,7 @@ def _score(blocks: pa.Table, answers: pa.Table, kind: pa.DataType, empty: bool)
         size, total, squares = (np.zeros(len(text)) for _ in range(3))
         for first, codes, ends in grams(text):
             distinct, place = np.unique(codes, return_inverse=True)
-            each = np.append(gram_bits(distinct, keys, values)[place], 0.0)
+            each = np.append(bits_of(distinct)[place], 0.0)
             part, n = slice(first, first + len(ends) - 1), np.diff(ends)
             size[part] = n
             total[part], squares[part] = (np.where(n > 0, np.add.reduceat(x, ends[:-1]), 0.0) for x in (each, each**2))

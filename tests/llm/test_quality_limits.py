@@ -1,6 +1,11 @@
 """Thresholds come from every held-out row, and a rare language has limits that mean something."""
 
 import random
+import tracemalloc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from harrow.llm import quality
 
@@ -32,3 +37,31 @@ def test_rare_languages(spark):
 def test_every_trusted_row_is_fitted(spark):
     labels = spark.range(800_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     assert quality.trusted_ids(labels).count() == 800_000
+
+
+def test_workers_hold_few_grams_at_once():
+    rng = random.Random(4)
+    column = pa.array(["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(2000)])  # 6 MB
+    tracemalloc.start()
+    rows = sum(batch.num_rows for batch in quality._counts(iter([pa.RecordBatch.from_arrays([column], names=["text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows < 250_000 and peak < 55e6  # 358,399 and 61 MB in runs of 1 MiB
+
+
+def test_tallies_and_remembered_bits_equal_plain_ones(monkeypatch):
+    rng = random.Random(5)
+    columns = [pa.array(["".join(rng.choices("abé漢 ", k=rng.randrange(60))) for _ in range(50)] + [None, ""]) for _ in range(3)]
+    whole = Counter(c for column in columns for _, codes, _ in quality.grams(column) for c in codes.tolist())
+    monkeypatch.setattr(quality, "RUN", 200)
+    monkeypatch.setattr(quality, "MERGE", 500)
+    got = Counter()
+    for codes, n in quality._tallies(columns):
+        got.update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
+    assert got == whole
+    distinct = np.array(sorted(whole))
+    keys = np.sort(np.concatenate([distinct[::2] + (quality.ORDER << 56), quality.wanted_contexts(distinct)[::3] + (8 << 56)]))
+    values = np.array([rng.random() + 0.01 for _ in keys])
+    look = quality._remembered_bits(keys, values)
+    for part in (distinct[::3], distinct, distinct[1::2], distinct[:0]):
+        assert (look(part) == quality.gram_bits(part, keys, values)).all()
