@@ -31,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 #: Cuts kept with their pieces in each Python worker, and the longest cut that is kept.
 CACHE_CUTS, CACHE_LENGTH = 300_000, 64
 #: Characters of text, or pieces, that leave a task in one batch; a longer text is a batch of its own.
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: Kinds of pieces in a model file, the kind of model, the text of an unknown piece.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
@@ -215,9 +215,13 @@ def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, end: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, end: bool = True, with_decoded: bool = False
+) -> DataFrame:
     """One row per input row: id, ``ids``, and ``starts`` and ``ends`` of the pieces' spans in the UTF-8 of the text.
 
+    With ``with_decoded`` a column ``decoded`` has the text of the ids, as ``decode`` gives it, from the same Python worker.
+
     With ``end`` the end id closes each list; its span is empty. A null or empty text has no other ids. Texts are
     encoded whole, whatever their length; a long one is a batch of its own. Null ids and repeated rows stay rows of
     their own and equal texts get equal lists; other columns are ignored; an empty table gives an empty result. There
@@ -232,12 +236,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 found = [own.encode(x.as_py()) for x in texts.slice(first, last - first)]
                 if end:
                     found = [(np.append(i, own.end_id), np.append(a, b[-1:] if len(b) else 0), np.append(b, b[-1:] if len(b) else 0)) for i, a, b in found]
-                lists = [_lists([x[k] for x in found]) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists], names=["id", "ids", "starts", "ends"])
+                columns = [_lists([x[k] for x in found]) for k in range(3)]
+                if with_decoded:
+                    columns.append(pa.array([own.decode(x[0]) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *columns], names=names)
 
+    names = ["id", "ids", "starts", "ends", *(["decoded"] if with_decoded else [])]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>, starts array<int>, ends array<int>" + ", decoded string" * with_decoded
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -274,13 +282,10 @@ def code_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Digests are SHA-256 in lower-case hexadecimal: of the decimal ids joined by a space, and of the text in UTF-8.
     Awkward rows are treated as in ``encode`` and ``decode``.
     """
-    coded = encode(docs, id_col, text_col, model).select(
+    return encode(docs, id_col, text_col, model, with_decoded=True).select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.element_at("ends", -1).cast("long").alias("n_bytes"),
-        "ids",
-    )
-    return decode(coded, model=model).select(
-        id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes"
     )

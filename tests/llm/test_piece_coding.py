@@ -83,3 +83,12 @@ def test_other_columns_pass_through_decoding(spark):
     assert list(got[0]) == ["doc_id", "a.b", "text", "decoded"]
     assert [r["decoded"] for r in got] == ["one two", ""]
     assert rows_of(decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")))[0]["decoded"] == ""
+
+
+def test_digests_take_one_python_worker_a_task(spark):
+    """Each worker holds the vocabulary and a cache, so texts are encoded and decoded in the same one."""
+    docs = awkward(spark, extra=["one two", "x" * 5000])
+    plan = code_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = rows_of(encode(docs, with_decoded=True).select("ids", "decoded"))
+    assert Counter(r["decoded"] for r in both) == Counter(r["decoded"] for r in rows_of(decode(encode(docs))))
