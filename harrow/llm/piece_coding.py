@@ -6,7 +6,8 @@
    follows another character, and around line ends if no piece has one. A bounded cache keeps the pieces of a cut,
    as cuts repeat;
 3. within a cut, neighbours are joined in the order of the scores of the pieces they make, of equal ones the left one
-   first; a character outside the vocabulary becomes its UTF-8 bytes;
+   first; a character outside the vocabulary becomes its UTF-8 bytes. Short cuts that the cache lacks take their
+   joins together: arrays hold one cut in each column, and a round makes the best join of every cut that has one;
 4. the characters behind each piece give its span of bytes in the source. Spans follow each other without gaps from
    the first to the last byte kept; of the bytes of one character, the last has its span and the others are empty.
 """
@@ -30,12 +31,18 @@ from .tokenizers_io import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 #: Cuts kept with their pieces in each Python worker, and the longest cut that is kept.
 CACHE_CUTS, CACHE_LENGTH = 300_000, 64
+#: Cuts that are looked up together, and fewest new ones among them that are joined in arrays.
+STRETCH, TOGETHER = 1 << 17, 32
+#: Longest cuts of the arrays in which cuts are joined; the last is CACHE_LENGTH.
+HEIGHTS = (4, 8, 12, 16, 24, 32, CACHE_LENGTH)
 #: Characters of text, or pieces, that leave a task in one batch; a longer text is a batch of its own.
 BATCH = 1 << 20
 #: Kinds of pieces in a model file, the kind of model, the text of an unknown piece.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 UNKNOWN_TEXT = " ⁇ "
+#: Fixed value: more than any join of two symbols.
+NO_JOIN = 1 << 62
 
 
 class PieceCoder:
@@ -63,7 +70,8 @@ class PieceCoder:
         crossed = any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self._ids)
         cut = f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")
         self._cuts = (lambda text: [text]) if crossed else re.compile(cut).findall
-        self._cache: dict[str, tuple[bytes, bytes]] = {}
+        self._cache: dict[str, bytes] = {}
+        self._read_pairs(len(model.pieces))
         surface = {UNKNOWN: lambda p: UNKNOWN_TEXT, CONTROL: lambda p: "", BYTE: lambda p: bytes((int(p[3:5], 16),))}
         plain = lambda p: p.replace(MARK, " ")
         found = [surface.get(p.type, plain)(p.piece) for p in model.pieces]
@@ -73,6 +81,78 @@ class PieceCoder:
         self._all_spaces = rules.remove_extra_whitespaces
         self._starts_word = np.array([p.type == NORMAL and p.piece.startswith(MARK) for p in model.pieces])
 
+    def _read_pairs(self, count: int) -> None:
+        """Numbers of symbols (pieces by id, then other characters of pieces), and what each two of them make."""
+        symbols = {**self._ids}
+        for sign in sorted({c for p in self._ids for c in p} - symbols.keys()):
+            symbols[sign] = count + len(symbols) - len(self._ids)
+        # symbols that join with none: one for all other characters, and one behind a cut's end.
+        self._count, self._other = count, count + len(symbols) - len(self._ids)
+        self._behind = self._other + 1
+        self._signs = np.full(0x110000, self._other, np.int32)
+        self._widths = np.ones(self._behind + 1, np.int64)
+        for text, symbol in symbols.items():
+            self._widths[symbol] = len(text)
+            if len(text) == 1:
+                self._signs[ord(text)] = symbol
+        get, size = symbols.get, self._behind + 1
+        splits = ((get(p[:k]), get(p[k:]), p) for p in self._ids for k in range(1, len(p)))
+        made = {a * size + b: self._ranks[p] << 40 | self._ids[p] for a, b, p in splits if a is not None and b is not None}
+        self._pairs = np.array([*sorted(made), np.iinfo(np.int64).max])
+        self._made = np.array([*(made[k] for k in self._pairs[:-1].tolist()), NO_JOIN])
+
+    def _makes(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank, place in the cut and symbol of what each two neighbours make, in one number; NO_JOIN or more without."""
+        keys = left.astype(np.int64) * (self._behind + 1) + right
+        at = np.searchsorted(self._pairs, keys)
+        return np.where(self._pairs[at] == keys, self._made[at], NO_JOIN) + (place.astype(np.int64) << 32)
+
+    def _joined_together(self, cuts: list[str]) -> list[bytes]:
+        """``_cut_pieces`` of each of many cuts of CACHE_LENGTH characters at most."""
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        signs = self._signs[np.frombuffer("".join(cuts).encode("utf-32-le"), "<u4")]
+        first = np.cumsum(sizes) - sizes
+        found = [b""] * len(cuts)
+        for low, height in zip((0, *HEIGHTS), HEIGHTS, strict=False):
+            of = np.flatnonzero((sizes > low) & (sizes <= height))
+            if not len(of):
+                continue
+            rows = np.arange(height)[:, None]
+            inside = rows < sizes[of]
+            parts = np.where(inside, signs[np.where(inside, first[of] + rows, 0)], self._behind)
+            for columns, done in self._rounds(parts):
+                there = done != self._behind
+                flat = done.T[there.T].astype(np.int64)
+                packed = (flat | self._widths[flat] << 32).tobytes()
+                ends = 8 * np.cumsum(there.sum(axis=0))
+                known = ((done < self._count) | ~there).all(axis=0)
+                spans = zip(of[columns].tolist(), [0, *ends.tolist()], ends.tolist(), known.tolist(), strict=False)
+                for i, start, end, whole in spans:
+                    found[i] = packed[start:end] if whole else self._cut_pieces(cuts[i])
+        return found
+
+    def _rounds(self, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and symbols of the columns of ``parts`` that have all their joins, as they come to their ends."""
+        columns = np.arange(parts.shape[1])
+        pairs = self._makes(parts[:-1], parts[1:], np.arange(len(parts) - 1)[:, None])
+        while len(pairs) and len(columns):
+            best = pairs.min(axis=0)
+            live = best < NO_JOIN
+            if not live.all():
+                yield columns[~live], parts[:, ~live]
+                columns, parts, pairs, best = columns[live], parts[:, live], pairs[:, live], best[live]
+            at = best >> 32 & 0xFF
+            each = np.arange(len(columns))
+            parts[at, each] = best & 0xFFFFFFFF
+            rows = np.arange(len(parts) - 1)[:, None]
+            parts = np.where(rows > at, parts[1:], parts[:-1])
+            pairs = np.where(rows[:-1] >= at, pairs[1:] - (1 << 32), pairs[:-1])
+            for shift in (-1, 0):  # the join's neighbours on both sides
+                some = each[(at + shift >= 0) & (at + shift < len(pairs))]
+                left = at[some] + shift
+                pairs[left, some] = self._makes(parts[left, some], parts[left + 1, some], left)
+        yield columns, parts
+
     def _joined(self, text: str) -> list[str]:
         """The segments of a cut after all joins: the best pair first, of equal ones the left one."""
         if len(text) > CACHE_LENGTH:
@@ -116,40 +196,58 @@ class PieceCoder:
                 offer(before[left], left)
         return [p for p in parts if p]
 
-    def _cut_pieces(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and characters of the pieces of a cut, as 32-bit numbers; bytes of a character but the last have none."""
+    def _cut_pieces(self, text: str) -> bytes:
+        """Pieces of a cut as 64-bit numbers: the id, and from bit 32 the characters; a character's bytes but the last have none."""
         parts = self._joined(text)
         try:
-            ids, widths = list(map(self._ids.__getitem__, parts)), list(map(len, parts))
+            found = [self._ids[p] | len(p) << 32 for p in parts]
         except KeyError:
-            ids, widths = [], []
+            found = []
             for part in parts:
                 if (known := self._ids.get(part)) is not None:
-                    ids.append(known)
-                    widths.append(len(part))
+                    found.append(known | len(part) << 32)
                 else:
-                    raw = part.encode("utf-8")
-                    ids += (self._bytes[b] for b in raw)
-                    widths += [0] * (len(raw) - 1) + [len(part)]
-        return array("i", ids).tobytes(), array("i", widths).tobytes()
-
-    def _looked_up(self, text: str) -> tuple[bytes, bytes]:
-        found = self._cut_pieces(text)
-        if len(text) <= CACHE_LENGTH:
-            if len(self._cache) >= CACHE_CUTS:
+                    found += (self._bytes[b] for b in part.encode("utf-8"))
+                    found[-1] |= len(part) << 32
+        return array("q", found).tobytes()
+
+    def _looked_up(self, cuts: list[str]) -> list[bytes]:
+        """``_cut_pieces`` of each of the cuts, most of them from the cache."""
+        found: list[bytes] = []
+        for first in range(0, len(cuts), STRETCH):
+            part = cuts[first : first + STRETCH]
+            own = list(map(self._cache.get, part))
+            missing = [i for i, x in enumerate(own) if x is None]
+            new = {part[i] for i in missing}
+            short = [x for x in new if len(x) <= CACHE_LENGTH]
+            together = len(short) >= TOGETHER
+            pieces = dict(zip(short, self._joined_together(short) if together else map(self._cut_pieces, short), strict=True))
+            if len(self._cache) + len(short) > CACHE_CUTS:
                 self._cache.clear()
-            self._cache[text] = found
+            self._cache.update(pieces)
+            pieces.update((x, self._cut_pieces(x)) for x in new if len(x) > CACHE_LENGTH)
+            for i in missing:
+                own[i] = pieces[part[i]]
+            found += own
         return found
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text and the first and last bytes (exclusive) of each piece's span in it."""
-        normal, places = self.normalise(text)
-        known, look = self._cache.get, self._looked_up
-        found = [known(cut) or look(cut) for cut in self._cuts(normal)]
-        ids = np.frombuffer(b"".join([x for x, _ in found]), np.int32)
-        widths = np.frombuffer(b"".join([x for _, x in found]), np.int32)
-        ends = np.cumsum(widths)
-        return ids, places[ends - widths], places[ends]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each text; cuts that are new are joined together."""
+        normal = list(map(self.normalise, texts))
+        cuts = [self._cuts(text) for text, _ in normal]
+        pieces = self._looked_up([cut for own in cuts for cut in own])
+        out, done = [], 0
+        for (_, places), own in zip(normal, cuts, strict=True):
+            found = np.frombuffer(b"".join(pieces[done : done + len(own)]), np.int64)
+            done += len(own)
+            widths = found >> 32
+            ends = np.cumsum(widths)
+            out.append(((found & 0xFFFFFFFF).astype(np.int32), places[ends - widths], places[ends]))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. Control pieces have none; bytes that are not UTF-8 become U+FFFD one by one.
@@ -233,7 +331,7 @@ def encode(
         for batch in batches:
             texts = batch.column(1).fill_null("")
             for first, last in _runs(np.array(pa.compute.binary_length(texts))):
-                found = [own.encode(x.as_py()) for x in texts.slice(first, last - first)]
+                found = own.encode_all(texts.slice(first, last - first).to_pylist())
                 if end:
                     found = [(np.append(i, own.end_id), np.append(a, b[-1:] if len(b) else 0), np.append(b, b[-1:] if len(b) else 0)) for i, a, b in found]
                 columns = [_lists([x[k] for x in found]) for k in range(3)]

@@ -8,7 +8,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
 from harrow.llm.charmap import Normaliser, char_starts, read_map
-from harrow.llm.piece_coding import MODEL, code_digests, coder, decode, encode
+from harrow.llm.piece_coding import MODEL, PieceCoder, code_digests, coder, decode, encode
 from harrow.llm.tokenizers_io import vocabulary_path
 
 from .samples import awkward, nothing, rows_of
@@ -92,3 +92,41 @@ def test_digests_take_one_python_worker_a_task(spark):
     assert plan.count("MapInArrow") == 1
     both = rows_of(encode(docs, with_decoded=True).select("ids", "decoded"))
     assert Counter(r["decoded"] for r in both) == Counter(r["decoded"] for r in rows_of(decode(encode(docs))))
+
+
+def new_words(own, count, seed):
+    rng = random.Random(seed)
+    pieces = [p for p in own._ids if "▁" not in p]
+    signs = [*"abcdefghijklmnopqrstuvwxyzäöüßé'-", "漢", "🎉", "\x00"]
+    return ["".join(rng.choices(signs if k % 2 else pieces, k=rng.randrange(1, 25))) for k in range(count)]
+
+
+def test_new_words_of_a_text_are_joined_together(library, own, monkeypatch):
+    """Words that no cache has are most of the work, so they are not joined one by one."""
+    text = " ".join(w for w in new_words(own, 6000, 4) if w.isascii() and len(w) < 60 and "\x00" not in w)
+    one_by_one = []
+    joined = own._joined
+    monkeypatch.setattr(own, "_joined", lambda cut: one_by_one.append(cut) or joined(cut))
+    assert own.encode(text)[0].tolist() == library.encode(text)
+    assert len(one_by_one) < 10
+
+
+def test_words_joined_together_equal_the_library(library, own, monkeypatch):
+    """Also while the cache overflows within a text, and with characters that the vocabulary lacks."""
+    monkeypatch.setattr("harrow.llm.piece_coding.CACHE_CUTS", 500)
+    monkeypatch.setattr("harrow.llm.piece_coding.STRETCH", 300)
+    words = new_words(own, 5000, 5)
+    texts = [" ".join(words[k : k + 900]) for k in range(0, 5000, 450)] + ["", "x" * 64, "y" * 65]
+    for text, (ids, starts, ends) in zip(texts, own.encode_all(texts), strict=True):
+        proto = library.encode(text, return_type="proto").pieces
+        assert ids.tolist() == [p.id for p in proto]
+        assert [(p.begin, p.end) for p in proto] == list(zip(starts.tolist(), ends.tolist(), strict=True))
+    assert len(own._cache) <= 500
+
+
+def test_of_equal_scores_the_left_join_comes_first():
+    own = PieceCoder(vocabulary_path(MODEL))
+    own._ranks = {p: r // 3000 for p, r in own._ranks.items()}
+    own._read_pairs(len(own._surface))
+    words = sorted({w[:64] for w in new_words(own, 4000, 6)})
+    assert own._joined_together(words) == [own._cut_pieces(w) for w in words]
