@@ -242,11 +242,10 @@ class PieceCoder:
         pieces = self._looked_up([cut for own in cuts for cut in own])
         out, done = [], 0
         for (_, places), own in zip(normal, cuts, strict=True):
-            found = np.frombuffer(b"".join(pieces[done : done + len(own)]), np.int64)
+            ids, widths = np.frombuffer(b"".join(pieces[done : done + len(own)]), "<i4").reshape(-1, 2).T
             done += len(own)
-            widths = found >> 32
             ends = np.cumsum(widths)
-            out.append(((found & 0xFFFFFFFF).astype(np.int32), places[ends - widths], places[ends]))
+            out.append((ids.copy(), places[ends - widths], places[ends]))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
