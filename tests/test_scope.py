@@ -46,7 +46,7 @@ def woods(spark, tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", "canonical_pick cluster_rollup dry_run score_outcomes sources_overview reject_first_reason reject_reason_histogram".split())
+@pytest.mark.parametrize("name", "canonical_pick cluster_rollup dry_run feed_lever score_outcomes sources_overview reject_first_reason reject_reason_histogram".split())
 def test_queries_of_postings_with_such_words(spark, woods, name):
     at, con = woods
     assert plain(catalogue.QUERIES[name](spark, at).toPandas()) == plain(con.execute(catalogue.SQL[name]).df())
